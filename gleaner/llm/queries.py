@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from gleaner.llm.bpe import op2_bpe_roundtrip
 from gleaner.llm.packing import op10_best_fit_packing
+from gleaner.llm.quality import OP9_SQL, op9_quality_rules
 from gleaner.llm.token_files import op4_token_files
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op4_token_files, op10_best_fit_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op4_token_files, op9_quality_rules, op10_best_fit_packing)}
+SQL: dict[str, str] = {"op9_quality_rules": OP9_SQL}
