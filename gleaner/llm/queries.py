@@ -6,6 +6,8 @@ from gleaner.llm.bpe import op2_bpe_roundtrip
 from gleaner.llm.packing import op10_best_fit_packing
 from gleaner.llm.quality import OP9_SQL, op9_quality_rules
 from gleaner.llm.token_files import op4_token_files
+from gleaner.llm.topk import OP3_SQL, op3_maxscore_top_k
+from gleaner.llm.warc import OP7_SQL, op7_warc_index
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op4_token_files, op9_quality_rules, op10_best_fit_packing)}
-SQL: dict[str, str] = {"op9_quality_rules": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_maxscore_top_k, op4_token_files, op7_warc_index, op9_quality_rules, op10_best_fit_packing)}
+SQL: dict[str, str] = {"op3_maxscore_top_k": OP3_SQL, "op7_warc_index": OP7_SQL, "op9_quality_rules": OP9_SQL}
