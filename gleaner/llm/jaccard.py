@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.llm.common import documents, materialize, remove
 from gleaner.llm.components import connected_components
-from gleaner.llm.shingles import set_hash, shingle_set
+from gleaner.llm.shingles import set_hash, shingle_sets
 
 #: Rows of the frequency table, local count from which a shingle enters it, shingles of a stretch.
 FREQUENT, LOCAL, STRETCH = 1 << 18, 3, 1 << 21
@@ -52,8 +52,7 @@ def _classes(batches, size: int):
 
     for batch in batches:
         nodes, counts = [], []
-        for text in batch.column(1).to_pylist():
-            s = shingle_set(text, size)
+        for s in shingle_sets(batch.column(1).to_pylist(), size):
             node = set_hash(s) if len(s) else None
             nodes.append(node)
             counts.append(len(s))
@@ -91,8 +90,7 @@ def _prefixes(batches, size: int, percent: int, table):
     known: set[int] = set()  # copies within a task need no second posting
     for batch in batches:
         nodes, counts, matches, lists = [], [], [], []
-        for text in batch.column(0).to_pylist():
-            s = shingle_set(text, size)
+        for s in shingle_sets(batch.column(0).to_pylist(), size):
             if not len(s) or (node := set_hash(s)) in known:
                 continue
             known.add(node)
@@ -190,8 +188,7 @@ def _verified(df: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
         known: set[int] = set()
         for batch in batches:
             nodes, data = [], []
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text, size)
+            for s in shingle_sets(batch.column(0).to_pylist(), size):
                 if len(s) and (node := set_hash(s)) not in known:
                     bit = node & ((1 << FILTER_BITS) - 1)
                     if int(words.value[bit >> 6]) >> (bit & 63) & 1:

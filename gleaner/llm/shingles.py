@@ -3,41 +3,55 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-#: Distinct words that a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 700_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of text that are hashed together.
+GROUP_CHARS = 4_000_000
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z in lower case, and where each text's begin and end.
 
+    Words end at the six ASCII spaces. Arrow finds the distinct words, so each is hashed once.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string()).fill_null("")))
+    words = split.flatten()
+    seen = words.dictionary_encode()
+    table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in seen.dictionary.to_pylist()), np.uint64, len(seen.dictionary))
+    real = np.append(0, np.cumsum(pc.binary_length(words).to_numpy() > 0))  # white space at an end leaves an empty word
+    codes = seen.indices.to_numpy()
+    return table[codes[np.diff(real) > 0]], real[split.offsets.to_numpy()]
 
-_words = _Words()
 
-
-def word_hashes(text: str) -> np.ndarray:
-    """Hashes of the words of a text, A-Z in lower case; words end at the six ASCII spaces."""
-    if len(_words) > CACHED_WORDS:
-        _words.clear()
-    words = text.encode().lower().split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
-    """The distinct shingles of ``size`` words, ascending; a shorter text is one shingle."""
-    h = word_hashes(text or "")
-    if not len(h):
-        return h
-    n = max(1, len(h) - size + 1)
-    x = np.full(n, min(len(h), size), np.uint64)
-    for k in range(min(len(h), size)):
-        x = (x ^ (x >> np.uint64(29))) * _MULTIPLIER + h[k : k + n]
+def _finished(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MULTIPLIER
-    return np.unique(x ^ (x >> np.uint64(29)))
+    return x ^ (x >> np.uint64(29))
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    x = np.full(len(h) - size + 1, size, np.uint64)
+    for k in range(size):
+        x = (x ^ (x >> np.uint64(29))) * _MULTIPLIER + h[k : k + len(x)]
+    return _finished(x)
+
+
+def shingle_sets(texts: list[str | None], size: int = 5):
+    """For each text its distinct shingles of ``size`` words, ascending; a shorter text is one shingle."""
+    begin = chars = 0
+    for i, text in enumerate(texts):
+        chars += len(text or "")
+        if chars >= GROUP_CHARS or i == len(texts) - 1:
+            h, cuts = word_hashes(texts[begin : i + 1])
+            rolled = _rolled(h, size) if len(h) >= size else h[:0]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b - a >= size:
+                    yield np.unique(rolled[a : b - size + 1])
+                else:
+                    yield _rolled(h[a:b], b - a) if b > a else h[:0]
+            begin, chars = i + 1, 0
 
 
 def set_hash(shingles: np.ndarray) -> int:

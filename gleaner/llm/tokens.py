@@ -17,6 +17,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from gleaner.llm.common import ranges
 
@@ -24,7 +26,7 @@ from gleaner.llm.common import ranges
 _ODD = re.compile(r"[^\S \n]|[ \n][ \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Distinct chunks that a worker keeps; beyond that it starts anew.
-CACHED_CHUNKS = 700_000
+CACHED_CHUNKS = 1_000_000
 
 
 class ChunkEncoder:
@@ -48,29 +50,55 @@ class ChunkEncoder:
         self.values = np.zeros(0, np.uint32)
         self.starts = self.lengths = np.zeros(0, np.int64)
 
-    def _keys(self, text: str) -> list[str]:
-        """A key of the cache for each chunk: the word after a space, or CR and the chunk."""
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        if _ODD.search(text):
-            return ["\r" + x for x in _CUT.split(text)]
-        return ("\r" + text.replace("\n", " \n \r")).split(" ")
+    def _marked(self, text: str) -> str:
+        """The text with its keys between spaces: the word after a space, or CR and a chunk."""
+        return "\r" + text.replace("\n", " \n \r") if self.spaced else text.replace("\n", " ")
 
     def _chunk(self, key: str) -> str:
         if not self.spaced or key == "\n":
             return key
         return key[1:] if key[:1] == "\r" else " " + key
 
+    def _core(self, key: str) -> str:
+        """The key of the chunk without its last character where that is surely a token of its own.
+
+        So is a comma or full stop after a letter or digit. A vocabulary that drops white space
+        also lowers A-Z and composes characters; below U+0250 only U+0130 changes its kind by that.
+        """
+        before = key[-2:-1]
+        core = key[:-1] if key[-1:] in (",", ".") and before.isalnum() and (self.spaced or before < "\u0250" and before != "\u0130") else key
+        if not self.spaced and not core.islower() and core.isascii() and core.isalnum():
+            core = core.lower()
+        return core
+
     def _learn(self) -> None:
         if not self.pending:
             return
-        found = self.encode_chunks([self._chunk(k) for k in self.pending])
+        new, first = self.pending, len(self.starts)
+        plain, joined, pairs, i = [], [], [], 0
+        while i < len(new):  # a core that is new comes to the end of the list
+            key = new[i]
+            core = self._core(key)
+            if core == key:
+                plain.append(first + i)
+            else:
+                joined.append(first + i)
+                mark = key[-1] if len(core) < len(key) else ""
+                pairs.append((self.index[core], self.index["\r" + mark if self.spaced else mark]))
+            i += 1
+        self.pending = []
+        self.starts, self.lengths = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.starts, self.lengths))
+        found = self.encode_chunks([self._chunk(new[i - first]) for i in plain])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        values = np.fromiter((x for ids in found for x in ids), np.uint32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
+        self._append(plain, lengths, np.fromiter((x for ids in found for x in ids), np.uint32, int(lengths.sum())))
+        if joined:
+            two = np.array(pairs)
+            self._append(joined, self.lengths[two].sum(1), self.values[ranges(self.starts[two].ravel(), self.lengths[two].ravel())])
+
+    def _append(self, at: list[int], lengths: np.ndarray, values: np.ndarray) -> None:
+        self.starts[at] = len(self.values) + np.cumsum(lengths) - lengths
+        self.lengths[at] = lengths
         self.values = np.concatenate([self.values, values])
-        self.pending = []
 
     def encode(self, texts: list[str], group_chars: int = 4_000_000):
         """An array of uint32 ids for each text, in groups of about ``group_chars``."""
@@ -87,14 +115,24 @@ class ChunkEncoder:
     def _group(self, texts: list[str]):
         if len(self.index) > CACHED_CHUNKS:
             self._reset()
+        odd = {i: ["\r" + x for x in _CUT.split(t)] for i, t in enumerate(texts) if _ODD.search(t)} if self.spaced else {}
+        plain = ["" if i in odd else self._marked(t) for i, t in enumerate(texts)]
+        split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        # Arrow finds the group's distinct chunks, so the cache is asked once for each of them.
+        seen = split.flatten().dictionary_encode()
         look_up = self.index.__getitem__
-        at = []
-        for text in texts:
-            keys = self._keys(text)
-            at.append(np.fromiter(map(look_up, keys), np.int64, len(keys)))
+        known = np.fromiter(map(look_up, seen.dictionary.to_pylist()), np.int64, len(seen.dictionary))
+        odd = {i: np.fromiter(map(look_up, keys), np.int64, len(keys)) for i, keys in odd.items()}
         self._learn()
-        for chunks in at:
-            yield self.values[ranges(self.starts[chunks], self.lengths[chunks])]
+        chunks, cuts = known[seen.indices.to_numpy()], split.offsets.to_numpy()
+        sizes = self.lengths[chunks]
+        values = self.values[ranges(self.starts[chunks], sizes)]
+        ends = np.append(0, np.cumsum(sizes))[cuts].tolist()
+        for i in range(len(texts)):
+            if i in odd:
+                yield self.values[ranges(self.starts[odd[i]], self.lengths[odd[i]])]
+            else:
+                yield values[ends[i] : ends[i + 1]]
 
 
 @lru_cache(maxsize=4)
