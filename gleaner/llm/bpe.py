@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from gleaner.llm.common import documents, ranges, text_or_empty
+from gleaner.llm.common import distinct, documents, ranges, text_or_empty
 from gleaner.llm.tokens import ChunkEncoder
 
 #: The pattern that splits text before the merges.
@@ -108,7 +108,7 @@ class PairIndexBpe:
         while heap:
             rank = heapq.heappop(heap)
             lists = index.pop(rank)
-            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            at = lists[0] if len(lists) == 1 else distinct(np.concatenate(lists))
             a, b = self.left[rank], self.right[rank]
             at = at[(sym[at] == a) & (sym[after[at]] == b)]
             if a == b and len(at) > 1:  # of a run's overlapping pairs, every other one from its left end
@@ -121,7 +121,7 @@ class PairIndexBpe:
             beyond = after[gone]
             sym[at], sym[gone] = self.merged[rank], GAP
             after[at], before[beyond] = beyond, at
-            file(np.unique(np.concatenate([before[at], at])))
+            file(distinct(np.concatenate([before[at], at])))
         keep = np.flatnonzero(sym != GAP)
         out = sym[keep].astype(np.uint32)
         cuts = np.searchsorted(keep, np.append(begins, n))

@@ -7,6 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from gleaner.llm.common import distinct
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of text that are hashed together.
 GROUP_CHARS = 4_000_000
@@ -20,7 +22,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string()).fill_null("")))
     words = split.flatten()
     seen = words.dictionary_encode()
-    table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in seen.dictionary.to_pylist()), np.uint64, len(seen.dictionary))
+    table = np.fromiter(map(xxhash.xxh3_64_intdigest, seen.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(seen.dictionary))
     real = np.append(0, np.cumsum(pc.binary_length(words).to_numpy() > 0))  # white space at an end leaves an empty word
     codes = seen.indices.to_numpy()
     return table[codes[np.diff(real) > 0]], real[split.offsets.to_numpy()]
@@ -48,7 +50,7 @@ def shingle_sets(texts: list[str | None], size: int = 5):
             rolled = _rolled(h, size) if len(h) >= size else h[:0]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - a >= size:
-                    yield np.unique(rolled[a : b - size + 1])
+                    yield distinct(rolled[a : b - size + 1])
                 else:
                     yield _rolled(h[a:b], b - a) if b > a else h[:0]
             begin, chars = i + 1, 0

@@ -121,7 +121,7 @@ class ChunkEncoder:
         # Arrow finds the group's distinct chunks, so the cache is asked once for each of them.
         seen = split.flatten().dictionary_encode()
         look_up = self.index.__getitem__
-        known = np.fromiter(map(look_up, seen.dictionary.to_pylist()), np.int64, len(seen.dictionary))
+        known = np.fromiter(map(look_up, seen.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(seen.dictionary))
         odd = {i: np.fromiter(map(look_up, keys), np.int64, len(keys)) for i, keys in odd.items()}
         self._learn()
         chunks, cuts = known[seen.indices.to_numpy()], split.offsets.to_numpy()
