@@ -8,7 +8,8 @@ from gleaner.llm.packing import op10_best_fit_packing
 from gleaner.llm.quality import OP9_SQL, op9_quality_rules
 from gleaner.llm.token_files import op4_token_files
 from gleaner.llm.topk import OP3_SQL, op3_maxscore_top_k
+from gleaner.llm.toxicity import op1_toxicity
 from gleaner.llm.warc import OP7_SQL, op7_warc_index
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_maxscore_top_k, op4_token_files, op5_ngram_jaccard, op7_warc_index, op9_quality_rules, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe_roundtrip, op3_maxscore_top_k, op4_token_files, op5_ngram_jaccard, op7_warc_index, op9_quality_rules, op10_best_fit_packing)}
 SQL: dict[str, str] = {"op3_maxscore_top_k": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_warc_index": OP7_SQL, "op9_quality_rules": OP9_SQL}
