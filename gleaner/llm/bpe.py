@@ -72,10 +72,10 @@ class PairIndexBpe:
         at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
         return np.where(self.keys[at] == pairs, self.rank_of[at], -1)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece, all pieces together."""
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and the ids of all pieces one after the other."""
         if not pieces:
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         n = int(sizes.sum()) + len(pieces) + 1
         begins = 1 + np.cumsum(sizes + 1) - (sizes + 1)
@@ -123,31 +123,34 @@ class PairIndexBpe:
             after[at], before[beyond] = beyond, at
             file(distinct(np.concatenate([before[at], at])))
         keep = np.flatnonzero(sym != GAP)
-        out = sym[keep].astype(np.uint32)
-        cuts = np.searchsorted(keep, np.append(begins, n))
-        return [out[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return np.diff(np.searchsorted(keep, np.append(begins, n))), sym[keep].astype(np.uint32)
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks of text: special tokens stand for themselves, the rest is cut into pieces."""
         pieces: dict[bytes, int] = {}
-        plans = []
+        flat: list[int] = []  # numbers of pieces; -1 - id for a special token
+        counts = []
         for chunk in chunks:
-            plan = []
-
-            def add(text: str) -> None:
-                for piece in self.pieces.findall(text):
-                    plan.append(pieces.setdefault(piece.encode(), len(pieces)))  # noqa: B023
-
-            done = 0
-            if self.cut and "<" in chunk:
-                for m in self.cut.finditer(chunk):
-                    add(chunk[done : m.start()])
-                    plan.append(-1 - self.special[m[0]])
+            before = len(flat)
+            if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():  # one piece: a space, if any, and letters
+                flat.append(pieces.setdefault(chunk.encode(), len(pieces)))
+            else:
+                done = 0
+                for m in self.cut.finditer(chunk) if self.cut and "<" in chunk else ():
+                    flat += [pieces.setdefault(x.encode(), len(pieces)) for x in self.pieces.findall(chunk[done : m.start()])]
+                    flat.append(-1 - self.special[m[0]])
                     done = m.end()
-            add(chunk[done:])
-            plans.append(plan)
-        ids = [x.tolist() for x in self.encode_pieces(list(pieces))]
-        return [ids[p[0]] if len(p) == 1 and p[0] >= 0 else [i for k in p for i in (ids[k] if k >= 0 else (-1 - k,))] for p in plans]
+                flat += [pieces.setdefault(x.encode(), len(pieces)) for x in self.pieces.findall(chunk[done:] if done else chunk)]
+            counts.append(len(flat) - before)
+        lengths, values = self.encode_pieces(list(pieces))
+        at = np.array(flat, np.int64)
+        special = -1 - at[at < 0]
+        at[at < 0] = len(lengths) + np.arange(len(special))
+        lengths = np.append(lengths, np.ones(len(special), np.int64))
+        values = np.append(values, special.astype(np.uint32))
+        starts = np.cumsum(lengths) - lengths
+        ends = np.append(0, np.cumsum(lengths[at]))[np.cumsum([0, *counts])]
+        return np.diff(ends), values[ranges(starts[at], lengths[at])]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return self.spelling[ranges(self.starts[ids], self.lengths[ids])].tobytes()
@@ -158,7 +161,7 @@ class PairIndexBpe:
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str) -> tuple[PairIndexBpe, ChunkEncoder]:
+def worker_encoder(path: str) -> tuple[PairIndexBpe, ChunkEncoder]:
     bpe = PairIndexBpe(path)
     return bpe, ChunkEncoder(bpe.encode_chunks, spaced=True)
 
@@ -179,7 +182,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -
     at = kept.columns.index(text)
 
     def run(batches):
-        _, encoder = _worker(path)
+        _, encoder = worker_encoder(path)
         for batch in batches:
             texts = [x or "" for x in batch.column(at).to_pylist()]
             found = list(encoder.encode(texts, GROUP_CHARS))
@@ -197,7 +200,7 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     at = kept.columns.index(ids)
 
     def run(batches):
-        bpe, _ = _worker(path)
+        bpe, _ = worker_encoder(path)
         for batch in batches:
             lists = batch.column(at)
             out = [bpe.decode(np.array(x.values if x.is_valid else [], np.int64)) for x in lists]
@@ -215,7 +218,7 @@ def bpe_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text
     schema = StructType([StructField(key, df.schema[key].dataType), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
     def run(batches):
-        bpe, encoder = _worker(path)
+        bpe, encoder = worker_encoder(path)
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
             for ids in encoder.encode(batch.column(1).to_pylist(), GROUP_CHARS):

@@ -1,5 +1,6 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
+Ids come from the pair-index encoder, which gives the library's ids for a third of its time.
 A document's ids end with one end id; a document longer than a sequence is cut into full pieces
 and one shorter first piece. Only the histogram of piece lengths, at most one number a length,
 reaches the driver. There a covering program over configurations (multisets of lengths that fit)
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from gleaner.llm.bpe import GROUP_CHARS, worker_encoder
 from gleaner.llm.common import documents, materialize, text_or_empty
-from gleaner.llm.tokens import library_encoder
 
 #: Rounds of multiplicative weights; the fractional solution is the mean of their configurations.
 ROUNDS = 160
@@ -122,10 +123,10 @@ def cut_pieces(df: DataFrame, vocabulary: str, end_id: int, size: int, key: str
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        encoder = library_encoder(vocabulary, True)
+        _, encoder = worker_encoder(vocabulary)
         for batch in batches:
             rows, rest = [], []
-            for row, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
+            for row, ids in enumerate(encoder.encode(batch.column(1).to_pylist(), GROUP_CHARS)):
                 data = np.append(ids, np.uint32(end_id)).astype("<u4")
                 first = (len(data) - 1) % size + 1
                 for piece, start in enumerate([0, *range(first, len(data), size)]):

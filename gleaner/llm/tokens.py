@@ -30,7 +30,7 @@ CACHED_CHUNKS = 1_000_000
 
 
 class ChunkEncoder:
-    """Ids of texts by a function that encodes a list of chunks into lists of ids."""
+    """Ids of texts by a function that gives the sizes and the joined ids of a list of chunks."""
 
     def __init__(self, encode_chunks, spaced: bool):
         self.encode_chunks, self.spaced = encode_chunks, spaced
@@ -88,9 +88,7 @@ class ChunkEncoder:
             i += 1
         self.pending = []
         self.starts, self.lengths = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.starts, self.lengths))
-        found = self.encode_chunks([self._chunk(new[i - first]) for i in plain])
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self._append(plain, lengths, np.fromiter((x for ids in found for x in ids), np.uint32, int(lengths.sum())))
+        self._append(plain, *self.encode_chunks([self._chunk(new[i - first]) for i in plain]))
         if joined:
             two = np.array(pairs)
             self._append(joined, self.lengths[two].sum(1), self.values[ranges(self.starts[two].ravel(), self.lengths[two].ravel())])
@@ -144,4 +142,15 @@ def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
     library = Tokenizer.from_file(path)
     library.no_padding()
     library.no_truncation()
-    return ChunkEncoder(lambda chunks: [x.ids for x in library.encode_batch(chunks, add_special_tokens=False)], spaced)
+
+    def encode_chunks(chunks: list[str], step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        lengths: list[int] = []
+        values: list[int] = []
+        for i in range(0, len(chunks), step):
+            for x in library.encode_batch(chunks[i : i + step], add_special_tokens=False):
+                ids = x.ids
+                lengths.append(len(ids))
+                values += ids
+        return np.array(lengths, np.int64), np.array(values, np.uint32)
+
+    return ChunkEncoder(encode_chunks, spaced)
