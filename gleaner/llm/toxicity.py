@@ -38,9 +38,10 @@ LANDMARKS, ROUNDS, THRESHOLD = 96, 4, 0.3
 COMPARED, VARIED = 30_000, 60
 #: Lowest score that a word can have.
 FLOOR = -4.0
+#: The symbol of a word's beginning.
+MARK = 27
 _SYMBOLS = np.full(256, 26)
 _SYMBOLS[97:123] = np.arange(26)
-_SYMBOLS[48:58] = 27
 _SYMBOLS[128:192] = 28 + np.arange(64) % 4
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
@@ -61,15 +62,15 @@ def stretches(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = words.cast(pa.large_binary())
     offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
     data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
-    sizes = np.diff(offsets)
+    sizes = np.diff(offsets) + 1  # a word begins with a mark of its own
     count = 1 + np.maximum(0, -(-(sizes - WIDTH) // STEP))
     owner = np.repeat(np.arange(len(words)), count)
-    begin = offsets[:-1][owner] + STEP * ranges(np.zeros(len(words), np.int64), count)
-    length = np.minimum(WIDTH, offsets[1:][owner] - begin)
-    at = begin[:, None] + np.arange(WIDTH)
-    inside = np.arange(WIDTH) < length[:, None]
-    symbols = np.where(inside, _SYMBOLS[data[np.minimum(at, max(0, len(data) - 1))]], 0) if len(data) else np.zeros((len(owner), WIDTH), np.int64)
-    return symbols, length, owner
+    begin = STEP * ranges(np.zeros(len(words), np.int64), count)
+    length = np.minimum(WIDTH, sizes[owner] - begin)
+    place = begin[:, None] + np.arange(WIDTH)  # in the word with its mark
+    at = np.clip(offsets[:-1][owner][:, None] + place - 1, 0, max(0, len(data) - 1))
+    symbols = np.where(place == 0, MARK, _SYMBOLS[data[at]] if len(data) else 0)
+    return np.where(np.arange(WIDTH) < length[:, None], symbols, 0), length, owner
 
 
 def triple_sums(symbols: np.ndarray, length: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -95,7 +96,7 @@ def triple_sums(symbols: np.ndarray, length: np.ndarray, table: np.ndarray) -> n
 
 def triples(word: bytes) -> np.ndarray:
     """A word's feature vector over all triples (its first stretch), by its norm."""
-    s = _SYMBOLS[np.frombuffer(word[:WIDTH], np.uint8)]
+    s = np.append(MARK, _SYMBOLS[np.frombuffer(word[: WIDTH - 1], np.uint8)])
     out = np.zeros(32**3)
     for a, b in _OFFSETS:
         if b < len(s):
@@ -217,7 +218,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     for s, label in zip(sets, y):
         hits[label, s] += 1
     odds = np.log((hits[1] + 0.5) / (y.sum() + 1)) - np.log((hits[0] + 0.5) / (len(y) - y.sum() + 1))
-    telling = np.argsort(-(odds * np.sqrt(hits[1]) * (odds > 1.5)), kind="stable")
+    evidence = odds * np.sqrt(hits[1]) * (odds > 1.5)
+    telling = np.argsort(-evidence, kind="stable")
     common = np.argsort(-hits[0], kind="stable")
     # Landmarks: words that tell the labels apart and common clean words, none too like another.
     landmarks, features = [], np.zeros((0, 32**3))
@@ -248,11 +250,13 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     chosen[np.argsort([zlib.crc32(w) for w in names], kind="stable")[:COMPARED]] = True
     mapped = np.zeros((len(names), len(features)))
     mapped[chosen] = mapped_words(vocabulary.filter(pa.array(chosen)))
-    positive = np.flatnonzero((odds > 2.5) & (hits[1] >= 3))
     negative = common[:4000]
     inserted = np.zeros((0, len(features)))
     clean = [s[chosen[s]] for s, label in zip(sets, y) if not label]
     sentences = [s[chosen[s]] for s, label in zip(sets, y) if label]
+    positive = np.array([k for s in sentences for k in s[np.argsort(-evidence[s], kind="stable")[:2]] if evidence[k] > 0], np.int64)
+    if not len(positive):
+        return Model(np.zeros(32**3), 0.0, np.zeros(3), float(y.mean()))
     for turn in range(ROUNDS):
         x = np.vstack([mapped[positive], inserted, mapped[negative]])
         sizes = [len(positive), len(inserted), len(negative)]
@@ -260,7 +264,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         w = _svm(x, sign, np.repeat([1000 / max(1, sizes[0]), 1000 / max(1, sizes[1]), 1000 / max(1, sizes[2])], sizes))
         scores = mapped @ w[:-1] + w[-1]
         ranked = (s[np.argsort(-scores[s], kind="stable")[:4]] for s in sentences)
-        positive = np.array([k for s in ranked for n, k in enumerate(s) if odds[k] > 0.5 and (n < 2 or scores[k] > 0 and odds[k] > 2.5)], np.int64)
+        positive = np.array([k for s in ranked for n, k in enumerate(s) if odds[k] > 2.0 and (n < 2 or scores[k] > 0)], np.int64)
         hard = [k for s in clean for k in s[np.argsort(-scores[s], kind="stable")[:3]]]
         negative = np.concatenate([common[:2000], np.array(hard, np.int64)])
         if not len(positive):
