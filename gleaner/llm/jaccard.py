@@ -24,14 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import documents, materialize, remove
+from gleaner.llm.common import distinct, documents, materialize, remove
 from gleaner.llm.components import connected_components
 from gleaner.llm.shingles import set_hash, shingle_sets
 
 #: Rows of the frequency table, local count from which a shingle enters it, shingles of a stretch.
 FREQUENT, LOCAL, STRETCH = 1 << 18, 3, 1 << 21
-#: Largest l, and the estimated cost of verifying a candidate against that of one posting.
-MOST_MATCHES, VERIFY_COST = 4, 8.0
+#: Largest l, the estimated cost of verifying a candidate against that of one posting, and the other
+#: classes that are expected to hold a shingle outside the frequency table.
+MOST_MATCHES, VERIFY_COST, RARE = 6, 8.0, 0.5
 CLASSES = "kind int, doc_id long, node long, n int, token long, seen long"
 
 
@@ -77,7 +78,7 @@ def prefix(shingles: np.ndarray, tokens: np.ndarray, seen: np.ndarray, percent:
         at = np.minimum(np.searchsorted(tokens, shingles), len(tokens) - 1)
         count = np.where(tokens[at] == shingles, seen[at], 0)
     order = np.argsort(count, kind="stable")  # equal counts stay in order of hash
-    postings = np.cumsum(count[order])
+    postings = np.cumsum(count[order] + RARE)
     most = min(MOST_MATCHES, n - shortest + 1)
     # A longer prefix costs its postings; a candidate that must match l of them is likelier to be real.
     cost = [shortest + m + postings[shortest + m - 1] * (1 + VERIFY_COST / (m + 1) ** 2) for m in range(most)]
@@ -129,8 +130,9 @@ def _postings(batches):
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         sizes = np.diff(np.append(starts, len(token)))
         keep = np.repeat(sizes > 1, sizes)
-        middle = np.repeat(starts + sizes // 2, sizes)  # lists go by size of set: the middle one suits most
-        cols = [token, node, n, matches, node[middle], n[middle], matches[middle]]
+        # The smallest name is the pivot: lists of the same group of copies mostly agree on it.
+        pivot = np.repeat(np.lexsort((node, np.repeat(np.arange(len(starts)), sizes)))[starts], sizes)
+        cols = [token, node, n, matches, node[pivot], n[pivot], matches[pivot]]
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names=["token", "node", "n", "matches", "pivot", "pivot_n", "pivot_matches"])
 
 
@@ -168,50 +170,64 @@ def _cross_pairs(batches, percent: int, block: int = 1 << 20):
 FILTER_BITS = 24
 
 
-def _filter_words(nodes: DataFrame) -> np.ndarray:
-    """A bit filter of class names, of fixed size whatever the input."""
-    bit = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = nodes.select(F.shiftright(bit, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
+def _filter_words(names: DataFrame) -> np.ndarray:
+    """A bit filter of 64-bit names, of fixed size whatever the input."""
+    bit = F.col("name").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = names.select(F.shiftright(bit, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
     out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
     for word, bits in words.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():  # at most 2**18 rows
         out[word] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
     return out
 
 
-def _verified(df: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (x, y) with ``linked``: whether their whole sets are similar enough."""
-    spark = df.sparkSession
-    needed = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-    words = spark.sparkContext.broadcast(_filter_words(needed))
+def _short(shingles: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash: within one pair of sets they stay distinct."""
+    return np.ascontiguousarray(shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (x, y) with ``linked``: whether their whole sets are similar enough.
+
+    Of every class that a pair names, the document with the smallest id sends its set.
+    """
+    spark = rows.sparkSession
+    needed = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(classes, "node")
+    words = spark.sparkContext.broadcast(_filter_words(needed.select(F.col("node").bitwiseXOR(F.coalesce("class_id", F.lit(0))).alias("name"))))
 
     def sets(batches):
         known: set[int] = set()
         for batch in batches:
             nodes, data = [], []
-            for s in shingle_sets(batch.column(0).to_pylist(), size):
+            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), size)):
                 if len(s) and (node := set_hash(s)) not in known:
-                    bit = node & ((1 << FILTER_BITS) - 1)
+                    bit = (node ^ (doc_id or 0)) & ((1 << FILTER_BITS) - 1)
                     if int(words.value[bit >> 6]) >> (bit & 63) & 1:
                         known.add(node)
                         nodes.append(node)
-                        data.append(s.tobytes())
+                        data.append(_short(s))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], names=["node", "tokens"])
 
-    whole = df.select("text").mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"])
-    whole, path = materialize(whole, "sets")
+    whole, path = materialize(rows.mapInArrow(sets, "node long, tokens binary"), "sets")
 
     def compare(batches):
         for batch in batches:
             out = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(a) + len(b) - len(np.union1d(a, b))
+                a, b = _long(a), _long(b)
+                common = len(a) + len(b) - len(distinct(np.concatenate([a, b])))
                 out.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["x", "y", "linked"])
 
     sides = pairs.join(whole.select(F.col("node").alias("y"), F.col("tokens").alias("y_tokens")), "y")
     sides = sides.join(whole.select(F.col("node").alias("x"), F.col("tokens").alias("x_tokens")), "x")
-    out, _ = materialize(sides.select("x", "y", "x_tokens", "y_tokens").mapInArrow(compare, "x long, y long, linked boolean"), "verified")
+    compared = sides.select("x", "y", "x_tokens", "y_tokens").mapInArrow(compare, "x long, y long, linked boolean")
+    out, _ = materialize(compared.distinct(), "verified")  # a filter lets few other documents of a class pass
     remove(spark, path)
     return out
 
@@ -226,6 +242,7 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first, _ = materialize(rows.mapInArrow(lambda b: _classes(b, size), CLASSES), "classes", "kind")
     docs = first.where("kind = 0").select("doc_id", "node", "n")
+    classes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     ranked = first.where("kind = 1").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT)
     top = sorted((t & 0xFFFFFFFFFFFFFFFF, s) for t, s in ranked.collect())  # at most FREQUENT rows
     table = spark.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([s for _, s in top], np.int64)))
@@ -237,7 +254,7 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     allowed = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
     stars = postings.where((F.col("node") != F.col("pivot")) & allowed).groupBy(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"), F.least("matches", "pivot_matches").alias("need")).count()
     stars, _ = materialize(stars.where("count >= need").select("x", "y"), "stars")
-    checked = _verified(rows, stars, size, percent)
+    checked = _verified(rows, classes, stars, size, percent)
     links = checked.where("linked").select("x", "y")
     roots, _ = materialize(connected_components(links), "roots")
 
@@ -246,12 +263,11 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     crossing = labelled.mapInArrow(lambda b: _cross_pairs(b, percent), "x long, y long, need int").groupBy("x", "y", "need").count()
     crossing, _ = materialize(crossing.where("count >= need").select("x", "y").join(checked, ["x", "y"], "left_anti"), "crossing")
     if crossing.limit(1).count():
-        more = _verified(rows, crossing, size, percent).where("linked").select("x", "y")
+        more = _verified(rows, classes, crossing, size, percent).where("linked").select("x", "y")
         if more.limit(1).count():
             roots, _ = materialize(connected_components(links.unionByName(more)), "roots")
     remove(spark, postings_path)
 
-    classes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = classes.join(groups, "root").select("node", "class_id", "component_id")
