@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from gleaner.plans import activity, catalog
+
+QUERIES: dict = catalog.QUERIES | activity.QUERIES
+SQL: dict[str, str] = catalog.SQL | activity.SQL
