@@ -29,6 +29,8 @@ from gleaner.llm.tokens import ChunkEncoder
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Stands between pieces; no merge has it.
 GAP = 0xFFFF
+#: Positions that are entered in the pair index at a time at first.
+FILED = 1 << 19
 
 
 def byte_names() -> dict[str, int]:
@@ -51,8 +53,8 @@ class PairIndexBpe:
         right = np.array([vocab[b] for _, b in merges], np.int64)
         self.left, self.right = left, right
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
-        keys = left << 16 | right
-        self.rank_of = np.argsort(keys, kind="stable")
+        keys = (left << 16 | right).astype(np.uint32)
+        self.rank_of = np.argsort(keys, kind="stable").astype(np.int32)
         self.keys = keys[self.rank_of]
         self.first = np.zeros(256, np.int64)
         for name, b in names.items():
@@ -79,15 +81,17 @@ class PairIndexBpe:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         n = int(sizes.sum()) + len(pieces) + 1
         begins = 1 + np.cumsum(sizes + 1) - (sizes + 1)
-        sym = np.full(n, GAP, np.int64)
-        sym[ranges(begins, sizes)] = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        sym = np.full(n, GAP, np.uint32)
+        inside = np.ones(n, bool)
+        inside[0] = inside[begins + sizes] = False
+        sym[inside] = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
         def file(at: np.ndarray) -> None:
             """Enter the pairs that begin at these positions."""
-            ranks = self.ranks(sym[at] << 16 | sym[after[at]])
+            ranks = self.ranks(sym[at] << np.uint32(16) | sym[after[at]])
             some = ranks >= 0
             ranks, at = ranks[some], at[some]
             if not len(at):
@@ -104,7 +108,8 @@ class PairIndexBpe:
                 index[rank].append(at[begin:end])
                 begin = end
 
-        file(np.arange(n - 1))
+        for i in range(0, n - 1, FILED):
+            file(np.arange(i, min(i + FILED, n - 1), dtype=np.int32))
         while heap:
             rank = heapq.heappop(heap)
             lists = index.pop(rank)
@@ -167,7 +172,7 @@ def worker_encoder(path: str) -> tuple[PairIndexBpe, ChunkEncoder]:
 
 
 #: Characters of text whose new pieces are merged together.
-GROUP_CHARS = 24_000_000
+GROUP_CHARS = 12_000_000
 
 
 def _with(df: DataFrame, text: str, names: list[str]) -> tuple[DataFrame, StructType]:

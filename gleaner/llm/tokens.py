@@ -27,6 +27,8 @@ _ODD = re.compile(r"[^\S \n]|[ \n][ \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Distinct chunks that a worker keeps; beyond that it starts anew.
 CACHED_CHUNKS = 1_000_000
+#: Chunks of text whose ids are put together at a time.
+GATHERED = 1 << 19
 
 
 class ChunkEncoder:
@@ -122,15 +124,22 @@ class ChunkEncoder:
         known = np.fromiter(map(look_up, seen.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(seen.dictionary))
         odd = {i: np.fromiter(map(look_up, keys), np.int64, len(keys)) for i, keys in odd.items()}
         self._learn()
-        chunks, cuts = known[seen.indices.to_numpy()], split.offsets.to_numpy()
-        sizes = self.lengths[chunks]
-        values = self.values[ranges(self.starts[chunks], sizes)]
-        ends = np.append(0, np.cumsum(sizes))[cuts].tolist()
-        for i in range(len(texts)):
-            if i in odd:
-                yield self.values[ranges(self.starts[odd[i]], self.lengths[odd[i]])]
-            else:
-                yield values[ends[i] : ends[i + 1]]
+        indices, cuts = seen.indices.to_numpy(), split.offsets.to_numpy()
+        del split, seen, plain
+        i = 0
+        while i < len(texts):  # ids are put together for a stretch of texts at a time
+            j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + GATHERED, "right")) - 1)
+            chunks = known[indices[cuts[i] : cuts[j]]]
+            sizes = self.lengths[chunks]
+            values = self.values[ranges(self.starts[chunks], sizes)]
+            ends = np.append(0, np.cumsum(sizes))[cuts[i : j + 1] - cuts[i]].tolist()
+            for k in range(i, j):
+                if k in odd:
+                    yield self.values[ranges(self.starts[odd[k]], self.lengths[odd[k]])]
+                else:
+                    yield values[ends[k - i] : ends[k - i + 1]]
+            i = j
+        pa.default_memory_pool().release_unused()
 
 
 @lru_cache(maxsize=4)

@@ -10,7 +10,7 @@ the machine. A toxic one is only known to hold some insult, so the machine is tr
 picks each toxic sentence's likeliest words and the hardest words of clean ones, and is fitted again. The surest words also stand there with a character inserted. The landmarks are words that tell the labels apart and common clean words.
 As the kernel's features are the 32**3 triples, the fitted sum over landmarks folds into one table,
 and scoring a word is a sum of table entries. A text's score is a logistic function of its two
-highest-scoring words.
+highest-scoring words, set to the rate of toxic rows among all labelled ones.
 
 Only text enters a score. A null or empty text has no words and gets the score of the lowest word
 score; repeated rows get equal scores; without labels of both kinds every score is the share of
@@ -94,6 +94,23 @@ def triple_sums(symbols: np.ndarray, length: np.ndarray, table: np.ndarray) -> n
     return out
 
 
+def many_triple_sums(symbols: np.ndarray, length: np.ndarray, tables: np.ndarray, step: int = 1024) -> np.ndarray:
+    """As :func:`triple_sums` for many tables at once, given as a row of all tables' entries for each triple."""
+    out = np.zeros((len(length), tables.shape[1]), np.float32)
+    order = np.argsort(length, kind="stable")
+    for i in range(0, len(order), step):
+        rows = order[i : i + step]
+        width = int(length[rows].max())
+        s = symbols[rows, :width]
+        total = np.zeros((len(rows), tables.shape[1]), np.float32)
+        for a, b in _OFFSETS:
+            for j in range(width - b):  # words of like length stand together, so few are shorter
+                live = np.flatnonzero(length[rows] > j + b)
+                total[live] += np.float32(DECAY ** (b + 1)) * tables[s[live, j] * 1024 + s[live, j + a] * 32 + s[live, j + b]]
+        out[rows] = total / _NORMS[length[rows]][:, None].astype(np.float32)
+    return out
+
+
 def triples(word: bytes) -> np.ndarray:
     """A word's feature vector over all triples (its first stretch), by its norm."""
     s = np.append(MARK, _SYMBOLS[np.frombuffer(word[: WIDTH - 1], np.uint8)])
@@ -132,7 +149,11 @@ class Model:
     def __init__(self, table: np.ndarray, bias: float, logistic: np.ndarray, constant: float | None = None):
         self.table, self.bias, self.logistic, self.constant = table, bias, logistic, constant
 
-    def word_scores(self, words: pa.Array) -> np.ndarray:
+    def word_scores(self, words: pa.Array, step: int = 16384) -> np.ndarray:
+        parts = [self._word_scores(words.slice(i, step)) for i in range(0, len(words), step)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _word_scores(self, words: pa.Array) -> np.ndarray:
         symbols, length, owner = stretches(words)
         scores = triple_sums(symbols, length, self.table) + self.bias
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
@@ -203,8 +224,9 @@ def _variants(words: list[bytes]) -> list[bytes]:
     return out + [mark.join(w[i : i + 1] for i in range(len(w))) for w in words if w.isascii() for mark in (b".", b"-")]
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
-    """Fit on labelled texts."""
+def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Model:
+    """Fit on labelled texts. ``rate`` is the share of toxic rows among all that are labelled: the
+    sample has more of them, so the logistic function's constant moves to that rate."""
     unique = {}
     for text, label in zip(texts, toxic):
         unique.setdefault(text, int(label))  # copies would lend weight to the words of one text
@@ -222,34 +244,40 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     telling = np.argsort(-evidence, kind="stable")
     common = np.argsort(-hits[0], kind="stable")
     # Landmarks: words that tell the labels apart and common clean words, none too like another.
-    landmarks, features = [], np.zeros((0, 32**3))
+    landmarks, features = [], np.zeros((LANDMARKS, 32**3))
     for words, share in ((telling, LANDMARKS // 2), (common, LANDMARKS)):
         for k in words[: 20 * LANDMARKS]:
             if len(landmarks) >= share:
                 break
             if len(names[k]) >= 3 and (words is common or odds[k] > 1.5 and hits[1, k] >= 2):
                 f = triples(names[k])
-                if not len(features) or (features @ f).max() < 0.95:
+                if (features[: len(landmarks)] @ f).max(initial=0) < 0.95:
+                    features[len(landmarks)] = f
                     landmarks.append(k)
-                    features = np.vstack([features, f])
+    features = features[: len(landmarks)]
     if not landmarks:
         return Model(np.zeros(32**3), 0.0, np.zeros(3), float(y.mean()))
     values, vectors = np.linalg.eigh(features @ features.T)
     values = np.maximum(values, 1e-6)
     root = vectors @ np.diag(values**-0.5) @ vectors.T
 
-    def mapped_words(words: pa.Array) -> np.ndarray:
-        symbols, length, owner = stretches(words)
-        first = np.append(True, owner[1:] != owner[:-1])
-        symbols, length = symbols[first], length[first]
-        return np.stack([triple_sums(symbols, length, f) for f in features], 1) @ root
+    tables, root = np.ascontiguousarray(features.T, np.float32), root.astype(np.float32)
+
+    def mapped_words(words: pa.Array, step: int = 16384) -> np.ndarray:
+        out = [np.zeros((0, len(features)), np.float32)]
+        for i in range(0, len(words), step):
+            symbols, length, owner = stretches(words.slice(i, step))
+            first = np.append(True, owner[1:] != owner[:-1])
+            out.append(many_triple_sums(symbols[first], length[first], tables) @ root)
+        return np.concatenate(out)
 
     chosen = np.zeros(len(names), bool)
     chosen[(odds > 0.5) & (hits[1] > 0)] = True
     chosen[common[: COMPARED // 3]] = True
     chosen[np.argsort([zlib.crc32(w) for w in names], kind="stable")[:COMPARED]] = True
-    mapped = np.zeros((len(names), len(features)))
-    mapped[chosen] = mapped_words(vocabulary.filter(pa.array(chosen)))
+    mapped = mapped_words(vocabulary.filter(pa.array(chosen)))
+    row_of = np.cumsum(chosen) - 1  # of a chosen word, in mapped
+    common = common[chosen[common]]
     negative = common[:4000]
     inserted = np.zeros((0, len(features)))
     clean = [s[chosen[s]] for s, label in zip(sets, y) if not label]
@@ -258,11 +286,12 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     if not len(positive):
         return Model(np.zeros(32**3), 0.0, np.zeros(3), float(y.mean()))
     for turn in range(ROUNDS):
-        x = np.vstack([mapped[positive], inserted, mapped[negative]])
+        x = np.vstack([mapped[row_of[positive]], inserted, mapped[row_of[negative]]]).astype(float)
         sizes = [len(positive), len(inserted), len(negative)]
         sign = np.repeat([1.0, 1.0, -1.0], sizes)
         w = _svm(x, sign, np.repeat([1000 / max(1, sizes[0]), 1000 / max(1, sizes[1]), 1000 / max(1, sizes[2])], sizes))
-        scores = mapped @ w[:-1] + w[-1]
+        scores = np.full(len(names), FLOOR)
+        scores[chosen] = mapped @ w[:-1] + w[-1]
         ranked = (s[np.argsort(-scores[s], kind="stable")[:4]] for s in sentences)
         positive = np.array([k for s in ranked for n, k in enumerate(s) if odds[k] > 2.0 and (n < 2 or scores[k] > 0)], np.int64)
         hard = [k for s in clean for k in s[np.argsort(-scores[s], kind="stable")[:3]]]
@@ -276,6 +305,9 @@ def train(texts: list[str], toxic: list[int]) -> Model:
             inserted = mapped_words(pa.array(variants, pa.large_binary())) if variants else inserted
     model = Model((root @ w[:-1]) @ features, float(w[-1]), np.zeros(3))
     model.logistic = _logistic(model.tops(vocabulary, codes, cuts), y.astype(float))
+    if rate is not None and 0 < rate < 1:
+        drawn = y.mean()
+        model.logistic[2] += np.log(rate / (1 - rate)) - np.log(drawn / (1 - drawn))
     return model
 
 
@@ -292,7 +324,8 @@ def train_on(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     rows = []
     for part in drawn:
         rows += texts.join(part, key).orderBy(F.xxhash64(key), key).limit(SAMPLE).select("text", "label").collect()
-    return train([r["text"] for r in rows], [r["label"] for r in rows])
+    rate = marked.agg(F.avg("label")).first()[0]
+    return train([r["text"] for r in rows], [r["label"] for r in rows], rate)
 
 
 def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
