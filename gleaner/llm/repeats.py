@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gleaner.llm.bwt import repeated_starts
@@ -200,12 +200,14 @@ def repeated_windows(df: DataFrame, least: int = 400, key: str = "doc_id", text:
     """(doc_key, text_hash, spans): runs of repeated windows of every text that has some."""
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc_key"), F.xxhash64(text_or_empty(text)).alias("text_hash"), text_or_empty(text).alias("text"))
     segments = rows.mapInArrow(lambda b: _segments(b, least), SEGMENT)
-    anchor, copy = Window.partitionBy("hash"), Window.partitionBy("hash", "content")
-    dealt = segments.withColumns({"n": F.count(F.lit(1)).over(anchor), "low": F.min("content").over(anchor), "high": F.max("content").over(anchor)}).where("n > 1")
-    first = F.row_number().over(copy.orderBy("doc_key", "text_hash", "start")) == 1
-    dealt = dealt.withColumns({"times": F.count(F.lit(1)).over(copy).cast("int"), "first": first}).withColumn("lone", F.col("low") == F.col("high"))
-    places, _ = materialize(dealt.select("hash", "content", "doc_key", "text_hash", "start", "windows", "times", "first", "lone"), "places")
-    needed = places.where("first").groupBy("doc_key", "text_hash").agg(F.collect_list(F.struct("start", "windows", "hash", "content", "times", "lone")).alias("segments"))
+    # Counts merge before the shuffle and the join splits large keys, so an anchor that very many
+    # texts share is no hot task; copies of a segment are one row from the first count on.
+    many, _ = materialize(segments.groupBy("hash").count().where("count > 1").select("hash"), "anchors")
+    places, _ = materialize(segments.join(many, "hash"), "places")
+    groups, _ = materialize(places.groupBy("hash", "content").agg(F.count(F.lit(1)).cast("int").alias("times"), F.min(F.struct("doc_key", "text_hash", "start", "windows")).alias("first")), "segments")
+    kinds = groups.groupBy("hash").agg((F.count(F.lit(1)) == 1).alias("lone"))
+    firsts = groups.join(kinds, "hash").select("first.*", "hash", "content", "times", "lone")
+    needed = firsts.groupBy("doc_key", "text_hash").agg(F.collect_list(F.struct("start", "windows", "hash", "content", "times", "lone")).alias("segments"))
     cut = rows.join(needed, ["doc_key", "text_hash"])
     strings = cut.select("text", "segments").mapInArrow(lambda b: _strings(b, least), STRING)
     found = strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _index(b, least), FOUND)
