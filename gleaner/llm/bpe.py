@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from gleaner.llm.common import distinct, documents, ranges, text_or_empty
+from gleaner.llm.common import distinct, documents, ranges, text_or_empty, trimmed
 from gleaner.llm.tokens import ChunkEncoder
 
 #: The pattern that splits text before the merges.
@@ -194,8 +194,9 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             values = np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, values)], names=schema.names)
+        encoder.shrink()
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -211,7 +212,7 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
             out = [bpe.decode(np.array(x.values if x.is_valid else [], np.int64)) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)
 
 
 def bpe_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,8 +232,9 @@ def bpe_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text
                 ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_hash.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=schema.names)
+        encoder.shrink()
 
-    return df.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(run, schema)
+    return df.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(trimmed(run), schema)
 
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

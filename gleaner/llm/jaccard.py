@@ -24,12 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import distinct, documents, materialize, remove
+from gleaner.llm.common import distinct, documents, materialize, remove, trimmed
 from gleaner.llm.components import connected_components
 from gleaner.llm.shingles import set_hash, shingle_sets
 
 #: Rows of the frequency table, local count from which a shingle enters it, shingles of a stretch.
-FREQUENT, LOCAL, STRETCH = 1 << 18, 3, 1 << 21
+FREQUENT, LOCAL, STRETCH = 1 << 18, 3, 1 << 20
 #: Largest l, the estimated cost of verifying a candidate against that of one posting, and the other
 #: classes that are expected to hold a shingle outside the frequency table.
 MOST_MATCHES, VERIFY_COST, RARE = 6, 8.0, 0.5
@@ -213,7 +213,7 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
                         data.append(_short(s))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], names=["node", "tokens"])
 
-    whole, path = materialize(rows.mapInArrow(sets, "node long, tokens binary"), "sets")
+    whole, path = materialize(rows.mapInArrow(trimmed(sets), "node long, tokens binary"), "sets")
 
     def compare(batches):
         for batch in batches:
@@ -226,7 +226,7 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
 
     sides = pairs.join(whole.select(F.col("node").alias("y"), F.col("tokens").alias("y_tokens")), "y")
     sides = sides.join(whole.select(F.col("node").alias("x"), F.col("tokens").alias("x_tokens")), "x")
-    compared = sides.select("x", "y", "x_tokens", "y_tokens").mapInArrow(compare, "x long, y long, linked boolean")
+    compared = sides.select("x", "y", "x_tokens", "y_tokens").mapInArrow(trimmed(compare), "x long, y long, linked boolean")
     out, _ = materialize(compared.distinct(), "verified")  # a filter lets few other documents of a class pass
     remove(spark, path)
     return out
@@ -240,14 +240,14 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first, _ = materialize(rows.mapInArrow(lambda b: _classes(b, size), CLASSES), "classes", "kind")
+    first, _ = materialize(rows.mapInArrow(trimmed(lambda b: _classes(b, size)), CLASSES), "classes", "kind")
     docs = first.where("kind = 0").select("doc_id", "node", "n")
     classes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     ranked = first.where("kind = 1").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT)
     top = sorted((t & 0xFFFFFFFFFFFFFFFF, s) for t, s in ranked.collect())  # at most FREQUENT rows
     table = spark.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([s for _, s in top], np.int64)))
 
-    lists = rows.select("text").mapInArrow(lambda b: _prefixes(b, size, percent, table), "node long, n int, matches int, tokens array<long>")
+    lists = rows.select("text").mapInArrow(trimmed(lambda b: _prefixes(b, size, percent, table)), "node long, n int, matches int, tokens array<long>")
     dealt = lists.select(F.explode("tokens").alias("token"), "n", "node", "matches").repartition("token").sortWithinPartitions("token", "n", "node")
     postings, postings_path = materialize(dealt.mapInArrow(_postings, "token long, node long, n int, matches int, pivot long, pivot_n int, pivot_matches int"), "postings")
 
@@ -260,7 +260,7 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
 
     labelled = postings.join(roots, "node", "left").select("token", "n", "node", "matches", F.coalesce("root", "node").alias("root"))
     labelled = labelled.repartition("token").sortWithinPartitions("token", "n", "node")
-    crossing = labelled.mapInArrow(lambda b: _cross_pairs(b, percent), "x long, y long, need int").groupBy("x", "y", "need").count()
+    crossing = labelled.mapInArrow(trimmed(lambda b: _cross_pairs(b, percent)), "x long, y long, need int").groupBy("x", "y", "need").count()
     crossing, _ = materialize(crossing.where("count >= need").select("x", "y").join(checked, ["x", "y"], "left_anti"), "crossing")
     if crossing.limit(1).count():
         more = _verified(rows, classes, crossing, size, percent).where("linked").select("x", "y")

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gleaner.llm.bwt import repeated_starts
-from gleaner.llm.common import documents, materialize, text_or_empty
+from gleaner.llm.common import documents, materialize, text_or_empty, trimmed
 
 #: Bytes of an anchor, of texts that are hashed together, and of strings that are indexed together.
-GRAM, GROUP_BYTES, INDEX_BYTES = 160, 3_000_000, 1_500_000
+GRAM, GROUP_BYTES, INDEX_BYTES = 160, 1_000_000, 1_000_000
 SEGMENT = "hash long, content long, doc_key long, text_hash long, start int, windows int"
 STRING = "anchor long, bytes binary, pieces array<struct<hash:long,content:long,windows:int,times:int>>"
 FOUND = "hash long, content long, begins array<int>, ends array<int>"
@@ -65,14 +65,14 @@ class Anchors:
         none = np.zeros(0, np.int64)
         if n < least:
             return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-        room = 1 << max(22, n.bit_length())
+        room = 1 << max(21, n.bit_length())
         up, down = _powers(_BASE, room), _powers(pow(_BASE, -1, 1 << 64), room)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.table[data] * up[:n], out=sums[1:])
         h = _mixed((sums[self.gram :] - sums[: -self.gram]) * down[: n - self.gram + 1])
         windows = len(h) - width + 1
         # The place takes the low bits, so of equal hashes the first is the anchor.
-        places = np.uint64((1 << max(22, n.bit_length())) - 1)
+        places = np.uint64((1 << max(21, n.bit_length())) - 1)
         placed = (h & ~places) | np.arange(len(h), dtype=np.uint64)
         blocks = np.concatenate([placed, np.full(-len(h) % width, ~np.uint64(0))]).reshape(-1, width)
         ahead = np.minimum.accumulate(blocks, 1).ravel()
@@ -199,7 +199,7 @@ def _bounded(rows: list, least: int):
 def repeated_windows(df: DataFrame, least: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_key, text_hash, spans): runs of repeated windows of every text that has some."""
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc_key"), F.xxhash64(text_or_empty(text)).alias("text_hash"), text_or_empty(text).alias("text"))
-    segments = rows.mapInArrow(lambda b: _segments(b, least), SEGMENT)
+    segments = rows.mapInArrow(trimmed(lambda b: _segments(b, least)), SEGMENT)
     # Counts merge before the shuffle and the join splits large keys, so an anchor that very many
     # texts share is no hot task; copies of a segment are one row from the first count on.
     many, _ = materialize(segments.groupBy("hash").count().where("count > 1").select("hash"), "anchors")
@@ -209,8 +209,8 @@ def repeated_windows(df: DataFrame, least: int = 400, key: str = "doc_id", text:
     firsts = groups.join(kinds, "hash").select("first.*", "hash", "content", "times", "lone")
     needed = firsts.groupBy("doc_key", "text_hash").agg(F.collect_list(F.struct("start", "windows", "hash", "content", "times", "lone")).alias("segments"))
     cut = rows.join(needed, ["doc_key", "text_hash"])
-    strings = cut.select("text", "segments").mapInArrow(lambda b: _strings(b, least), STRING)
-    found = strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _index(b, least), FOUND)
+    strings = cut.select("text", "segments").mapInArrow(trimmed(lambda b: _strings(b, least)), STRING)
+    found = strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(lambda b: _index(b, least)), FOUND)
     found, _ = materialize(found, "repeated")
     spans = places.select("hash", "content", "doc_key", "text_hash", "start").join(found, ["hash", "content"])
     return spans.groupBy("doc_key", "text_hash").agg(F.collect_list(F.struct("start", "begins", "ends")).alias("spans"))
@@ -255,7 +255,7 @@ def remove_repeats(df: DataFrame, least: int = 400, key: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     names = df.columns
-    return _joined(df, least, key, text).select(*names, "_spans").mapInArrow(run, df.schema)
+    return _joined(df, least, key, text).select(*names, "_spans").mapInArrow(trimmed(run), df.schema)
 
 
 def repeat_digests(df: DataFrame, least: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,7 +272,7 @@ def repeat_digests(df: DataFrame, least: int = 400, key: str = "doc_id", text: s
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=schema.names)
 
-    return _joined(df, least, key, text).select(F.col(key), text_or_empty(text).alias("text"), "_spans").mapInArrow(run, schema)
+    return _joined(df, least, key, text).select(F.col(key), text_or_empty(text).alias("text"), "_spans").mapInArrow(trimmed(run), schema)
 
 
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

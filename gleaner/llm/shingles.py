@@ -11,7 +11,7 @@ from gleaner.llm.common import distinct
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of text that are hashed together.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -27,6 +27,8 @@ _ODD = re.compile(r"[^\S \n]|[ \n][ \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Distinct chunks that a worker keeps; beyond that it starts anew.
 CACHED_CHUNKS = 1_000_000
+#: Distinct chunks that a worker keeps from one task to the next.
+HELD_CHUNKS = 500_000
 #: Chunks of text whose ids are put together at a time.
 GATHERED = 1 << 19
 
@@ -100,6 +102,11 @@ class ChunkEncoder:
         self.lengths[at] = lengths
         self.values = np.concatenate([self.values, values])
 
+    def shrink(self) -> None:
+        """Start anew if more than ``HELD_CHUNKS`` are known; called at the end of a task."""
+        if len(self.index) > HELD_CHUNKS:
+            self._reset()
+
     def encode(self, texts: list[str], group_chars: int = 4_000_000):
         """An array of uint32 ids for each text, in groups of about ``group_chars``."""
         group, chars = [], 0

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from gleaner.llm.common import documents, ranges
+from gleaner.llm.common import documents, ranges, trimmed
 
 #: Texts of either label that are learned from, and the longest of them in characters.
 SAMPLE, LONGEST = 2500, 20_000
@@ -174,7 +174,7 @@ class Model:
             out[full, 0], out[full, 1] = best, np.maximum.reduceat(rest, starts)
         return out
 
-    def scores(self, texts: list[str | None], group_chars: int = 4_000_000) -> np.ndarray:
+    def scores(self, texts: list[str | None], group_chars: int = 2_000_000) -> np.ndarray:
         """The score, 0 to 1, of every whole text."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
@@ -339,7 +339,7 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame
             scores = shared.value.scores(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
