@@ -10,7 +10,8 @@ verified on their whole sets. The frequency table only steers cost, never the re
 
 Pairs are never all emitted. First each posting list links its members to one pivot; verified links
 make components. Then only pairs of one list that lie in different components are formed, verified,
-and joined to the components. So a group of n near copies costs about n verifications a list, and
+and joined to the components; in longer lists a pair is formed only if sketches of the two whole
+sets do not rule the link out. So a group of n near copies costs about n verifications a list, and
 no link between different components is lost.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. Repeated
@@ -33,12 +34,21 @@ FREQUENT, LOCAL, STRETCH = 1 << 18, 3, 1 << 20
 #: Largest l, the estimated cost of verifying a candidate against that of one posting, and the other
 #: classes that are expected to hold a shingle outside the frequency table.
 MOST_MATCHES, VERIFY_COST, RARE = 6, 8.0, 0.5
-CLASSES = "kind int, doc_id long, node long, n int, token long, seen long"
+CLASSES = "kind int, doc_id long, node long, n int, token long, seen long, sketch binary"
+#: Bits of a set's sketch, and the members of a list from which pairs are compared by it.
+SKETCH_BITS, SKETCHED = 512, 8
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each bit whether an odd number of shingles falls on it. Two sets' sketches differ in no
+    more bits than the sets differ in shingles, so they bound the intersection from above."""
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _classes(batches, size: int):
     """Rows of kind 0: a document's class; of kind 1: a shingle frequent in this stretch."""
-    names = ["kind", "doc_id", "node", "n", "token", "seen"]
+    names = ["kind", "doc_id", "node", "n", "token", "seen", "sketch"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     stretch, held, known = [], 0, set()
 
@@ -49,13 +59,14 @@ def _classes(batches, size: int):
         stretch, held = [], 0
         known.clear()
         n, none = len(tokens), pa.nulls(len(tokens))
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(tokens.view(np.int64)), pa.array(seen)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(tokens.view(np.int64)), pa.array(seen), none.cast(pa.binary())], names=names)
 
     for batch in batches:
-        nodes, counts = [], []
+        nodes, counts, sketches = [], [], []
         for s in shingle_sets(batch.column(1).to_pylist(), size):
             node = set_hash(s) if len(s) else None
             nodes.append(node)
+            sketches.append(sketch(s) if len(s) else None)
             counts.append(len(s))
             if len(s) and node not in known:
                 known.add(node)
@@ -64,7 +75,7 @@ def _classes(batches, size: int):
                 if held >= STRETCH:
                     yield frequent()
         n, none = len(nodes), pa.nulls(len(nodes), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).cast(pa.int64()), pa.array(nodes, kinds[2]), pa.array(counts, kinds[3]), none, none], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).cast(pa.int64()), pa.array(nodes, kinds[2]), pa.array(counts, kinds[3]), none, none, pa.array(sketches, pa.binary())], names=names)
     if stretch:
         yield frequent()
 
@@ -132,8 +143,8 @@ def _postings(batches):
         keep = np.repeat(sizes > 1, sizes)
         # The smallest name is the pivot: lists of the same group of copies mostly agree on it.
         pivot = np.repeat(np.lexsort((node, np.repeat(np.arange(len(starts)), sizes)))[starts], sizes)
-        cols = [token, node, n, matches, node[pivot], n[pivot], matches[pivot]]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names=["token", "node", "n", "matches", "pivot", "pivot_n", "pivot_matches"])
+        cols = [token, node, n, matches, node[pivot], n[pivot], matches[pivot], np.repeat(sizes, sizes).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names=["token", "node", "n", "matches", "pivot", "pivot_n", "pivot_matches", "size"])
 
 
 def _cross_pairs(batches, percent: int, block: int = 1 << 20):
@@ -144,15 +155,19 @@ def _cross_pairs(batches, percent: int, block: int = 1 << 20):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (xs, ys, needs)], names=names)
 
     xs, ys, needs, held = [], [], [], 0
-    for token, n, node, matches, root in _runs(batches):
+    for token, n, node, matches, root, sketches in _runs(batches):
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         ends = np.append(starts[1:], len(token))
         mixed = np.add.reduceat((root != root[np.repeat(starts, ends - starts)]).astype(np.int64), starts) > 0
         for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
             top = np.searchsorted(n[s:e], 100 * n[s:e] // percent, "right")
+            bits = np.frombuffer(b"".join(sketches[s:e]), np.uint64).reshape(e - s, -1) if e - s >= SKETCHED else None
             for i in range(e - s - 1):
                 j = np.arange(s + i + 1, s + top[i])
                 j = j[root[j] != root[s + i]]
+                if bits is not None and len(j):  # sizes a and b link if they differ in at most (1 - t) / (1 + t) of a + b
+                    differ = np.bitwise_count(bits[j - s] ^ bits[i]).sum(1, dtype=np.int64)
+                    j = j[(100 + percent) * differ <= (100 - percent) * (n[j].astype(np.int64) + int(n[s + i]))]
                 if len(j):
                     a = node[s + i]
                     xs.append(np.minimum(a, node[j]))
@@ -242,6 +257,7 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first, _ = materialize(rows.mapInArrow(trimmed(lambda b: _classes(b, size)), CLASSES), "classes", "kind")
     docs = first.where("kind = 0").select("doc_id", "node", "n")
+    sketches = first.where("kind = 0 and node is not null").groupBy("node").agg(F.min("sketch").alias("sketch"))
     classes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     ranked = first.where("kind = 1").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT)
     top = sorted((t & 0xFFFFFFFFFFFFFFFF, s) for t, s in ranked.collect())  # at most FREQUENT rows
@@ -249,7 +265,7 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
 
     lists = rows.select("text").mapInArrow(trimmed(lambda b: _prefixes(b, size, percent, table)), "node long, n int, matches int, tokens array<long>")
     dealt = lists.select(F.explode("tokens").alias("token"), "n", "node", "matches").repartition("token").sortWithinPartitions("token", "n", "node")
-    postings, postings_path = materialize(dealt.mapInArrow(_postings, "token long, node long, n int, matches int, pivot long, pivot_n int, pivot_matches int"), "postings")
+    postings, postings_path = materialize(dealt.mapInArrow(_postings, "token long, node long, n int, matches int, pivot long, pivot_n int, pivot_matches int, size int"), "postings")
 
     allowed = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
     stars = postings.where((F.col("node") != F.col("pivot")) & allowed).groupBy(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"), F.least("matches", "pivot_matches").alias("need")).count()
@@ -258,7 +274,9 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     links = checked.where("linked").select("x", "y")
     roots, _ = materialize(connected_components(links), "roots")
 
-    labelled = postings.join(roots, "node", "left").select("token", "n", "node", "matches", F.coalesce("root", "node").alias("root"))
+    large = sketches.join(postings.where(F.col("size") >= SKETCHED).select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "_node")
+    labelled = postings.join(roots, "node", "left").join(large, (F.col("node") == F.col("_node")) & (F.col("size") >= SKETCHED), "left")
+    labelled = labelled.select("token", "n", "node", "matches", F.coalesce("root", "node").alias("root"), "sketch")
     labelled = labelled.repartition("token").sortWithinPartitions("token", "n", "node")
     crossing = labelled.mapInArrow(trimmed(lambda b: _cross_pairs(b, percent)), "x long, y long, need int").groupBy("x", "y", "need").count()
     crossing, _ = materialize(crossing.where("count >= need").select("x", "y").join(checked, ["x", "y"], "left_anti"), "crossing")
