@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from gleaner.llm.common import documents, ranges, trimmed
+from gleaner.llm.common import documents, ranges, trim, trimmed
 
 #: Texts of either label that are learned from, and the longest of them in characters.
 SAMPLE, LONGEST = 2500, 20_000
@@ -325,7 +325,10 @@ def train_on(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     for part in drawn:
         rows += texts.join(part, key).orderBy(F.xxhash64(key), key).limit(SAMPLE).select("text", "label").collect()
     rate = marked.agg(F.avg("label")).first()[0]
-    return train([r["text"] for r in rows], [r["label"] for r in rows], rate)
+    model = train([r["text"] for r in rows], [r["label"] for r in rows], rate)
+    del rows, part
+    trim()
+    return model
 
 
 def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
