@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gleaner.llm.common import distinct, documents, materialize, remove, trimmed
 from gleaner.llm.components import connected_components
@@ -34,6 +34,8 @@ FREQUENT, LOCAL, STRETCH = 1 << 18, 3, 1 << 20
 #: Largest l, the estimated cost of verifying a candidate against that of one posting, and the other
 #: classes that are expected to hold a shingle outside the frequency table.
 MOST_MATCHES, VERIFY_COST, RARE = 6, 8.0, 0.5
+#: Pivots that a class is compared with before pairs across components are.
+PIVOTS = 3
 CLASSES = "kind int, doc_id long, node long, n int, token long, seen long, sketch binary"
 #: Bits of a set's sketch, and the members of a list from which pairs are compared by it.
 SKETCH_BITS, SKETCHED = 512, 8
@@ -268,8 +270,11 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     postings, postings_path = materialize(dealt.mapInArrow(_postings, "token long, node long, n int, matches int, pivot long, pivot_n int, pivot_matches int, size int"), "postings")
 
     allowed = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
-    stars = postings.where((F.col("node") != F.col("pivot")) & allowed).groupBy(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"), F.least("matches", "pivot_matches").alias("need")).count()
-    stars, _ = materialize(stars.where("count >= need").select("x", "y"), "stars")
+    stars = postings.where((F.col("node") != F.col("pivot")) & allowed).groupBy("node", "pivot", F.least("matches", "pivot_matches").alias("need")).count().where("count >= need")
+    # The pivots that share most with a class; whatever link another one would give, the crossing pairs find.
+    nearest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "pivot"))
+    stars = stars.withColumn("nth", nearest).where(F.col("nth") <= PIVOTS).select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct()
+    stars, _ = materialize(stars, "stars")
     checked = _verified(rows, classes, stars, size, percent)
     links = checked.where("linked").select("x", "y")
     roots, _ = materialize(connected_components(links), "roots")
