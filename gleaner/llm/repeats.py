@@ -8,6 +8,12 @@ indexed by a Burrows-Wheeler transform, and threshold-bounded interval expansion
 that share ``least`` bytes or more with another (see :mod:`gleaner.llm.bwt`). Consecutive segments
 of a text that are alone with their copies under their anchors go as one string.
 
+A passage shorter than ``least`` in very many texts gives one anchor a different segment in each.
+Such hot anchors are split before any task holds them: their segments fall into segments of a longer
+anchor, equal ones of which merge and lone ones leave, and those whose anchor is hot again go on to
+a longer one, at last to single windows. So the strings of an anchor that are indexed together are
+at most ``HOT_BYTES``.
+
 The found windows return to every occurrence of their segment, and a text loses the union of its
 windows. Matches never cross texts; all strings are judged on the input. A null text is empty;
 repeated rows repeat all their bytes; texts shorter than ``least`` lose nothing. Empty tables give no
@@ -29,9 +35,12 @@ from gleaner.llm.common import documents, materialize, text_or_empty, trimmed
 
 #: Bytes of an anchor, of texts that are hashed together, and of strings that are indexed together.
 GRAM, GROUP_BYTES, INDEX_BYTES = 160, 1_000_000, 1_000_000
+#: Bytes of one anchor's different segments from which on they are split by longer anchors.
+HOT_BYTES = 2_000_000
 SEGMENT = "hash long, content long, doc_key long, text_hash long, start int, windows int"
-STRING = "anchor long, bytes binary, pieces array<struct<hash:long,content:long,windows:int,times:int>>"
+STRING = "anchor long, bytes binary, pieces array<struct<hash:long,content:long,windows:int,times:long>>"
 FOUND = "hash long, content long, begins array<int>, ends array<int>"
+PART = "part_hash long, part_content long, hash long, content long, first int, windows int, times long"
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -55,8 +64,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Anchors:
     """Segments of byte strings by the smallest hash within each window."""
 
-    def __init__(self, least: int, seed: int = 0):
-        self.least, self.gram = least, min(GRAM, least)
+    def __init__(self, least: int, seed: int = 0, gram: int = GRAM):
+        self.least, self.gram = least, min(gram, least)
         self.table = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
 
     def segments(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -118,7 +127,7 @@ def _strings(batches, least: int):
             for row in sorted(rows, key=lambda x: x["start"]):
                 piece = {k: row[k] for k in ("hash", "content", "windows", "times")}
                 after = row["start"] + row["windows"]
-                if row["lone"] and end == row["start"]:
+                if row["lone"] and end == row["start"] and after - data[-1][0] < INDEX_BYTES:
                     pieces[-1].append(piece)
                     data[-1] = (data[-1][0], after + least - 1)
                 else:
@@ -127,73 +136,93 @@ def _strings(batches, least: int):
                     pieces.append([piece])
                 end = after if row["lone"] else None
             data = [text[x[0] : x[1]] if isinstance(x, tuple) else x for x in data]
-        yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(data, pa.binary()), pa.array(pieces, pa.list_(pa.struct([("hash", pa.int64()), ("content", pa.int64()), ("windows", pa.int32()), ("times", pa.int32())])))], names=["anchor", "bytes", "pieces"])
+        yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(data, pa.binary()), pa.array(pieces, pa.list_(pa.struct([("hash", pa.int64()), ("content", pa.int64()), ("windows", pa.int32()), ("times", pa.int64())])))], names=["anchor", "bytes", "pieces"])
 
 
 def _index(batches, least: int):
     """Index strings, whole anchors together, and give each piece's runs of repeated windows."""
-    held, size, last = [], 0, None
+    held, seen, size, last = [], set(), 0, None
 
     def found(rows):
-        for part in _bounded(rows, least):
-            strings = [np.frombuffer(x, np.uint8) for x, _ in part]
-            many = repeated_starts(strings, np.array([min(p["times"] for p in pieces) for _, pieces in part]), least)
-            out = []
-            for flags, (_, pieces) in zip(many, part):
-                at = 0
-                for p in pieces:
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags[at : at + p["windows"]].astype(np.int8), [0]])))
-                    if len(edges):
-                        edges += p.get("first", 0)
-                        out.append({"hash": p["hash"], "content": p["content"], "begins": edges[::2].tolist(), "ends": edges[1::2].tolist()})
-                    at += p["windows"]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("hash", pa.int64()), ("content", pa.int64()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]))
+        strings = [np.frombuffer(x, np.uint8) for x, _ in rows]
+        many = repeated_starts(strings, np.array([min(p["times"] for p in pieces) for _, pieces in rows]), least)
+        out = []
+        for flags, (_, pieces) in zip(many, rows):
+            at = 0
+            for p in pieces:
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], flags[at : at + p["windows"]].astype(np.int8), [0]])))
+                if len(edges):
+                    out.append({"hash": p["hash"], "content": p["content"], "begins": edges[::2].tolist(), "ends": edges[1::2].tolist()})
+                at += p["windows"]
+        return pa.RecordBatch.from_pylist(out, schema=pa.schema([("hash", pa.int64()), ("content", pa.int64()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]))
 
     for batch in batches:
         for anchor, data, pieces in zip(*(c.to_pylist() for c in batch.columns)):
             if size >= INDEX_BYTES and anchor != last:
-                yield from found(held)
-                held, size = [], 0
-            held.append((data, pieces))
-            size += len(data)
-            last = anchor
+                yield found(held)
+                held, seen, size = [], set(), 0
+            last, name = anchor, (anchor, pieces[0]["content"], len(data))
+            if name not in seen:  # rows of one key and text send their strings more than once
+                seen.add(name)
+                held.append((data, pieces))
+                size += len(data)
     if held:
-        yield from found(held)
-
-
-def _bounded(rows: list, least: int):
-    """Parts of at most about twice INDEX_BYTES. One anchor with more different strings than that is
-    parted by further anchors, of another seed, which equal windows share as well."""
-    if sum(len(x) for x, _ in rows) <= 4 * INDEX_BYTES:
-        yield rows
-        return
-    sizes = np.array([len(x) for x, _ in rows])
-    parts = []
-    step = 0
-    for stop in [*np.flatnonzero(np.diff(np.cumsum(sizes) // GROUP_BYTES)) + 1, len(rows)]:
-        group = rows[step:stop]
-        anchor, _, owner, start, count = Anchors(least, seed=1).segments(np.frombuffer(b"".join(x for x, _ in group), np.uint8), sizes[step:stop])
-        for a, o, s, c in zip(anchor.tolist(), owner.tolist(), start.tolist(), count.tolist()):
-            parts.append((a, step + o, s, c))
-        step = stop
-    parts.sort()
-    part, size, last = [], 0, None
-    for a, o, s, c in parts:
-        if size >= INDEX_BYTES and a != last:
-            yield part
-            part, size = [], 0
-        data, pieces = rows[o]
-        inner, at = [], 0
-        for p in pieces:  # the windows s to s + c of the string, by its pieces
-            i, j = max(s, at), min(s + c, at + p["windows"])
-            if i < j:
-                inner.append({**p, "windows": j - i, "first": i - at + p.get("first", 0)})
-            at += p["windows"]
-        part.append((data[s : s + c + least - 1], inner))
-        size += c + least - 1
-        last = a
-    if part:
-        yield part
+        yield found(held)
+
+
+def _indexed(strings: DataFrame, least: int) -> DataFrame:
+    found = strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(lambda b: _index(b, least)), FOUND)
+    return materialize(found, "repeated")[0]
+
+
+def _parts(batches, least: int, gram: int):
+    """Segments of segments, by anchors of ``gram`` bytes."""
+    anchors = Anchors(least, gram, gram)
+    names = ["part_hash", "part_content", "hash", "content", "first", "windows", "times"]
+    for batch in batches:
+        hashes, contents, times = (batch.column(i).to_numpy() for i in range(3))
+        data = batch.column(3).to_pylist()
+        sizes = np.array([len(x) for x in data], np.int64)
+        group = np.cumsum(sizes) // GROUP_BYTES
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            anchor, content, owner, start, count = anchors.segments(np.frombuffer(b"".join(data[i] for i in at), np.uint8), sizes[at])
+            of = at[owner]
+            # Equal windows have equal anchors before as well, so both name the new one.
+            name = _mixed(anchor ^ hashes[of].view(np.uint64) * np.uint64(_BASE))
+            cols = [name.view(np.int64), content.view(np.int64), hashes[of], contents[of], start.astype(np.int32), count.astype(np.int32), times[of].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+
+def _split(segments: DataFrame, least: int, width: int) -> DataFrame:
+    """FOUND of ``segments`` (hash, content, times, bytes) of hot anchors, by anchors that are the first
+    of ``width`` strings within a window. With a width of 1 a window is its own anchor, so none is hot."""
+    parts = segments.mapInArrow(trimmed(lambda b: _parts(b, least, least - width + 1)), PART)
+    # A part that is alone under its anchor and stands once repeats nothing.
+    many, _ = materialize(parts.groupBy("part_hash").agg(F.sum("times").alias("n")).where("n > 1").select("part_hash"), "anchors")
+    places, _ = materialize(parts.join(many, "part_hash"), "places")
+    groups, _ = materialize(places.groupBy("part_hash", "part_content").agg(F.sum("times").alias("times"), F.min(F.struct("hash", "content", "first", "windows")).alias("at")).select("at.*", "part_hash", "part_content", "times"), "segments")
+    hot, _ = materialize(_hot(groups.select(F.col("part_hash").alias("hash"), "windows"), least), "hot")
+    whole = segments.select("hash", "content", "bytes")
+
+    def cut(chosen: DataFrame) -> DataFrame:
+        named = chosen.select("hash", "content", "first", "windows", "part_hash", "part_content", "times").join(whole, ["hash", "content"])
+        return named.select(F.col("part_hash").alias("hash"), F.col("part_content").alias("content"), "times", F.expr(f"substring(bytes, first + 1, windows + {least - 1})").alias("bytes"), "windows")
+
+    again = hot.withColumnRenamed("hash", "part_hash")
+    cold = cut(groups.join(again, "part_hash", "left_anti") if width > 1 else groups)
+    found = _indexed(cold.select(F.col("hash").alias("anchor"), "bytes", F.array(F.struct("hash", "content", "windows", "times")).alias("pieces")), least)
+    if width > 1 and hot.limit(1).count():
+        more, _ = materialize(cut(groups.join(again, "part_hash", "left_semi")).drop("windows"), "hot-segments")
+        found = found.unionByName(_split(more, least, max(1, width // 4)))
+    found = found.select(F.col("hash").alias("part_hash"), F.col("content").alias("part_content"), "begins", "ends")
+    shifted = places.select("hash", "content", "first", "part_hash", "part_content").join(found, ["part_hash", "part_content"])
+    return materialize(shifted.select("hash", "content", F.expr("transform(begins, x -> x + first)").alias("begins"), F.expr("transform(ends, x -> x + first)").alias("ends")), "repeated")[0]
+
+
+def _hot(segments: DataFrame, least: int) -> DataFrame:
+    """The anchors (hash) whose different segments are too many for one task."""
+    return segments.groupBy("hash").agg(F.sum(F.col("windows") + F.lit(least - 1)).alias("n_bytes")).where(F.col("n_bytes") > HOT_BYTES).select("hash")
 
 
 def repeated_windows(df: DataFrame, least: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,14 +233,22 @@ def repeated_windows(df: DataFrame, least: int = 400, key: str = "doc_id", text:
     # texts share is no hot task; copies of a segment are one row from the first count on.
     many, _ = materialize(segments.groupBy("hash").count().where("count > 1").select("hash"), "anchors")
     places, _ = materialize(segments.join(many, "hash"), "places")
-    groups, _ = materialize(places.groupBy("hash", "content").agg(F.count(F.lit(1)).cast("int").alias("times"), F.min(F.struct("doc_key", "text_hash", "start", "windows")).alias("first")), "segments")
+    groups, _ = materialize(places.groupBy("hash", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_key", "text_hash", "start", "windows")).alias("first")), "segments")
     kinds = groups.groupBy("hash").agg((F.count(F.lit(1)) == 1).alias("lone"))
     firsts = groups.join(kinds, "hash").select("first.*", "hash", "content", "times", "lone")
-    needed = firsts.groupBy("doc_key", "text_hash").agg(F.collect_list(F.struct("start", "windows", "hash", "content", "times", "lone")).alias("segments"))
-    cut = rows.join(needed, ["doc_key", "text_hash"])
-    strings = cut.select("text", "segments").mapInArrow(trimmed(lambda b: _strings(b, least)), STRING)
-    found = strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(lambda b: _index(b, least)), FOUND)
-    found, _ = materialize(found, "repeated")
+    hot, _ = materialize(_hot(groups.select("hash", "first.windows"), least), "hot")
+    some = hot.limit(1).count() > 0
+
+    def strings(chosen: DataFrame) -> DataFrame:
+        needed = chosen.groupBy("doc_key", "text_hash").agg(F.collect_list(F.struct("start", "windows", "hash", "content", "times", "lone")).alias("segments"))
+        return rows.join(needed, ["doc_key", "text_hash"]).select("text", "segments").mapInArrow(trimmed(lambda b: _strings(b, least)), STRING)
+
+    found = _indexed(strings(firsts.join(hot, "hash", "left_anti") if some else firsts), least)
+    if some:
+        hot_strings = strings(firsts.join(hot, "hash", "left_semi")).select(F.col("pieces")[0].alias("piece"), "bytes")
+        hot_segments = hot_strings.select("piece.hash", "piece.content", "piece.times", "bytes").groupBy("hash", "content").agg(F.first("times").alias("times"), F.first("bytes").alias("bytes"))
+        hot_segments, _ = materialize(hot_segments, "hot-segments")
+        found = found.unionByName(_split(hot_segments, least, max(1, (least - min(GRAM, least) + 1) // 4)))
     spans = places.select("hash", "content", "doc_key", "text_hash", "start").join(found, ["hash", "content"])
     return spans.groupBy("doc_key", "text_hash").agg(F.collect_list(F.struct("start", "begins", "ends")).alias("spans"))
 
