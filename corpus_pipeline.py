@@ -35,8 +35,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur elsewhere; documents that nothing is left of go."""
-    cut = remove_repeats(docs).where("text is null or text <> ''")
+    """Texts without the strings of 400 bytes that occur elsewhere; documents that nothing is left of go.
+
+    A text that was null or empty before has lost nothing and stays.
+    """
+    cut = remove_repeats(docs.withColumn("_empty", F.coalesce(F.col("text") == "", F.lit(False))))
+    cut = cut.where("_empty or text is null or text <> ''")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
