@@ -5,8 +5,8 @@ Strings are words as UTF-8 bytes in lower case, over an alphabet of 32 symbols;
 counts as the word they spell. The kernel counts common subsequences of three symbols, each
 discounted by the span it takes, so gaps and inserted characters lower a match but do not end it.
 
-Training takes a bounded sample of at most ``SAMPLE`` labelled texts of either label, each a sentence to
-the machine. A toxic one is only known to hold some insult, so the machine is trained in rounds: it
+Training takes a bounded sample of at most ``SAMPLE`` labelled texts of either label, drawn from those of
+1 to ``LONGEST`` characters, each a sentence to the machine; texts of any length are scored whole. A toxic one is only known to hold some insult, so the machine is trained in rounds: it
 picks each toxic sentence's likeliest words and the hardest words of clean ones, and is fitted again. The surest words also stand there with a character inserted. The landmarks are words that tell the labels apart and common clean words.
 As the kernel's features are the 32**3 triples, the fitted sum over landmarks folds into one table,
 and scoring a word is a sum of table entries. A text's score is a logistic function of its two
@@ -137,7 +137,7 @@ def words_of(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]
         if long.any():
             chosen = words.to_numpy(zero_copy_only=False)
             for i, j in zip(starts[long].tolist(), ends[long].tolist()):
-                chosen[i] = "".join(chosen[i:j])[: 1 << 20]
+                chosen[i] = "".join(chosen[i:j])
             words = pa.array(chosen, pa.large_string())
     seen = words.dictionary_encode()
     return seen.dictionary, seen.indices.to_numpy(), cuts
@@ -317,10 +317,14 @@ def learnable(key: str):
 
 
 def train_on(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on at most ``SAMPLE`` labelled texts of either label, the first by a hash of the key."""
+    """Fit on at most ``SAMPLE`` labelled texts of either label, the first by a hash of the key.
+
+    Labels whose text is absent, empty or over ``LONGEST`` characters take no place in the sample.
+    """
     marked = labels.where(F.col(label).isin(0, 1) & learnable(key)).select(key, F.col(label).cast("int").alias("label")).dropDuplicates([key])
-    drawn = [marked.where(F.col("label") == v).orderBy(F.xxhash64(key), key).limit(2 * SAMPLE) for v in (0, 1)]
     texts = df.where(F.length(text).between(1, LONGEST)).select(key, F.col(text).alias("text"))
+    present = marked.join(texts.select(key), key, "left_semi")  # keys alone, so no text is shuffled
+    drawn = [present.where(F.col("label") == v).orderBy(F.xxhash64(key), key).limit(SAMPLE) for v in (0, 1)]
     rows = []
     for part in drawn:
         rows += texts.join(part, key).orderBy(F.xxhash64(key), key).limit(SAMPLE).select("text", "label").collect()
