@@ -11,7 +11,8 @@ verified on their whole sets. The frequency table only steers cost, never the re
 Pairs are never all emitted. First each posting list links its members to one pivot; verified links
 make components. Then only pairs of one list that lie in different components are formed, verified,
 and joined to the components; in longer lists a pair is formed only if sketches of the two whole
-sets do not rule the link out. So a group of n near copies costs about n verifications a list, and
+sets do not rule the link out, and the longest lists are compared in pairs of blocks, each a group
+of its own, so that no task holds such a list. So a group of n near copies costs about n verifications a list, and
 no link between different components is lost.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. Repeated
@@ -21,6 +22,8 @@ no rows. Only the named columns are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,6 +40,8 @@ MOST_MATCHES, VERIFY_COST, RARE = 6, 8.0, 0.5
 CLASSES = "kind int, doc_id long, node long, n int, token long, seen long, sketch binary"
 #: Bits of a set's sketch, and the members of a list from which pairs are compared by it.
 SKETCH_BITS, SKETCHED = 512, 8
+#: Members from which on a list is dealt to tasks in pairs of blocks, about as many as a block has.
+LONG_LIST = 4096
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -148,14 +153,18 @@ def _postings(batches):
 
 
 def _cross_pairs(batches, percent: int, block: int = 1 << 20):
-    """Pairs of a list that lie in different components and whose sizes allow a link."""
+    """Pairs of a list that lie in different components and whose sizes allow a link.
+
+    In a block pair (see :func:`_block_pairs`) two members of one side, or two that are not at home, are
+    compared elsewhere.
+    """
     names = ["x", "y", "need"]
 
     def batch(xs, ys, needs):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (xs, ys, needs)], names=names)
 
     xs, ys, needs, held = [], [], [], 0
-    for token, n, node, matches, root, sketches in _runs(batches):
+    for token, n, node, matches, root, sketches, *dealt in _runs(batches):
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         ends = np.append(starts[1:], len(token))
         mixed = np.add.reduceat((root != root[np.repeat(starts, ends - starts)]).astype(np.int64), starts) > 0
@@ -165,6 +174,9 @@ def _cross_pairs(batches, percent: int, block: int = 1 << 20):
             for i in range(e - s - 1):
                 j = np.arange(s + i + 1, s + top[i])
                 j = j[root[j] != root[s + i]]
+                if dealt:
+                    side, home = dealt
+                    j = j[((side[j] != side[s + i]) | (side[j] == 0)) & (home[j] | home[s + i]).astype(bool)]
                 if bits is not None and len(j):  # sizes a and b link if they differ in at most (1 - t) / (1 + t) of a + b
                     differ = np.bitwise_count(bits[j - s] ^ bits[i]).sum(1, dtype=np.int64)
                     j = j[(100 + percent) * differ <= (100 - percent) * (n[j].astype(np.int64) + int(n[s + i]))]
@@ -181,6 +193,25 @@ def _cross_pairs(batches, percent: int, block: int = 1 << 20):
         yield batch(xs, ys, needs)
 
 
+def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Members of long lists in groups that are compared in tasks of their own.
+
+    Sizes fall into ranges of which only neighbours can link. The group of a range has its own
+    members (home) and those of the next, parted by a hash into blocks; each pair of blocks is a
+    group, whose sides are 1 and 2, or 0 for a block with itself. So every pair that can link meets
+    in one group. Ranges of a single component need no comparison.
+    """
+    base = math.log(100 / percent) * 1.001  # a little wide, so that rounding parts no pair
+    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(base)).cast("int")
+    ranged = members.withColumn("own", own).withColumn("range", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("home", (F.col("own") == F.col("range")).cast("int"))
+    counts = ranged.groupBy("token", "range").agg(F.count(F.lit(1)).alias("members"), F.max("home").alias("any"), F.min("root").alias("low"), F.max("root").alias("high"))
+    counts = counts.where("any = 1 and low < high").select("token", "range", F.ceil(F.col("members") / F.lit(LONG_LIST)).cast("int").alias("blocks"))
+    blocks = ranged.join(counts, ["token", "range"]).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    group = F.xxhash64("token", "range", F.least("block", "other"), F.greatest("block", "other"))
+    return blocks.select(group.alias("token"), "n", "node", "matches", "root", "sketch", side.alias("side"), "home")
+
+
 #: Bits of the filter that picks the sets to send; more needed sets only make it let more pass.
 FILTER_BITS = 24
 
@@ -265,9 +296,16 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
 
     large = sketches.join(postings.where(F.col("size") >= SKETCHED).select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "_node")
     labelled = postings.join(roots, "node", "left").join(large, (F.col("node") == F.col("_node")) & (F.col("size") >= SKETCHED), "left")
-    labelled = labelled.select("token", "n", "node", "matches", F.coalesce("root", "node").alias("root"), "sketch")
-    labelled = labelled.repartition("token").sortWithinPartitions("token", "n", "node")
-    crossing = labelled.mapInArrow(trimmed(lambda b: _cross_pairs(b, percent)), "x long, y long, need int").groupBy("x", "y", "need").count()
+    labelled = labelled.select("token", "n", "node", "matches", F.coalesce("root", "node").alias("root"), "sketch", "size")
+
+    def crossed(members: DataFrame) -> DataFrame:
+        dealt = members.repartition("token").sortWithinPartitions("token", "n", "node")
+        return dealt.mapInArrow(trimmed(lambda b: _cross_pairs(b, percent)), "x long, y long, need int")
+
+    crossing = crossed(labelled.where(F.col("size") <= LONG_LIST).drop("size"))
+    if postings.where(F.col("size") > LONG_LIST).limit(1).count():
+        crossing = crossing.unionByName(crossed(_block_pairs(labelled.where(F.col("size") > LONG_LIST).drop("size"), percent)))
+    crossing = crossing.groupBy("x", "y", "need").count()
     crossing, _ = materialize(crossing.where("count >= need").select("x", "y").join(checked, ["x", "y"], "left_anti"), "crossing")
     if crossing.limit(1).count():
         more = _verified(rows, classes, crossing, size, percent).where("linked").select("x", "y")
