@@ -9,11 +9,14 @@ in it; two classes need as many shared prefix shingles as the smaller of their l
 verified on their whole sets. The frequency table only steers cost, never the result.
 
 Pairs are never all emitted. First each posting list links its members to one pivot; verified links
-make components. Then only pairs of one list that lie in different components are formed, verified,
-and joined to the components; in longer lists a pair is formed only if sketches of the two whole
-sets do not rule the link out, and the longest lists are compared in pairs of blocks, each a group
-of its own, so that no task holds such a list. So a group of n near copies costs about n verifications a list, and
-no link between different components is lost.
+make components. Of a list with several components every member outside the most common one then
+names its nearest by sketches of the whole sets, a pair at most for each place in a list, and the
+links among these join components. What is left is compared by components: a member visits each
+larger component that it meets in as many lists as the prefixes ask for and that sketches do not
+rule out. Components are dealt in blocks of bounded size, a block holds its members' whole sets,
+and a visitor gives one link a block at most. So a group of n near copies costs about n rows a
+list, and no link between different components is lost. The longest lists are compared in pairs of
+blocks, each a group of its own, so that no task holds such a list.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. Repeated
 rows fall in one class. Rows without an id get the id of their class, or null. An empty table gives
@@ -28,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import distinct, documents, materialize, remove, trimmed
+from gleaner.llm.common import distinct, documents, materialize, ranges, remove, trimmed
 from gleaner.llm.components import connected_components
 from gleaner.llm.shingles import set_hash, shingle_sets
 
@@ -38,10 +41,15 @@ FREQUENT, LOCAL, STRETCH = 1 << 18, 3, 1 << 20
 #: classes that are expected to hold a shingle outside the frequency table.
 MOST_MATCHES, VERIFY_COST, RARE = 6, 8.0, 0.5
 CLASSES = "kind int, doc_id long, node long, n int, token long, seen long, sketch binary"
+MIXED = "token long, n int, node long, matches int, root long, sketch binary, side int, home int, near long"
 #: Bits of a set's sketch, and the members of a list from which pairs are compared by it.
 SKETCH_BITS, SKETCHED = 512, 8
 #: Members from which on a list is dealt to tasks in pairs of blocks, about as many as a block has.
 LONG_LIST = 4096
+#: Comparisons made at a time, rows of an output batch.
+COMPARED, OUTPUT = 1 << 17, 1 << 16
+#: Bytes of whole sets in a block of a component, and visitors that a copy of a block takes.
+BLOCK_BYTES, VISITORS = 4 << 20, 1024
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -152,45 +160,108 @@ def _postings(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names=["token", "node", "n", "matches", "pivot", "pivot_n", "pivot_matches", "size"])
 
 
-def _cross_pairs(batches, percent: int, block: int = 1 << 20):
-    """Pairs of a list that lie in different components and whose sizes allow a link.
+def _comparable(rows: np.ndarray, n, root, bits, percent: int, side, home) -> tuple[np.ndarray, np.ndarray | None]:
+    """Which members of a list each of ``rows`` can link with, in another component, and their sketches' distances.
 
     In a block pair (see :func:`_block_pairs`) two members of one side, or two that are not at home, are
     compared elsewhere.
     """
-    names = ["x", "y", "need"]
-
-    def batch(xs, ys, needs):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (xs, ys, needs)], names=names)
-
-    xs, ys, needs, held = [], [], [], 0
-    for token, n, node, matches, root, sketches, *dealt in _runs(batches):
+    a, b = n[rows][:, None].astype(np.int64), n.astype(np.int64)
+    can = (root[rows][:, None] != root) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    can &= ((side[rows][:, None] != side) | (side == 0)) & ((home[rows][:, None] | home) == 1)
+    if bits is None:
+        return can, None
+    # sizes a and b link if they differ in at most (1 - t) / (1 + t) of a + b
+    differ = np.bitwise_count(bits[rows][:, None] ^ bits).sum(2, dtype=np.int64)
+    return can & ((100 + percent) * differ <= (100 - percent) * (a + b)), differ
+
+
+def _lists(batches):
+    """The lists of sorted batches that hold more than one component, as slices of their columns."""
+    for columns in _runs(batches):
+        token, root = columns[0], columns[4]
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         ends = np.append(starts[1:], len(token))
         mixed = np.add.reduceat((root != root[np.repeat(starts, ends - starts)]).astype(np.int64), starts) > 0
         for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-            top = np.searchsorted(n[s:e], 100 * n[s:e] // percent, "right")
-            bits = np.frombuffer(b"".join(sketches[s:e]), np.uint64).reshape(e - s, -1) if e - s >= SKETCHED else None
-            for i in range(e - s - 1):
-                j = np.arange(s + i + 1, s + top[i])
-                j = j[root[j] != root[s + i]]
-                if dealt:
-                    side, home = dealt
-                    j = j[((side[j] != side[s + i]) | (side[j] == 0)) & (home[j] | home[s + i]).astype(bool)]
-                if bits is not None and len(j):  # sizes a and b link if they differ in at most (1 - t) / (1 + t) of a + b
-                    differ = np.bitwise_count(bits[j - s] ^ bits[i]).sum(1, dtype=np.int64)
-                    j = j[(100 + percent) * differ <= (100 - percent) * (n[j].astype(np.int64) + int(n[s + i]))]
-                if len(j):
-                    a = node[s + i]
-                    xs.append(np.minimum(a, node[j]))
-                    ys.append(np.maximum(a, node[j]))
-                    needs.append(np.minimum(matches[s + i], matches[j]))
-                    held += len(j)
-                    if held >= block:
-                        yield batch(xs, ys, needs)
-                        xs, ys, needs, held = [], [], [], 0
-    if held:
-        yield batch(xs, ys, needs)
+            part = [x[s:e] for x in columns]
+            bits = None if part[5][0] is None else np.frombuffer(b"".join(part[5]), np.uint64).reshape(e - s, -1)
+            yield part, bits
+
+
+def _steps(rows: np.ndarray, width: int):
+    """``rows`` in parts whose comparison with ``width`` members takes bounded memory."""
+    step = max(1, COMPARED // width)
+    return (rows[i : i + step] for i in range(0, len(rows), step))
+
+
+def _mixed(batches, percent: int):
+    """Members of lists with several components that can link with a member of another one.
+
+    ``near`` is the nearest such member by sketch, for members outside the list's most common component.
+    """
+    names = ["token", "n", "node", "matches", "root", "sketch", "side", "home", "near"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+
+    def batch(parts):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*parts), kinds)], names=names)
+
+    parts, held = [], 0
+    for part, bits in _lists(batches):
+        _, n, node, _, root, _, side, home = part
+        roots, number, often = np.unique(root, return_inverse=True, return_counts=True)
+        found = np.zeros(len(n), bool)
+        near = np.full(len(n), None, object)
+        for rows in _steps(np.flatnonzero(number != often.argmax()), len(n)):
+            can, differ = _comparable(rows, n, root, bits, percent, side, home)
+            some = can.any(1)
+            found |= can.any(0)
+            found[rows[some]] = True
+            if differ is not None and some.any():
+                near[rows[some]] = node[np.where(can, differ, 1 << 30)[some].argmin(1)]
+        if found.any():
+            parts.append([x[found] for x in (*part, near)])
+            held += int(found.sum())
+            if held >= OUTPUT:
+                yield batch(parts)
+                parts, held = [], 0
+    if parts:
+        yield batch(parts)
+
+
+def _visits(batches, percent: int):
+    """(x, root, need): a member that can link with some of a larger component of its list.
+
+    ``root`` and ``weight`` order components alike in all lists; ``need`` is the least number of
+    shared prefix shingles that any of these links asks for.
+    """
+    names = ["x", "root", "need"]
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
+
+    parts, held = [], 0
+    for (_, n, node, matches, root, _, side, home, weight), bits in _lists(batches):
+        roots, first, number = np.unique(root, return_index=True, return_inverse=True)
+        order = np.empty(len(roots), np.int64)
+        order[np.lexsort((roots, weight[first]))] = np.arange(len(roots))
+        order = order[number]  # of each member's component
+        by = np.argsort(order, kind="stable")
+        begins = np.flatnonzero(np.append(True, np.diff(order[by]) > 0))
+        for rows in _steps(np.flatnonzero(order < len(roots) - 1), len(n)):
+            can, _ = _comparable(rows, n, root, bits, percent, side, home)
+            can &= order[rows][:, None] < order
+            need = np.where(can, np.minimum(matches[rows][:, None], matches), MOST_MATCHES + 1)[:, by]
+            least = np.minimum.reduceat(need, begins, axis=1)  # a column a component
+            i, k = np.nonzero(least <= MOST_MATCHES)
+            if len(i):
+                parts.append((node[rows[i]], root[by[begins[k]]], least[i, k].astype(np.int32)))
+                held += len(i)
+                if held >= OUTPUT:
+                    yield batch()
+                    parts, held = [], 0
+    if parts:
+        yield batch()
 
 
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -212,7 +283,7 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     return blocks.select(group.alias("token"), "n", "node", "matches", "root", "sketch", side.alias("side"), "home")
 
 
-#: Bits of the filter that picks the sets to send; more needed sets only make it let more pass.
+#: Bits of the filter that picks the documents whose sets are sent; more of them only let more pass.
 FILTER_BITS = 24
 
 
@@ -226,29 +297,40 @@ def _filter_words(names: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (x, y) with ``linked``: whether their whole sets are similar enough.
+def _whole_sets(rows: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> tuple[DataFrame, str]:
+    """(node, tokens) for all classes in ``nodes``, written; a few others may be there as well.
 
-    Of every class that a pair names, the document with the smallest id sends its set.
+    Of every class the rows with its smallest id send the set. They are picked by a filter of ids
+    before a shingle is made; rows without an id are picked by their class.
     """
     spark = rows.sparkSession
-    needed = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(classes, "node")
-    words = spark.sparkContext.broadcast(_filter_words(needed.select(F.col("node").bitwiseXOR(F.coalesce("class_id", F.lit(0))).alias("name"))))
+    needed = nodes.distinct().join(classes, "node")
+    words = spark.sparkContext.broadcast(_filter_words(needed.select(F.when(F.col("class_id").isNull(), F.col("node")).otherwise(F.xxhash64("class_id")).alias("name"))))
+
+    def passes(name: int) -> bool:
+        bit = name & ((1 << FILTER_BITS) - 1)
+        return bool(int(words.value[bit >> 6]) >> (bit & 63) & 1)
 
     def sets(batches):
         known: set[int] = set()
         for batch in batches:
-            nodes, data = [], []
-            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), size)):
-                if len(s) and (node := set_hash(s)) not in known:
-                    bit = (node ^ (doc_id or 0)) & ((1 << FILTER_BITS) - 1)
-                    if int(words.value[bit >> 6]) >> (bit & 63) & 1:
-                        known.add(node)
-                        nodes.append(node)
-                        data.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], names=["node", "tokens"])
-
-    whole, path = materialize(rows.mapInArrow(trimmed(sets), "node long, tokens binary"), "sets")
+            names = batch.column(0).to_pylist()
+            chosen = [i for i, name in enumerate(names) if name is None or passes(name)]
+            found, data = [], []
+            for i, s in zip(chosen, shingle_sets(batch.column(1).take(pa.array(chosen, pa.int64())).to_pylist(), size)):
+                if len(s) and (node := set_hash(s)) not in known and (names[i] is not None or passes(node)):
+                    known.add(node)
+                    found.append(node)
+                    data.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(data, pa.binary())], names=["node", "tokens"])
+
+    named = rows.select(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).alias("name"), "text")
+    return materialize(named.mapInArrow(trimmed(sets), "node long, tokens binary"), "sets")
+
+
+def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (x, y) with ``linked``: whether their whole sets are similar enough."""
+    whole, path = _whole_sets(rows, classes, pairs.select(F.col("x").alias("node")).union(pairs.select("y")), size)
 
     def compare(batches):
         for batch in batches:
@@ -262,11 +344,62 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     sides = pairs.join(whole.select(F.col("node").alias("y"), F.col("tokens").alias("y_tokens")), "y")
     sides = sides.join(whole.select(F.col("node").alias("x"), F.col("tokens").alias("x_tokens")), "x")
     compared = sides.select("x", "y", "x_tokens", "y_tokens").mapInArrow(trimmed(compare), "x long, y long, linked boolean")
-    out, _ = materialize(compared.distinct(), "verified")  # a filter lets few other documents of a class pass
-    remove(spark, path)
+    out, _ = materialize(compared.distinct(), "verified")  # documents of one id may send a set twice
+    remove(rows.sparkSession, path)
     return out
 
 
+def _met(batches, percent: int):
+    """Links of visitors with members of a block, one a visitor at most, from rows sorted by group and role."""
+    group, members, table = None, [], None
+    for batch in batches:
+        out = []
+        for g, role, node, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if g != group:
+                group, members, table = g, [], None
+            tokens = np.frombuffer(data, np.uint64)
+            if role == 0:
+                members.append((node, tokens))
+                continue
+            if not members:
+                continue
+            if table is None:
+                sizes = np.array([len(x) for _, x in members])
+                every = np.concatenate([x for _, x in members])
+                order = np.argsort(every, kind="stable")
+                table = every[order], np.repeat(np.arange(len(members)), sizes)[order], sizes
+            values, owner, sizes = table
+            low, high = np.searchsorted(values, tokens, "left"), np.searchsorted(values, tokens, "right")
+            common = np.bincount(owner[ranges(low, high - low)], minlength=len(sizes))
+            linked = np.flatnonzero(100 * common >= percent * (sizes + len(tokens) - common))
+            if len(linked):
+                out.append((node, members[linked[0]][0]))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["x", "y"])
+
+
+def _links_of_visits(rows: DataFrame, classes: DataFrame, roots: DataFrame, visits: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (x, y) between visitors and members of the components they visit: one at least of every
+    component that a visitor links with.
+
+    A component's members are dealt in blocks of about ``BLOCK_BYTES`` of sets, a block's visitors in
+    parts of about ``VISITORS``; each block and part is a group of its own.
+    """
+    spark = rows.sparkSession
+    named = classes.join(roots.select("node", "root"), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    members = named.join(visits.select("root").distinct(), "root", "left_semi")
+    whole, path = _whole_sets(rows, classes, members.select("node").union(visits.select("x")), size)
+    counts = members.groupBy("root").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    counts = counts.join(visits.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("parts")), "root")
+    at = F.struct("root", "block", "part").alias("g")
+    own = members.join(counts, "root").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    come = visits.join(counts, "root").withColumn("part", F.expr("cast(pmod(xxhash64(x), parts) as int)")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    both = own.select(at, F.lit(0).alias("role"), "node").unionByName(come.select(at, F.lit(1).alias("role"), F.col("x").alias("node")))
+    sent = both.join(whole, "node").select(F.xxhash64("g.root", "g.block", "g.part").alias("g"), "role", "node", "tokens")
+    links, _ = materialize(sent.repartition("g").sortWithinPartitions("g", "role").mapInArrow(trimmed(lambda b: _met(b, percent)), "x long, y long"), "met")
+    remove(spark, path)
+    return links
+
+
 def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """A row for each document: key, n_shingles, class_id and component_id.
 
@@ -278,7 +411,7 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     first, _ = materialize(rows.mapInArrow(trimmed(lambda b: _classes(b, size)), CLASSES), "classes", "kind")
     docs = first.where("kind = 0").select("doc_id", "node", "n")
     sketches = first.where("kind = 0 and node is not null").groupBy("node").agg(F.min("sketch").alias("sketch"))
-    classes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    classes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
     ranked = first.where("kind = 1").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT)
     top = sorted((t & 0xFFFFFFFFFFFFFFFF, s) for t, s in ranked.collect())  # at most FREQUENT rows
     table = spark.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([s for _, s in top], np.int64)))
@@ -298,20 +431,31 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     labelled = postings.join(roots, "node", "left").join(large, (F.col("node") == F.col("_node")) & (F.col("size") >= SKETCHED), "left")
     labelled = labelled.select("token", "n", "node", "matches", F.coalesce("root", "node").alias("root"), "sketch", "size")
 
-    def crossed(members: DataFrame) -> DataFrame:
-        dealt = members.repartition("token").sortWithinPartitions("token", "n", "node")
-        return dealt.mapInArrow(trimmed(lambda b: _cross_pairs(b, percent)), "x long, y long, need int")
+    def listed(members: DataFrame) -> DataFrame:
+        return members.repartition("token").sortWithinPartitions("token", "n", "node")
 
-    crossing = crossed(labelled.where(F.col("size") <= LONG_LIST).drop("size"))
+    lists = labelled.where(F.col("size") <= LONG_LIST).drop("size").withColumns({"side": F.lit(0), "home": F.lit(1)})
     if postings.where(F.col("size") > LONG_LIST).limit(1).count():
-        crossing = crossing.unionByName(crossed(_block_pairs(labelled.where(F.col("size") > LONG_LIST).drop("size"), percent)))
-    crossing = crossing.groupBy("x", "y", "need").count()
-    crossing, _ = materialize(crossing.where("count >= need").select("x", "y").join(checked, ["x", "y"], "left_anti"), "crossing")
-    if crossing.limit(1).count():
-        more = _verified(rows, classes, crossing, size, percent).where("linked").select("x", "y")
+        lists = lists.unionByName(_block_pairs(labelled.where(F.col("size") > LONG_LIST).drop("size"), percent))
+    mixed, mixed_path = materialize(listed(lists).mapInArrow(trimmed(lambda b: _mixed(b, percent)), MIXED), "mixed")
+    remove(spark, postings_path)
+    near = mixed.where("near is not null").select(F.least("node", "near").alias("x"), F.greatest("node", "near").alias("y")).distinct()
+    near, near_path = materialize(near.join(checked, ["x", "y"], "left_anti"), "near")
+    if near.limit(1).count():
+        links = links.unionByName(_verified(rows, classes, near, size, percent).where("linked").select("x", "y"))
+        roots, _ = materialize(connected_components(links), "roots")
+
+    weights = roots.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
+    weighed = roots.join(weights, "root").select("node", F.col("root").alias("new"), "weight")
+    again = mixed.join(weighed, "node", "left").select("token", "n", "node", "matches", F.coalesce("new", "node").alias("root"), "sketch", "side", "home", F.coalesce("weight", F.lit(1)).cast("long").alias("weight"))
+    visits = listed(again).mapInArrow(trimmed(lambda b: _visits(b, percent)), "x long, root long, need int")
+    visits = visits.groupBy("x", "root").agg(F.count(F.lit(1)).alias("lists"), F.min("need").alias("need"))
+    visits, visits_path = materialize(visits.where("lists >= need").select("x", "root"), "visits")
+    if visits.limit(1).count():
+        more = _links_of_visits(rows, classes, roots, visits, size, percent)
         if more.limit(1).count():
             roots, _ = materialize(connected_components(links.unionByName(more)), "roots")
-    remove(spark, postings_path)
+    remove(spark, mixed_path, near_path, visits_path)
 
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))

@@ -48,6 +48,27 @@ def test_same_as_all_pairs(spark, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("block", [1 << 22, 2000])
+def test_one_large_group_of_near_copies(spark, monkeypatch, block):
+    """Copies that are edited so much that many link only through others, and some with none."""
+    from gleaner.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", block)
+    monkeypatch.setattr(jaccard, "VISITORS", 5)
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rnd.randrange(1, 6)):
+            words[rnd.randrange(60)] = f"x{rnd.randrange(2000)}"
+        rows.append((i, " ".join(words)))
+    got = near_copy_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    want = brute(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+    assert 10 < len({c for _, c in want.values()}) < 140
+
+
 def test_empty_table_and_other_names(spark):
     assert near_copy_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = spark.createDataFrame([(1, "a b c d e f", 7), (1, "a b c d e f", 8), (None, "a b c d e f", 9)], "doc_id long, text string, node long")

@@ -16,15 +16,39 @@ def test_block_pairs_meet_once_and_stay_small(spark, monkeypatch):
     rows += [(9, 10, 1000 + i, 1, 0, bytes(64)) for i in range(100)]  # one component: nothing to compare
     groups = jaccard._block_pairs(spark.createDataFrame(rows, "token long, n int, node long, matches int, root long, sketch binary"), 75)
     assert groups.groupBy("token").count().agg(F.max("count")).first()[0] < 80  # of lists of 150
-    got = Counter()
-    for r in groups.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(lambda b: jaccard._cross_pairs(b, 75), "x long, y long, need int").collect():
-        got[tuple(r)] += 1
-    want = Counter()
-    for i, a in enumerate(rows):
-        for b in rows[:i]:
-            if a[0] == b[0] and a[4] != b[4] and 100 * min(a[1], b[1]) >= 75 * max(a[1], b[1]):
-                want[(min(a[2], b[2]), max(a[2], b[2]), min(a[3], b[3]))] += 1
-    assert got == want
+    schema = "token long, n int, node long, matches int, root long, sketch binary, side int, home int"
+    assert groups.select(*[x.split()[0] for x in schema.split(", ")]).schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+    dealt = groups.withColumn("weight", F.lit(1).cast("long")).repartition("token").sortWithinPartitions("token", "n", "node")
+    got = Counter(tuple(r) for r in dealt.mapInArrow(lambda b: jaccard._visits(b, 75), "x long, root long, need int").distinct().collect())
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[4] < b[4] and 100 * min(a[1], b[1]) >= 75 * max(a[1], b[1]):
+                want.setdefault((a[2], b[4]), set()).add(min(a[3], b[3]))
+    assert {(x, root) for x, root, _ in got} == set(want)
+    assert all(need in want[x, root] for x, root, need in got)
+    assert all((x, root, min(needs)) in got for (x, root), needs in want.items())
+
+
+def test_mixed_lists_keep_all_that_can_link(spark):
+    rnd = random.Random(5)
+    rows = [(t, rnd.choice((8, 9, 12, 30)), 100 * t + i, 1, rnd.choice((0, 1, 100 * t + i)), bytes(rnd.choice((0, 1)) for _ in range(64)), 0, 1) for t in range(40) for i in range(rnd.choice((2, 3, 12)))]
+    schema = "token long, n int, node long, matches int, root long, sketch binary, side int, home int"
+    frame = spark.createDataFrame(rows, schema).repartition("token").sortWithinPartitions("token", "n", "node")
+    got = {(r["token"], r["node"]): r["near"] for r in frame.mapInArrow(lambda b: jaccard._mixed(b, 75), jaccard.MIXED).collect()}
+
+    def distance(a, b):
+        return sum((x ^ y).bit_count() for x, y in zip(a[5], b[5]))
+
+    def can(a, b):
+        return a[0] == b[0] and a[4] != b[4] and 100 * min(a[1], b[1]) >= 75 * max(a[1], b[1]) and 175 * distance(a, b) <= 25 * (a[1] + b[1])
+
+    assert set(got) == {(a[0], a[2]) for a in rows if any(can(a, b) for b in rows)}
+    named = {(r[0], r[2]): r for r in rows}
+    for key, near in got.items():
+        if near is not None:
+            a = named[key]
+            assert can(a, named[key[0], near]) and distance(a, named[key[0], near]) == min(distance(a, b) for b in rows if can(a, b))
 
 
 def test_components_of_long_lists(spark, monkeypatch):
@@ -37,5 +61,7 @@ def test_components_of_long_lists(spark, monkeypatch):
     for i in range(60):
         words = shared + [f"w{rnd.randint(0, 3)}" for _ in range(rnd.randint(0, 5))]
         rows.append((i, " ".join(words)))
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(jaccard, "VISITORS", 2)
     got = jaccard.near_copy_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
