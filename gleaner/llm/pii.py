@@ -2,12 +2,18 @@
 
 Fixed patterns give the base spans of four kinds: email, ip, card and phone. The random field adds
 spans that they miss, such as phone numbers without a plus sign or addresses with ``[at]``. It
-labels tokens (runs of letters, runs of digits, single marks) by their word shapes and those of
-their neighbours, is trained on a small labelled table by gradient ascent on the likelihood, and is
-decoded by Viterbi for many chains at once. A word without a digit, an at sign or a bracketed
-``at`` or ``dot`` is outside by definition, so a text's chain falls into the stretches around the
-other words; each stretch has one more word on either side. An added span must hold together as
-its kind does (digits of a phone, Luhn sum of a card, parts of an address) and overlaps no base span.
+labels all tokens of a text (runs of letters, runs of digits, single marks) by their word shapes and
+those of their neighbours, is trained on a small labelled table by gradient ascent on the
+likelihood, and is decoded by Viterbi for many chains at once.
+
+Every token enters the decoding. Most of them need no Viterbi step, as their state is proved: for a
+token in the context of its neighbours a table has the most that any state could win over outside.
+If the sums of these bounds and of the steps between states stay below zero for all runs of tokens
+that hold it, some best path has it outside. What is left falls into stretches between outside
+tokens, each a chain. So the result is that of Viterbi on the whole text.
+
+An added span must hold together as its kind does (digits of a phone, Luhn sum of a card, parts of
+an address) and overlaps no base span.
 
 Places count code points. A null or empty text has no spans; repeated rows give equal results;
 an empty table gives no rows. All other columns pass through :func:`redact` unchanged.
@@ -34,10 +40,14 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _DIGIT, _NO_DIGIT = re.compile("[0-9]"), re.compile("[^0-9]+")
-_BRACKETED = re.compile(r"[\[({](?:at|dot|\.)[\])}]", re.IGNORECASE)
-_TOKEN = re.compile(r"[A-Za-z\u0080-\U0010ffff]+|[0-9]+|[^\sA-Za-z0-9]")
 #: Rounds of gradient ascent, its step, the penalty of large weights, cells of a batch of chains.
 ROUNDS, RATE, RIDGE, CELLS = 80, 0.15, 1e-3, 1 << 18
+#: Weight of a pair of shapes for a state in which the labelled table never has it.
+UNSEEN = -2.0
+#: Parts of one in which bounds of gains are kept.
+UNIT = 4
+#: Characters whose tokens are decoded together.
+GROUP_CHARS = 1 << 20
 
 
 def luhn(digits: str) -> bool:
@@ -92,6 +102,11 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+_DOT = r"(?:\.|\s+(?:\.|dot|punto|punkt|point)\s+|\s*[\[({]\s*(?:\.|dot|punto|punkt|point)\s*[\])}]\s*)"
+_AT = r"(?:\s*@\s*|\s+(?:at|arroba|arobase)\s+|\s*[\[({]\s*(?:@|at|arroba|arobase)\s*[\])}]\s*)"
+_ADDRESS = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
+
+
 def _plausible(kind: str, found: str) -> bool:
     digits = _NO_DIGIT.sub("", found)
     if kind == "phone":
@@ -101,23 +116,31 @@ def _plausible(kind: str, found: str) -> bool:
     if kind == "ip":
         parts = re.findall("[0-9]+", found)
         return len(parts) == 4 and all(map(_small, parts))
-    return len(found) <= 120 and bool(re.search(r"[A-Za-z0-9]\W*(?:@|\bat\b)\W*[A-Za-z0-9]", found, re.IGNORECASE)) and bool(re.search(r"\.|\bdot\b", found, re.IGNORECASE))
+    return len(found) <= 120 and bool(_ADDRESS.fullmatch(found))
 
 
 #: Sentences of the labelled table; a slot names the kind of what fills it.
 SENTENCES = (
     "Please write to <email> before Monday.", "My address is <email> at work", "<email> wrote this note", "Contact: <email>, room 12", "mail <email> or call <phone>",
-    "Call me on <phone> tonight", "tel. <phone> (home)", "phone <phone>", "Her number was <phone>, I think.", "Fax: <phone>; open 9 to 17",
+    "Call me on <phone> tonight", "tel. <phone> (home)", "phone <phone>", "Her number was <phone>, I think.", "Fax: <phone>; open 9 to 17", "call <phone> now", "text <phone> please",
     "The server at <ip> is down", "ping <ip> failed 3 times", "login from <ip> on port 8080", "host <ip>", "Traffic to <ip>, then to <ip>.",
     "Card <card> was charged 25 dollars", "pay with <card> please", "my card number is <card>.", "VISA <card> exp 09/27",
     "In 1998 we sold 1,250 cars for $3,400.50 each.", "Version 2.14.3 of the tool came in 2019", "see pages 120-134 and 12.5 of volume 3", "token = \"<hex>\" must stay secret",
     "Order 20391 of 2021-03-14 has 12 parts", "at 10:45 the train left for (old) York", "chapter 3.1 and section 4.2.1 (new)", "score 3-1, then 12-9", "@home and @work are tags", "It is 20 x 30 cm, or 8 in.",
     "serial <hex> and part <digits>", "number <digits> in line", "the id <digits> (see table 4)", "und <digits>! die 14 der 3.", "les 25, que 31.",
     "und <phone> der", "<phone>!!", "des <ip>. De", "la <email> que", "el <card> y", "for (see note) 12 or [at] night 14", "mail to <digits>",
+    "Schreib an <email> bis Montag", "Telefon <phone> im Haus", "die Karte <card> ist neu", "der Rechner <ip> steht still", "am 14. Mai 2020 um 9 Uhr, Seite 12",
+    "Ecrivez a <email> avant lundi", "appelez le <phone> ce soir", "la carte <card> est bloquee", "le serveur <ip> ne marche pas", "le 3 mars 1999, page 48 et 49",
+    "Escribe a <email> el lunes", "llama al <phone> hoy", "mi tarjeta <card> no va", "el servidor <ip> ha caido", "el 12 de junio de 2008, hoja 7",
+    "we met at the house near the dot on the map", "she is at home and he is at work, the point is new", "look at this. And that, at last", "punto y coma, el punto final", "the 3 of us at 5 and 6 dot 7",
+    "<word> <word> at <word>. <Word> <word> <word>", "<Word> at <word> by <word> <word>.", "<word>, at <word> and <word>. At <word> the <word>", "<WORD>!! <WORD> AT!! <WORD>, <WORD>.", "<word> <word> <word> <word>, <word>. <Word> <word>",
+    "<word> at the <word>", "<Word> <word> at <word> <word>. <Word>, <word> at <word>", "<word>. <Word>. <word> at. <Word> <word>", "| <word> | <digits> | <Word> |", "<word> | at | <word>", "<word> mail <word> phone <word> card <word> host <word> call <word>",
+    "<word>, <email>, <phone>; <email>", "<email>; <card>; <ip>", "(<email>) or (<phone>)", "<word> <email>. <Word> <phone>.", "<phone> or <phone>, <email>", "Send it to <email> today", "<email> is mine", "<email> knows <word>", "<Word> <email> <word>", "<ip>, <ip> and <phone>", "<word> by <card> <word>", "<Word> <word> <ip> <word>", "<word>: <phone>, <card>",
+    "order <digits> <digits> shipped", "rows <digits>, <digits>, <digits> and <digits>", "| <digits> | <digits> | <digits> |", "a - b - c * d | e", "1. one 2. two 3. three 4. four",
 )
 
 
-def labelled_table(seed: int = 7, copies: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled_table(seed: int = 7, copies: int = 12) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """(text, spans): the sentences with slots filled from a seeded rule, spans as (kind, start, end)."""
     rnd = random.Random(seed)
     digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
@@ -129,18 +152,23 @@ def labelled_table(seed: int = 7, copies: int = 5) -> list[tuple[str, list[tuple
 
     def fill(kind: str) -> str:
         if kind == "email":
-            user, host, top = rnd.choice([word(), f"{word()}.{word()}", f"{word()}.{digits(2)}"]), word() + rnd.choice(["", digits(1)]), rnd.choice(["com", "org", "net", "de"])
-            return rnd.choice([f"{user}@{host}.{top}", f"{user}[at]{host}.{top}", f"{user} [at] {host} [dot] {top}", f"{user} (at) {host} (dot) {top}", f"{user}(at){host}.{top}", f"{user} @ {host}.{top}"])
+            parts, host, top = rnd.choice([[word()], [word(), word()], [word(), digits(2)]]), word() + rnd.choice(["", "", digits(1)]), rnd.choice(["com", "org", "net", "de", "fr", "es"])
+            user = ".".join(parts)
+            at, dot = rnd.choice([("at", "dot"), ("at", "punkt"), ("arroba", "punto"), ("arobase", "point"), ("AT", "DOT")])
+            worded = f" {dot} ".join(parts) + f" {at} {host} {dot} {top}"
+            return rnd.choice([f"{user}@{host}.{top}", f"{user}[at]{host}.{top}", f"{user} [at] {host} [dot] {top}", f"{user} (at) {host} (dot) {top}", f"{user}(at){host}.{top}", f"{user} @ {host}.{top}", f"{user} @ {host} . {top}", worded, worded, f"{user} {at} {host}.{top}"])
         if kind == "ip":
             parts = [str(rnd.randint(1, 255)) for _ in range(4)]
-            return rnd.choice([".".join(parts), "[.]".join(parts), " . ".join(parts)])
+            return rnd.choice([".".join(parts), "[.]".join(parts), " . ".join(parts), "(.)".join(parts), " dot ".join(parts), "[dot]".join(parts)])
         if kind == "card":
             c = card()
-            return rnd.choice([c, " ".join(c[i : i + 4] for i in range(0, 16, 4)), ".".join(c[i : i + 4] for i in range(0, 16, 4)), "/".join(c[i : i + 4] for i in range(0, 16, 4)), "  ".join(c[i : i + 4] for i in range(0, 16, 4))])
+            return rnd.choice([c, *(mark.join(c[i : i + 4] for i in range(0, 16, 4)) for mark in (" ", ".", "/", "  ", " - "))])
         if kind == "phone":
             a, b, c = digits(3), digits(3), digits(4)
-            return rnd.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b} {c}", f"00{digits(2)} {a} {b}{c}"])
-        return "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randint(24, 40))) if kind == "hex" else digits(rnd.choice([2, 3, 4, 5, 7, 8, 11, 16]))
+            return rnd.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a} / {b} {c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b} {c}", f"00{digits(2)} {a} {b}{c}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"0{digits(2)}/{digits(7)}"])
+        if kind.lower() == "word":
+            return word().upper() if kind.isupper() else word().title() if kind.istitle() else word()
+        return "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randint(24, 40))) if kind == "hex" else digits(rnd.choice([1, 2, 3, 4, 5, 7, 8, 10, 11, 16]))
 
     out = []
     for _ in range(copies):
@@ -157,52 +185,174 @@ def labelled_table(seed: int = 7, copies: int = 5) -> list[tuple[str, list[tuple
     return out
 
 
-def _tokens(text: str, begin: int = 0, end: int | None = None) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text, begin, len(text) if end is None else end)]
-
-
-def _shape(token: str) -> str:
-    c = token[0]
-    if "0" <= c <= "9":
-        return f"d{min(len(token), 17)}"
-    if c.isalpha():
-        return ("X" if token.isupper() else "x" if token.islower() else "Xx") + str(min(len(token), 4))
-    return c if c < "\x7f" else "?"
-
-
-def _features(text: str, tokens: list[tuple[int, int]]) -> list[list[str]]:
-    """Of each token: its shape, those of two neighbours on either side, pairs, gaps and short words."""
-    shapes = ["^^", "^", *(_shape(text[a:b]) for a, b in tokens), "$", "$$"]
-    gaps = ["", *("_" if tokens[i][0] > tokens[i - 1][1] else "" for i in range(1, len(tokens))), ""]
-    out = []
-    for i, (a, b) in enumerate(tokens):
-        s = shapes[i : i + 5]
-        f = ["b", f"0{s[2]}", f"-1{s[1]}", f"+1{s[3]}", f"-2{s[0]}", f"+2{s[4]}", f"l{s[1]}{gaps[i]}{s[2]}", f"r{s[2]}{gaps[i + 1]}{s[3]}", f"t{s[1]}{s[2]}{s[3]}"]
-        if b - a <= 6 and s[2][0] in "xX":
-            f.append("w" + text[a:b].lower())
-        out.append(f)
-    return out
+#: Words that are shapes of their own.
+WORDS = ("at", "arroba", "arobase", "dot", "punkt", "punto", "point", "tel", "telefon", "phone", "call", "fax", "mail", "ip", "host", "server", "card", "visa")
+#: Shapes: a text's begin and end, digits by length, letters by case and length, marks, others, words.
+BEGIN, END, DIGITS, LETTERS, MARKS = 0, 1, 2, 19, 31
+_SIGNS = [c for c in range(33, 127) if not chr(c).isalnum()]
+OTHER = MARKS + len(_SIGNS)
+SHAPES = OTHER + 1 + len(WORDS)
+_CLASS = np.full(129, 3, np.int8)  # 0 space, 1 letter, 2 digit, 3 mark; 128 stands for all that is not ASCII
+_CLASS[[32, *range(9, 14), *range(28, 32)]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), 128]] = 1
+_CLASS[48:58] = 2
+_MARK = np.full(129, OTHER)
+_MARK[_SIGNS] = MARKS + np.arange(len(_SIGNS))
+
+
+def _key(word: str) -> int:
+    return int.from_bytes(word.encode(), "little")
+
+
+_KEYS = np.array(sorted(map(_key, WORDS)), np.uint64)
+_KEY_SHAPES = np.array([OTHER + 1 + WORDS.index(k.to_bytes(8, "little").rstrip(b"\0").decode()) for k in _KEYS.tolist()])
+_HEADS = np.zeros((128, 9), bool)
+for _w in WORDS:
+    _HEADS[ord(_w[0]), len(_w)] = True
+
+
+class Tokens:
+    """Tokens of many texts: begin and end in the joined texts, shape, gap before; each text's stand
+    between a begin and an end token, whose places are ``edges``."""
+
+    def __init__(self, texts: list[str]):
+        codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = np.minimum(codes, 128).astype(np.uint8)
+        kind = _CLASS[low]
+        real, mark = kind != 0, kind == 3
+        change = kind[1:] != kind[:-1]
+        first = np.flatnonzero(real & (np.append(True, change) | mark))
+        last = np.flatnonzero(real & (np.append(change, True) | mark)) + 1
+        size, of = last - first, kind[first]
+        upper = np.append(0, np.cumsum((low >= 65) & (low <= 90), dtype=np.int32))
+        lower = np.append(0, np.cumsum((low >= 97) & (low <= 122), dtype=np.int32))
+        n_upper, n_lower = upper[last] - upper[first], lower[last] - lower[first]
+        case = np.where(n_upper == 0, 0, np.where(n_lower == 0, 1, 2))
+        shape = np.where(of == 2, DIGITS + np.minimum(size, 17) - 1, np.where(of == 1, LETTERS + 4 * case + np.minimum(size, 4) - 1, _MARK[low[first]]))
+        folded = low | ((low >= 65) & (low <= 90)).astype(np.uint8) << 5
+        some = np.flatnonzero((of == 1) & (size <= 8))
+        some = some[_HEADS[np.minimum(folded[first[some]], 127), size[some]]]
+        if len(some):
+            keys = np.zeros(len(some), np.uint64)
+            for i in range(8):
+                on = size[some] > i
+                keys[on] |= folded[first[some[on]] + i].astype(np.uint64) << np.uint64(8 * i)
+            at = np.minimum(np.searchsorted(_KEYS, keys), len(_KEYS) - 1)
+            known = _KEYS[at] == keys
+            shape[some[known]] = _KEY_SHAPES[at[known]]
+        self.offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = np.searchsorted(first, self.offsets)
+        place = np.arange(len(first)) + 2 * np.repeat(np.arange(len(texts)), np.diff(cuts)) + 1
+        total = len(first) + 2 * len(texts)
+        self.edges = np.ones(total, bool)
+        self.edges[place] = False
+        self.first, self.last, self.shape, self.gap = (np.zeros(total, np.int64) for _ in range(4))
+        self.first[place], self.last[place], self.shape[place] = first, last, shape
+        begins = cuts[:-1] + 2 * np.arange(len(texts))
+        self.shape[begins], self.shape[cuts[1:] + 2 * np.arange(len(texts)) + 1] = BEGIN, END
+        self.begins = begins
+        self.gap[1:] = (self.first[1:] > self.last[:-1]) & ~self.edges[1:] & ~self.edges[:-1]
 
 
 class Crf:
-    """Weights of features and of steps between states: outside, and begin and inside of each kind."""
+    """Weights of features and of steps between states: outside, and begin and inside of each kind.
 
-    STATES = 1 + 2 * len(KINDS)
-
-    def __init__(self, index: dict[str, int], emit: np.ndarray, step: np.ndarray):
-        self.index, self.emit, self.step = index, emit, step
+    A token's features are its shape, those of its neighbours, both pairs with the gap between them,
+    and the three shapes at once where the labelled table has them.
+    """
 
-    def potentials(self, features: list[list[str]]) -> np.ndarray:
-        get, flat, sizes = self.index.get, [], []
-        for f in features:
-            known = [k for k in map(get, f) if k is not None]
-            flat += known or [0]
-            sizes.append(len(known) or 1)
-        starts = np.cumsum(sizes) - sizes
-        return np.add.reduceat(self.emit[flat], starts, axis=0) if sizes else np.zeros((0, self.STATES))
+    STATES = 1 + 2 * len(KINDS)
+    PAIRS = 2 * SHAPES * SHAPES
+
+    def __init__(self, triples: np.ndarray):
+        self.triples = triples  # ascending codes of those that have weights
+        self.emit = np.zeros((3 * SHAPES + 2 * self.PAIRS + len(triples) + 1, self.STATES))
+        self.step = np.zeros((self.STATES, self.STATES))
+        self.stay, self.enter = np.zeros(len(KINDS)), np.zeros(len(KINDS))
+
+    @staticmethod
+    def codes(shape: np.ndarray) -> np.ndarray:
+        """Codes of a token's shape between those of its neighbours."""
+        before, after = np.append(END, shape[:-1]), np.append(shape[1:], BEGIN)
+        return (before * SHAPES + shape) * SHAPES + after
+
+    def features(self, shape: np.ndarray, gap: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A row of feature numbers for each token in ``at``."""
+        before, here, after = shape[np.maximum(at - 1, 0)], shape[at], shape[np.minimum(at + 1, len(shape) - 1)]
+        return self.numbered(before, gap[at], here, gap[np.minimum(at + 1, len(gap) - 1)], after)
+
+    def numbered(self, before, gap_before, here, gap_after, after) -> np.ndarray:
+        code = (before * SHAPES + here) * SHAPES + after
+        none = self.emit.shape[0] - 1
+        if len(self.triples):
+            k = np.minimum(np.searchsorted(self.triples, code), len(self.triples) - 1)
+            third = np.where(self.triples[k] == code, 3 * SHAPES + 2 * self.PAIRS + k, none)
+        else:
+            third = np.full(code.shape, none)
+        left, right = (before * 2 + gap_before) * SHAPES + here, (here * 2 + gap_after) * SHAPES + after
+        return np.stack([here, SHAPES + before, 2 * SHAPES + after, 3 * SHAPES + left, 3 * SHAPES + self.PAIRS + right, third], -1)
+
+    def finish(self) -> "Crf":
+        """Make, for begin and inside of each kind, the table of what it wins over outside, by a token and its neighbours."""
+        self.gains = np.zeros((self.STATES - 1, SHAPES, SHAPES, 2, 2, SHAPES), np.int8)  # state, here, before, gaps, after
+        before, gap_before, gap_after, after = np.ix_(np.arange(SHAPES), np.arange(2), np.arange(2), np.arange(SHAPES))
+        for here in range(SHAPES):
+            grid = np.broadcast_arrays(before, gap_before, np.array(here), gap_after, after)
+            total = sum(self.emit[x] for x in np.moveaxis(self.numbered(*grid), -1, 0))
+            gain = np.ceil((total[..., 1:] - total[..., :1]) * UNIT)  # rounded up, so still a bound
+            if gain.max() > 127:
+                raise ValueError("weights are too large for the table of gains")
+            self.gains[:, here] = np.moveaxis(np.maximum(gain, -128), -1, 0)
+        self.gains = self.gains.reshape(self.STATES - 1, -1)
+        step, outer = self.step, np.arange(self.STATES) % 2 == 1
+        outer[0] = True
+        for k in range(len(KINDS)):
+            own = slice(2 * k + 1, 2 * k + 3)
+            self.stay[k] = step[own, 2 * k + 2].max() - step[0, 0]
+            self.enter[k] = (step[:, 2 * k + 1] - step[:, 0]).max() + (step[own] - step[0])[:, outer].max()
+        return self
+
+    def open_places(self, tokens: Tokens) -> np.ndarray:
+        """Tokens whose state is not proved to be outside.
+
+        A span of a kind wins over outside no more than ``enter``, the gain of begin at its first
+        token, and ``stay`` and the gain of inside for every further one. The most that any span over
+        a token can win is the sum of the best begin up to there and the best end from there on.
+        """
+        shape, gap = tokens.shape, tokens.gap
+        before, after, then = np.append(END, shape[:-1]), np.append(shape[1:], BEGIN), np.append(gap[1:], 0)
+        context = (((shape * SHAPES + before) * 2 + gap) * 2 + then) * SHAPES + after
+        out = np.zeros(len(shape), bool)
+        for k in range(len(KINDS)):
+            inside = self.gains[2 * k + 1][context] / UNIT + self.stay[k]
+            inside[tokens.edges] = -1e7  # no span leaves its text
+            sums = np.cumsum(inside)
+            begin = np.maximum.accumulate(self.gains[2 * k][context] / UNIT - sums)
+            out |= begin + np.maximum.accumulate(sums[::-1])[::-1] + self.enter[k] > -1e-2
+        return out & ~tokens.edges
+
+    def decode(self, tokens: Tokens, whole: bool = False) -> list[tuple[int, int, int]]:
+        """Likeliest spans as (kind, first token, last token); ``whole``: by Viterbi on all tokens."""
+        live = ~tokens.edges if whole else self.open_places(tokens)
+        change = np.diff(np.concatenate([[0], live.astype(np.int8), [0]]))
+        starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+        places = np.flatnonzero(live)
+        scores = np.zeros((len(places), self.STATES))
+        for i in range(0, len(places), 1 << 16):
+            scores[i : i + (1 << 16)] = self.emit[self.features(tokens.shape, tokens.gap, places[i : i + (1 << 16)])].sum(1)
+        cuts = np.append(0, np.cumsum(ends - starts))
+        paths = self.viterbi([scores[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
+        out = []
+        for start, path in zip(starts.tolist(), paths):
+            for k in np.flatnonzero(path % 2 == 1).tolist():
+                j = k + 1
+                while j < len(path) and path[j] == path[k] + 1:
+                    j += 1
+                out.append((int(path[k]) // 2, start + k, start + j - 1))
+        return out
 
     def viterbi(self, chains: list[np.ndarray]) -> list[np.ndarray]:
-        """The likeliest states of every chain; chains of like length are decoded together."""
+        """The likeliest states of every chain between two outside tokens; chains of like length are decoded together."""
         out: list = [np.zeros(0, np.int8)] * len(chains)
         order = sorted((i for i in range(len(chains)) if len(chains[i])), key=lambda i: len(chains[i]))
         at = 0
@@ -212,32 +362,27 @@ class Crf:
                 stop += 1
             group, long = order[at:stop], len(chains[order[stop - 1]])
             sizes = np.array([len(chains[i]) for i in group])
-            table = np.zeros((long, len(group), self.STATES))
+            cells = np.zeros((self.STATES, long, len(group)))
             for k, i in enumerate(group):
-                table[: sizes[k], k] = chains[i]
-            back = np.zeros((long, len(group), self.STATES), np.int8)
-            score = table[0] + self.start
+                cells[:, : sizes[k], k] = chains[i].T
+            back = np.zeros((long, self.STATES, len(group)), np.int8)
+            score = cells[:, 0] + self.step[0][:, None]
             for t in range(1, long):
-                by = score[:, :, None] + self.step
-                back[t] = by.argmax(1)
-                score = np.where((t < sizes)[:, None], by.max(1) + table[t], score)
-            state = score.argmax(1)
+                by = score[:, None] + self.step[:, :, None]
+                back[t] = by.argmax(0)
+                score = np.where(t < sizes, by.max(0) + cells[:, t], score)
+            state = (score + self.step[:, :1]).argmax(0)
             path = np.zeros((long, len(group)), np.int8)
             for t in range(long - 1, -1, -1):
                 live = t < sizes
                 path[t] = np.where(live, state, 0)
                 if t:
-                    state = np.where(live, back[t][np.arange(len(group)), state], state)
+                    state = np.where(live, back[t][state, np.arange(len(group))], state)
             for k, i in enumerate(group):
                 out[i] = path[: sizes[k], k]
             at = stop
         return out
 
-    @property
-    def start(self) -> np.ndarray:
-        """A chain begins outside or with the first token of a span."""
-        return np.where(np.arange(self.STATES) % 2 == 0, np.where(np.arange(self.STATES) > 0, -1e4, 0.0), 0.0)
-
 
 def _allowed() -> np.ndarray:
     """Inside follows begin or inside of its kind; states are 0, then 2k + 1 (begin) and 2k + 2 (inside)."""
@@ -250,46 +395,58 @@ def _allowed() -> np.ndarray:
 
 def train(table: list[tuple[str, list[tuple[str, int, int]]]]) -> Crf:
     """Fit to labelled sentences by gradient ascent on the likelihood (forward and backward sums)."""
-    index: dict[str, int] = {"b": 0}
-    rows, golds = [], []
-    for text, spans in table:
-        tokens = _tokens(text)
-        rows.append([[index.setdefault(x, len(index)) for x in f] for f in _features(text, tokens)])
-        gold = np.zeros(len(tokens), int)
+    tokens = Tokens([text for text, _ in table])
+    crf = Crf(np.unique(Crf.codes(tokens.shape)[~tokens.edges]))
+    n, s, mask = len(table), Crf.STATES, _allowed()
+    crf.step = mask.copy()
+    if not n:
+        return crf.finish()
+    total = len(tokens.shape)
+    gold = np.zeros(total, int)
+    for i, (_, spans) in enumerate(table):
         for kind, a, b in spans:
-            inside = [i for i, (x, y) in enumerate(tokens) if x >= a and y <= b]
+            a, b = a + tokens.offsets[i], b + tokens.offsets[i]
+            inside = np.flatnonzero((tokens.first >= a) & (tokens.last <= b) & ~tokens.edges)
             gold[inside] = 2 * KINDS.index(kind) + 2
             gold[inside[:1]] = 2 * KINDS.index(kind) + 1
-        golds.append(gold)
-    long, n, s = max(map(len, rows), default=0), len(rows), Crf.STATES
-    emit, step, mask = np.zeros((len(index), s)), np.zeros((s, s)), _allowed()
-    crf = Crf(index, emit, step + mask)
-    if not long:
-        return crf
-    sizes = np.array([len(r) for r in rows])
-    flat = np.array([k for r in rows for f in r for k in f])
-    widths = np.array([len(f) for r in rows for f in r])
-    starts = np.cumsum(widths) - widths
-    owner = np.repeat(np.arange(len(widths)), widths)
+    rows = crf.features(tokens.shape, tokens.gap, np.arange(total))
+    rows[tokens.edges] = crf.emit.shape[0] - 1
+    used, rows = np.unique(rows, return_inverse=True)
+    rows = rows.reshape(total, -1)
+    edge = np.where(tokens.edges[:, None] & (np.arange(s) > 0), -60.0, 0.0)  # the edges of a text are outside
+    sizes = np.diff(np.append(tokens.begins, total))
+    long = int(sizes.max())
     at_t, at_n = ranges(np.zeros(n, np.int64), sizes), np.repeat(np.arange(n), sizes)
-    gold = np.concatenate(golds)
     live = np.arange(long)[:, None] < sizes
-    gold_emit = np.zeros_like(emit)
-    np.add.at(gold_emit, flat, np.eye(s)[gold[owner]])
+    # A pair that the table never has in a state speaks against that state, whether it has the pair or not.
+    prior, pairs_at = np.zeros_like(crf.emit), slice(3 * SHAPES, 3 * SHAPES + 2 * crf.PAIRS)
+    prior[pairs_at, 1:] = UNSEEN
+    for column in rows.T[3:5]:
+        prior[used[column], gold] = 0
+    fixed = prior[used]
+    emit, step = np.zeros((len(used), s)), np.zeros((s, s))
+    weightless = used == crf.emit.shape[0] - 1
+
+    def summed(values: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(emit)
+        for column in rows.T:
+            np.add.at(out, column, values)
+        out[weightless] = 0
+        return out
+
+    gold_emit = summed(np.eye(s)[gold])
     follows = at_t[1:] > 0
     gold_step = np.zeros((s, s))
     np.add.at(gold_step, (gold[:-1][follows], gold[1:][follows]), 1)
     moments = [np.zeros_like(x) for x in (emit, step, emit, step)]
     for turn in range(1, ROUNDS + 1):
         table_ = np.zeros((long, n, s))
-        table_[at_t, at_n] = np.add.reduceat(emit[flat], starts, axis=0)
+        table_[at_t, at_n] = (emit + fixed)[rows].sum(1) + edge
         move = np.exp(step + mask)
         weight = np.exp(np.clip(table_, -60, 60))
         forward, backward, scale = np.zeros((long, n, s)), np.ones((long, n, s)), np.ones((long, n))
-        forward[0] = weight[0] * np.exp(crf.start)
         for t in range(long):
-            if t:
-                forward[t] = np.where(live[t][:, None], (forward[t - 1] @ move) * weight[t], forward[t - 1])
+            forward[t] = np.where(live[t][:, None], (forward[t - 1] @ move) * weight[t], forward[t - 1]) if t else weight[t] * (np.arange(s) == 0)
             scale[t] = forward[t].sum(1)
             forward[t] /= scale[t][:, None]
         pairs = np.zeros((s, s))
@@ -300,15 +457,16 @@ def train(table: list[tuple[str, list[tuple[str, int, int]]]]) -> Crf:
             pairs += move * (forward[t].T @ np.where(on, ahead, 0))
         belief = forward * backward
         belief /= belief.sum(2, keepdims=True)
-        expected = np.zeros_like(emit)
-        np.add.at(expected, flat, belief[at_t, at_n][owner])
+        expected = summed(belief[at_t, at_n])
         for k, (x, g) in enumerate(((emit, gold_emit - expected - RIDGE * n * emit), (step, gold_step - pairs - RIDGE * n * step))):
             first, second = moments[k], moments[k + 2]
             first += 0.1 * (g - first)
             second += 0.01 * (g * g - second)
             x += RATE * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-8)
+    crf.emit = prior
+    crf.emit[used] += emit
     crf.step = step + mask
-    return crf
+    return crf.finish()
 
 
 @lru_cache(maxsize=1)
@@ -316,46 +474,28 @@ def default_model() -> Crf:
     return train(labelled_table())
 
 
-def _stretches(text: str) -> list[tuple[int, int]]:
-    """Runs of words that may hold personal data, with a further word on either side."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    hits = np.flatnonzero(((codes - 48) < 10) | (codes == 64))
-    marks = [i for m in _BRACKETED.finditer(text) for i in m.span()[:1]] if "(" in text or "[" in text or "{" in text else []
-    if marks:
-        hits = np.unique(np.concatenate([hits, np.array(marks)]))
-    if not len(hits):
-        return []
-    space = np.flatnonzero((codes == 32) | ((codes - 9) < 5))
-    # words as the gaps between white space: number of a place's word = white spaces before it
-    word = np.unique(np.searchsorted(space, hits))
-    begins, ends = np.append(0, space + 1), np.append(space, len(codes))
-    real = np.flatnonzero(ends > begins)
-    nth = np.searchsorted(real, word)
-    low, high = np.maximum(nth - 1, 0), np.minimum(nth + 1, len(real) - 1)
-    new = np.append(True, low[1:] > high[:-1])
-    return list(zip(begins[real[low[new]]].tolist(), ends[real[high[np.append(np.flatnonzero(new)[1:] - 1, len(nth) - 1)]]].tolist()))
+def _groups(texts: list[str]):
+    begin = chars = 0
+    for i, text in enumerate(texts):
+        chars += len(text)
+        if chars >= GROUP_CHARS or i == len(texts) - 1:
+            yield begin, texts[begin : i + 1]
+            begin, chars = i + 1, 0
 
 
 def find_spans(texts: list[str], model: Crf | None = None) -> list[tuple[dict, list[tuple[str, int, int]]]]:
     """For each text its base spans by kind, and all spans by kind and start."""
     model = model or default_model()
     bases = [base_spans(t) for t in texts]
-    where, chains = [], []
-    for i, text in enumerate(texts):
-        for a, b in _stretches(text):
-            tokens = _tokens(text, a, b)
-            if tokens:
-                where.append((i, tokens))
-                chains.append(model.potentials(_features(text, tokens)))
     added: dict[int, list] = {}
-    for (i, tokens), path in zip(where, model.viterbi(chains)):
-        for k in np.flatnonzero(path % 2 == 1).tolist():
-            j = k + 1
-            while j < len(path) and path[j] == path[k] + 1:
-                j += 1
-            kind, a, b = KINDS[path[k] // 2], tokens[k][0], tokens[j - 1][1]
-            if _plausible(kind, texts[i][a:b]) and not any(x < b and a < y for spans in bases[i].values() for x, y in spans):
-                added.setdefault(i, []).append((kind, a, b))
+    for begin, group in _groups(texts):
+        tokens = Tokens(group)
+        for k, i, j in model.decode(tokens):
+            nth = int(np.searchsorted(tokens.begins, i, "right")) - 1
+            text, base = begin + nth, tokens.offsets[nth]
+            kind, a, b = KINDS[k], int(tokens.first[i] - base), int(tokens.last[j] - base)
+            if _plausible(kind, texts[text][a:b]) and not any(x < b and a < y for spans in bases[text].values() for x, y in spans):
+                added.setdefault(text, []).append((kind, a, b))
     out = []
     for i, base in enumerate(bases):
         spans = [(k, a, b) for k in KINDS for a, b in base[k]] + added.get(i, [])
@@ -393,8 +533,8 @@ def redact(df: DataFrame, model: Crf | None = None, text: str = "text") -> DataF
 
 
 def pii_spans(df: DataFrame, model: Crf | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: key, base spans of each kind, the digest of the base spans, and all spans."""
-    schema = StructType([StructField(key, df.schema[key].dataType), *(StructField(f"n_{k}", LongType()) for k in KINDS), StructField("base_sha256", StringType()), StructField("spans", StringType())])
+    """For each row: key, base spans of each kind, the digest of the base spans, all spans and their number."""
+    schema = StructType([StructField(key, df.schema[key].dataType), *(StructField(f"n_{k}", LongType()) for k in KINDS), StructField("base_sha256", StringType()), StructField("spans", StringType()), StructField("n_spans", LongType())])
     shared = _model(df, model)
     joined = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -403,7 +543,7 @@ def pii_spans(df: DataFrame, model: Crf | None = None, key: str = "doc_id", text
             found = find_spans(batch.column(1).to_pylist(), shared.value)
             counts = [pa.array([len(base[k]) for base, _ in found], pa.int64()) for k in KINDS]
             digests = [hashlib.sha256(joined((k, a, b) for k in KINDS for a, b in base[k]).encode()).hexdigest() for base, _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array([joined(s) for _, s in found], pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array([joined(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64())], names=schema.names)
 
     return df.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(trimmed(run), schema)
 
