@@ -11,7 +11,8 @@ window over each query's k best of every shard.
 Scores are whole numbers: components become ``floor(scale * x)``. Vectors that are null or hold a
 null, NaN or infinity take no part, nor do rows without an id; shorter vectors count as padded with
 zeros. Rows that bear the query's own id are no candidates of it; other repeated rows are each a
-candidate, ties go to smaller ids. Few rows give fewer than k results, no rows none.
+candidate, ties go to smaller ids. Query rows of one id are one query, by the least of their vectors.
+Few rows give fewer than k results, no rows none.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from gleaner.llm.common import documents, materialize
 
 #: Vectors of a shard, queries of a block, bands of a posting list, terms probed between two tests.
-SHARD, BLOCK, BANDS, STEP = 8192, 1024, 8, 8
+SHARD, BLOCK, BANDS, STEP = 8192, 1024, 32, 8
 PACKED = "slot long, ids binary, cells binary"
 FOUND = "query_id long, vec_id long, score long"
 
@@ -87,11 +88,8 @@ class Shard:
         heads = heads[self.ids[heads] != query_id]
         first = self.rows[heads] @ q
         least = np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else None
-        candidates = np.flatnonzero(self.ids != query_id)
-        if least is not None and width:
-            mask = self._essential(edges, base, least, up, by_bound)
-            if mask is not None:
-                candidates = candidates[mask[candidates]]
+        found = np.ones(n, bool) if least is None or not width else self._essential(edges, base, least, up)
+        candidates = np.flatnonzero(found & (self.ids != query_id))
         partial = np.full(len(candidates), base, np.result_type(base, self.kind))
         left = edges[:, 0].sum()
         for i in range(0, width, STEP):
@@ -110,26 +108,20 @@ class Shard:
         best = np.lexsort((self.ids[candidates], -partial))[:k]
         return self.ids[candidates[best]], partial[best].astype(np.int64)
 
-    def _essential(self, edges: np.ndarray, base, least, up: np.ndarray, by_bound: np.ndarray) -> np.ndarray | None:
-        """The vectors of essential bands; None if they are all or nearly all vectors.
+    def _essential(self, edges: np.ndarray, base, least, up: np.ndarray) -> np.ndarray:
+        """Which vectors the essential bands hold.
 
-        Bands become essential one by one, those first whose bound falls most, until what the
-        others can give stays below the threshold.
+        As many bands of every term are taken as bring what the rest can give below the threshold;
+        then terms give back their last bands, cheapest first, as far as the rest stays below it.
         """
-        taken, total, n = np.zeros(len(edges), int), base + edges[:, 0].sum(), len(self.ids)
-        gain = edges[:, :-1] - edges[:, 1:]
-        share = 1.0  # of the vectors that no essential band is likely to hold
-        while total >= least:
-            drop = gain[np.arange(len(edges)), np.minimum(taken, BANDS - 1)] * (taken < BANDS)
-            t = int(np.argmax(drop))
-            if taken[t] == BANDS or drop[t] <= 0:
-                return None
-            share *= (BANDS - taken[t] - 1) / (BANDS - taken[t])
-            if share < 0.1:
-                return None
-            total -= drop[t]
-            taken[t] += 1
-        mask = np.zeros(n, bool)
+        totals = base + edges.sum(0)
+        level = int(np.argmax(totals < least)) if (totals < least).any() else BANDS
+        taken = np.full(len(edges), level)
+        if 0 < level and totals[level] < least:
+            back = edges[:, level - 1] - edges[:, level]
+            order = np.argsort(back, kind="stable")
+            taken[order[np.cumsum(back[order]) + totals[level] < least]] -= 1
+        mask = np.zeros(len(self.ids), bool)
         for t in np.flatnonzero(taken):
             mask[self.order[t, self.cuts[BANDS - taken[t]] :] if up[t] else self.order[t, : self.cuts[taken[t]]]] = True
         return mask
@@ -137,6 +129,7 @@ class Shard:
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k best vectors of every query; both have (id, cells) as :func:`whole_vectors` gives them."""
+    queries = queries.groupBy("id").agg(F.min("cells").alias("cells"))
     shards = -(-vectors.count() // SHARD) or 1
     blocks = -(-queries.count() // BLOCK) or 1
     left, _ = materialize(_packed(vectors, shards), "top-k-shards")
