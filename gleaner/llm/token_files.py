@@ -1,18 +1,19 @@
 """Flat files of token ids with 64-bit document offsets, written and read in ascending key order.
 
-Every range of keys becomes one file; a file holds
+Every range of keys becomes two files:
 
-* 32 bytes: the magic ``GLTOKEN1``, then as little-endian 64-bit integers the bytes an id takes
-  (2 or 4), the number of documents and the number of ids;
-* the documents' keys (int64), then documents + 1 offsets (int64, in ids, from 0);
-* the ids, unsigned, little-endian.
+* ``.ids``: the ids of all its documents, unsigned, little-endian, nothing else;
+* ``.idx``: 40 bytes (the magic ``GLTOKEN2``, then as little-endian 64-bit integers the bytes an id
+  takes, 2 or 4, the number of documents, those without a key, and the number of ids), then the
+  documents' keys (int64) and documents + 1 offsets (int64, in ids, from 0).
 
-A manifest names each file with its counts and its base, the number of ids in all files before it:
-bases are prefix sums over the manifest, which has a row a partition. Tasks write under names of
+Ids go to their file as they are made; a task keeps the key and offset of each document. A manifest
+names the files of each part with their counts and their base, the number of ids in all parts before
+it: bases are prefix sums over the manifest, which has a row a part. Tasks write under names of
 their own attempt, so a task that runs again leaves no half file in the manifest.
 
-A null text is empty and has the end id alone. A document without a key comes first, under key -1;
-equal keys stand in no fixed order among themselves. An empty table gives no files and no rows.
+A null text is empty and has the end id alone. Documents without a key come first; equal keys stand
+in no fixed order among themselves. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from gleaner.llm.common import documents, materialize, new_path, open_input, open_output, text_or_empty
 from gleaner.llm.tokens import library_encoder
 
-MAGIC = b"GLTOKEN1"
+MAGIC = b"GLTOKEN2"
 MANIFEST = StructType([StructField("part", LongType()), StructField("path", StringType()), StructField("n_docs", LongType()), StructField("n_ids", LongType())])
 #: The ids that a reader takes from a file at a time.
 READ_IDS = 1 << 20
@@ -38,33 +39,41 @@ READ_IDS = 1 << 20
 def write_token_files(df: DataFrame, vocabulary: str, end_id: int, folder: str, spaced: bool = False, id_bytes: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text, append ``end_id``, write the files and return the manifest with bases."""
     kind = np.dtype(f"<u{id_bytes}")
+    most = (1 << 8 * id_bytes) - 1
+    if not 0 <= end_id <= most:
+        raise ValueError(f"id {end_id} takes more than {id_bytes} bytes")
 
     def run(batches):
         encoder = library_encoder(vocabulary, spaced)
-        keys, sizes, ids = [], [], []
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False).astype("<i8"))
-            for x in encoder.encode(batch.column(1).to_pylist()):
-                if len(x) and int(x.max()) >= 1 << 8 * id_bytes:
-                    raise ValueError(f"an id takes more than {id_bytes} bytes")
-                ids.append(np.append(x, end_id).astype(kind).tobytes())
-                sizes.append(len(x) + 1)
+        keys, sizes, nulls, out = [], [], 0, None
+        path = f"{folder}/{uuid.uuid4().hex}"
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                out = out or open_output(f"{path}.ids")
+                nulls += batch.column(0).null_count
+                keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+                for x in encoder.encode(batch.column(1).to_pylist()):
+                    if len(x) and int(x.max()) > most:
+                        raise ValueError(f"an id takes more than {id_bytes} bytes")
+                    out.write(np.append(x, end_id).astype(kind).tobytes())
+                    sizes.append(len(x) + 1)
+        finally:
+            if out is not None:
+                out.close()
         if not sizes:
             return
         from pyspark import TaskContext
 
-        part, path = TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4().hex}.tok"
-        offsets = np.cumsum([0, *sizes]).astype("<i8")
-        with open_output(path) as f:
-            f.write(MAGIC + struct.pack("<3q", id_bytes, len(sizes), int(offsets[-1])))
-            for x in keys:
+        offsets = np.append(0, np.cumsum(np.array(sizes, "<i8"))).astype("<i8")
+        with open_output(f"{path}.idx") as f:
+            f.write(MAGIC + struct.pack("<4q", id_bytes, len(sizes), nulls, int(offsets[-1])))
+            for x in (*keys, offsets):
                 f.write(x.tobytes())
-            f.write(offsets.tobytes())
-            for x in ids:
-                f.write(x)
-        yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": len(sizes), "n_ids": int(offsets[-1])}], schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "path": path, "n_docs": len(sizes), "n_ids": int(offsets[-1])}], schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("key"), text_or_empty(text).alias("text"))
+    rows = df.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
     written = rows.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, MANIFEST)
     manifest, _ = materialize(written, "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
@@ -72,20 +81,19 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, folder: str,
 
 
 def read_token_file(path: str):
-    """Keys, offsets and an array-like of ids of one file; local files are mapped, not read."""
-    source = open_input(path)
-    head = source.read_at(32, 0)
-    magic, (id_bytes, n_docs, n_ids) = bytes(head[:8]), struct.unpack("<3q", head[8:32])
-    if magic != MAGIC:
-        raise ValueError(f"{path} is no token file")
-    keys = np.frombuffer(source.read_at(8 * n_docs, 32), "<i8")
-    offsets = np.frombuffer(source.read_at(8 * (n_docs + 1), 32 + 8 * n_docs), "<i8")
-    begin = 32 + 8 * (2 * n_docs + 1)
+    """Keys (an Arrow array), offsets and an array-like of ids of one part; local files are mapped, not read."""
+    index, flat = open_input(f"{path}.idx"), open_input(f"{path}.ids")
+    head = index.read_at(40, 0)
+    magic, (id_bytes, n_docs, nulls, n_ids) = bytes(head[:8]), struct.unpack("<4q", head[8:40])
+    if magic != MAGIC or flat.size() != id_bytes * n_ids:
+        raise ValueError(f"{path} is no whole token file")
+    keys = np.frombuffer(index.read_at(8 * n_docs, 40), "<i8")
+    offsets = np.frombuffer(index.read_at(8 * (n_docs + 1), 40 + 8 * n_docs), "<i8")
 
     def ids(i: int, j: int) -> np.ndarray:
-        return np.frombuffer(source.read_at(id_bytes * (j - i), begin + id_bytes * i), f"<u{id_bytes}")
+        return np.frombuffer(flat.read_at(id_bytes * (j - i), id_bytes * i), f"<u{id_bytes}")
 
-    return keys, offsets, ids
+    return pa.array(keys, mask=np.arange(n_docs) < nulls), offsets, ids
 
 
 def read_token_digests(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -103,7 +111,7 @@ def read_token_digests(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                     block, at = ids(int(offsets[i]), int(offsets[j])).astype("<u4"), offsets[i : j + 1] - offsets[i]
                     crcs[i:j] = [zlib.crc32(block[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                     i = j
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crcs)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(base + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crcs)], names=schema.names)
 
     return manifest.select("path", "base").repartition("path").mapInArrow(run, schema)
 
