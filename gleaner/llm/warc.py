@@ -26,6 +26,8 @@ INDEX = StructType([StructField("page_id", LongType()), StructField("archive", S
 RECORD = StructType([StructField("page_id", LongType()), StructField("record_type", StringType()), StructField("refers_to", LongType()), StructField("url", StringType()), StructField("payload_bytes", LongType()), StructField("payload_digest", StringType()), StructField("named_digest", StringType())])
 #: Size after which a task opens a further archive, and the gap that one read may bridge.
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 64 << 10, 8 << 20
+#: Bytes of records that a reading task takes.
+TASK_BYTES = 64 << 20
 
 
 def _name(page_id) -> str:
@@ -94,7 +96,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000) -> Data
 def read_records(index: DataFrame) -> DataFrame:
     """The records that the index rows name, payloads digested as they are read.
 
-    Index rows are dealt by archive; reads of neighbouring ranges are coalesced.
+    Index rows are dealt by archive and stretches of ``TASK_BYTES``, to as many tasks as their bytes
+    ask for; reads of neighbouring ranges are coalesced.
     """
     schema = pa.schema([(f.name, pa.int64() if f.dataType == LongType() else pa.string()) for f in RECORD])
 
@@ -118,7 +121,11 @@ def read_records(index: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     chosen = index.select("archive", "offset", "length")
-    return chosen.repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(run, RECORD)
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    stretch = max(1, min(TASK_BYTES, total // tasks))
+    dealt = chosen.repartition(tasks, F.col("archive"), F.floor(F.col("offset") / F.lit(stretch)))
+    return dealt.sortWithinPartitions("archive", "offset").mapInArrow(run, RECORD)
 
 
 def with_payloads(records: DataFrame) -> DataFrame:
