@@ -19,7 +19,8 @@ from gleaner.llm.common import documents
 #: White space and symbols of the counts.
 SPACE = r"[\x20\x09-\x0D]+"
 NO_SYMBOL = r"[^#*$%&|<>]+"
-#: Window positions share a 64-bit integer with 44 bits of hash; longer texts sort pairs instead.
+#: Window positions share a 64-bit integer with 44 bits of hash. Texts with more words, or with two
+#: different windows of one hash, sort the windows themselves instead.
 POSITION_BITS = 20
 
 
@@ -36,13 +37,9 @@ def _same_window(words: Column, i: Column, j: Column) -> Column:
     return (F.get(words, i) == F.get(words, j)) & (F.get(words, i + 1) == F.get(words, j + 1)) & (F.get(words, i + 2) == F.get(words, j + 2))
 
 
-def _repeated(windows: Column, words: Column, bucket, position) -> Column:
-    """Ascending starts of the windows that occur twice or more; ``windows`` is sorted by hash, then start."""
-
-    def like(x, y):
-        return (bucket(x) == bucket(y)) & _same_window(words, position(x), position(y))
-
-    twice = F.filter(windows, lambda x, k: like(x, F.get(windows, k + 1)) | like(x, F.get(windows, k - 1)))
+def _repeated(windows: Column, name, position) -> Column:
+    """Ascending starts of the windows whose name occurs twice or more; ``windows`` is sorted by name."""
+    twice = F.filter(windows, lambda x, k: (name(x) == name(F.get(windows, k + 1))) | (name(x) == name(F.get(windows, k - 1))))
     return F.array_sort(F.transform(twice, position))
 
 
@@ -54,21 +51,22 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     starts = F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), F.size("_words") - 3)).otherwise(F.array().cast("array<int>"))
     w = F.col("_words")
     hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    short = F.col("n_words") < 1 << POSITION_BITS
-    none = F.array()
-    df = df.withColumns({
-        "_packed": F.sort_array(F.when(short, F.transform(starts, lambda i: F.shiftleft(hashed(i), POSITION_BITS).bitwiseOR(i.cast("long")))).otherwise(none.cast("array<bigint>"))),
-        "_pairs": F.when(~short, F.sort_array(F.transform(starts, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))).otherwise(none.cast("array<struct<h:bigint,i:int>>")),
-    })
-    mask = (1 << POSITION_BITS) - 1
-    df = df.withColumn("_again", F.when(short, _repeated(F.col("_packed"), w, lambda x: F.shiftright(x, POSITION_BITS), lambda x: x.bitwiseAND(F.lit(mask)).cast("int"))).otherwise(_repeated(F.col("_pairs"), w, lambda x: x["h"], lambda x: x["i"])))
+    packed, mask = F.col("_packed"), (1 << POSITION_BITS) - 1
+    bucket, place = lambda x: F.shiftright(x, POSITION_BITS), lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
+    short = F.when(F.col("n_words") < 1 << POSITION_BITS, F.sort_array(F.transform(starts, lambda i: F.shiftleft(hashed(i), POSITION_BITS).bitwiseOR(i.cast("long")))))
+    # Sorted neighbours of one bucket that differ show every bucket that holds more than one window.
+    mixed = F.size(F.filter(packed, lambda x, k: (bucket(x) == bucket(F.get(packed, k + 1))) & ~_same_window(w, place(x), place(F.get(packed, k + 1))))) > 0
+    df = df.withColumn("_packed", short).withColumn("_plain", packed.isNull() | mixed)
+    named = F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("name"), i.alias("i"))))
+    df = df.withColumn("_named", F.when(F.col("_plain"), named))
+    df = df.withColumn("_again", F.when(F.col("_plain"), _repeated(F.col("_named"), lambda x: x["name"], lambda x: x["i"])).otherwise(_repeated(packed, bucket, place)))
     again = F.col("_again")
     covered = F.aggregate(F.transform(again, lambda x, k: F.least(F.get(again, k + 1) - x, F.lit(3))), F.lit(0), lambda a, b: a + b)
     return df.withColumns({
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": covered.cast("long"),
-    }).drop("_words", "_lines", "_packed", "_pairs", "_again")
+    }).drop("_words", "_lines", "_packed", "_plain", "_named", "_again")
 
 
 def normalised(line: Column) -> Column:
