@@ -6,7 +6,9 @@ counts as the word they spell. The kernel counts common subsequences of three sy
 discounted by the span it takes, so gaps and inserted characters lower a match but do not end it.
 
 Training takes a bounded sample of at most ``SAMPLE`` labelled texts of either label, drawn from those of
-1 to ``LONGEST`` characters, each a sentence to the machine; texts of any length are scored whole. A toxic one is only known to hold some insult, so the machine is trained in rounds: it
+1 to ``LONGEST`` characters, each a sentence to the machine; of their clean words the ``COMPARED`` with
+the least checksums and a third as many of the most common are compared. A key labelled both ways counts
+as toxic. Texts of any length are scored whole. A toxic one is only known to hold some insult, so the machine is trained in rounds: it
 picks each toxic sentence's likeliest words and the hardest words of clean ones, and is fitted again. The surest words also stand there with a character inserted. The landmarks are words that tell the labels apart and common clean words.
 As the kernel's features are the 32**3 triples, the fitted sum over landmarks folds into one table,
 and scoring a word is a sum of table entries. A text's score is a logistic function of its two
@@ -112,7 +114,7 @@ def many_triple_sums(symbols: np.ndarray, length: np.ndarray, tables: np.ndarray
 
 
 def triples(word: bytes) -> np.ndarray:
-    """A word's feature vector over all triples (its first stretch), by its norm."""
+    """The feature vector of a word's first stretch over all triples, by its norm (landmarks are stretches)."""
     s = np.append(MARK, _SYMBOLS[np.frombuffer(word[: WIDTH - 1], np.uint8)])
     out = np.zeros(32**3)
     for a, b in _OFFSETS:
@@ -263,19 +265,29 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Mode
 
     tables, root = np.ascontiguousarray(features.T, np.float32), root.astype(np.float32)
 
-    def mapped_words(words: pa.Array, step: int = 16384) -> np.ndarray:
-        out = [np.zeros((0, len(features)), np.float32)]
+    def mapped_words(words: pa.Array, step: int = 16384) -> tuple[np.ndarray, np.ndarray]:
+        """Features of all stretches of the words, and where each word's begin."""
+        out, begins, done = [np.zeros((0, len(features)), np.float32)], [np.zeros(0, np.int64)], 0
         for i in range(0, len(words), step):
             symbols, length, owner = stretches(words.slice(i, step))
-            first = np.append(True, owner[1:] != owner[:-1])
-            out.append(many_triple_sums(symbols[first], length[first], tables) @ root)
-        return np.concatenate(out)
+            out.append(many_triple_sums(symbols, length, tables) @ root)
+            begins.append(done + np.flatnonzero(np.append(True, owner[1:] != owner[:-1])))
+            done += len(owner)
+        return np.concatenate(out), np.concatenate(begins)
+
+    def likeliest(stretches_: np.ndarray, begins: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the row of its highest-scoring stretch, and that score."""
+        scores = stretches_ @ w[:-1] + w[-1]
+        best = np.maximum.reduceat(scores, begins)
+        word = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(scores))))
+        return np.maximum.reduceat(np.where(scores == best[word], np.arange(len(scores)), -1), begins), best
 
     chosen = np.zeros(len(names), bool)
     chosen[(odds > 0.5) & (hits[1] > 0)] = True
     chosen[common[: COMPARED // 3]] = True
     chosen[np.argsort([zlib.crc32(w) for w in names], kind="stable")[:COMPARED]] = True
-    mapped = mapped_words(vocabulary.filter(pa.array(chosen)))
+    pieces, begins = mapped_words(vocabulary.filter(pa.array(chosen)))
+    mapped = pieces[begins]
     row_of = np.cumsum(chosen) - 1  # of a chosen word, in mapped
     common = common[chosen[common]]
     negative = common[:4000]
@@ -291,7 +303,8 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Mode
         sign = np.repeat([1.0, 1.0, -1.0], sizes)
         w = _svm(x, sign, np.repeat([1000 / max(1, sizes[0]), 1000 / max(1, sizes[1]), 1000 / max(1, sizes[2])], sizes))
         scores = np.full(len(names), FLOOR)
-        scores[chosen] = mapped @ w[:-1] + w[-1]
+        best, scores[chosen] = likeliest(pieces, begins, w)
+        mapped = pieces[best]
         ranked = (s[np.argsort(-scores[s], kind="stable")[:4]] for s in sentences)
         positive = np.array([k for s in ranked for n, k in enumerate(s) if odds[k] > 2.0 and (n < 2 or scores[k] > 0)], np.int64)
         hard = [k for s in clean for k in s[np.argsort(-scores[s], kind="stable")[:3]]]
@@ -302,7 +315,9 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Mode
             picked, often = np.unique(positive, return_counts=True)
             sure = [names[k] for k in picked[np.argsort(-often, kind="stable")][:VARIED] if len(names[k]) >= 4 and odds[k] > 2.5]
             variants = _variants(sure)
-            inserted = mapped_words(pa.array(variants, pa.large_binary())) if variants else inserted
+            if variants:
+                parts, first = mapped_words(pa.array(variants, pa.large_binary()))
+                inserted = parts[likeliest(parts, first, w)[0]]
     model = Model((root @ w[:-1]) @ features, float(w[-1]), np.zeros(3))
     model.logistic = _logistic(model.tops(vocabulary, codes, cuts), y.astype(float))
     if rate is not None and 0 < rate < 1:
@@ -321,7 +336,7 @@ def train_on(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     Labels whose text is absent, empty or over ``LONGEST`` characters take no place in the sample.
     """
-    marked = labels.where(F.col(label).isin(0, 1) & learnable(key)).select(key, F.col(label).cast("int").alias("label")).dropDuplicates([key])
+    marked = labels.where(F.col(label).isin(0, 1) & learnable(key)).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("label"))
     texts = df.where(F.length(text).between(1, LONGEST)).select(key, F.col(text).alias("text"))
     present = marked.join(texts.select(key), key, "left_semi")  # keys alone, so no text is shuffled
     drawn = [present.where(F.col("label") == v).orderBy(F.xxhash64(key), key).limit(SAMPLE) for v in (0, 1)]
