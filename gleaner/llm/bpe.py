@@ -1,6 +1,7 @@
 """Byte-pair encoding and decoding by a pair occurrence index.
 
-The distinct pieces of a partition's texts are laid out as one linked list of symbols. An index
+The new distinct pieces of a partition's texts, ``GROUP_CHARS`` characters of text at a time, are laid
+out as one linked list of symbols; pieces merged before keep their ids. An index
 maps every pair that some merge covers to all its positions. Active ranks are taken in ascending
 order; each merges all its positions at once and files the pairs that arise under their ranks.
 
@@ -66,6 +67,8 @@ class PairIndexBpe:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.spelling = np.frombuffer(b"".join(table), np.uint8)
         self.special = added
+        if model["model"]["type"] != "BPE" or max(spelled) >= GAP or model["pre_tokenizer"].get("type") != "ByteLevel" or model["pre_tokenizer"].get("add_prefix_space"):
+            raise ValueError(f"{path} is no byte-level vocabulary of at most {GAP} ids without a prefix space")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.pieces = regex.compile(PIECES)
 
@@ -168,11 +171,11 @@ class PairIndexBpe:
 @lru_cache(maxsize=2)
 def worker_encoder(path: str) -> tuple[PairIndexBpe, ChunkEncoder]:
     bpe = PairIndexBpe(path)
-    return bpe, ChunkEncoder(bpe.encode_chunks, spaced=True)
+    return bpe, ChunkEncoder(bpe.encode_chunks, spaced=True, held=0)
 
 
 #: Characters of text whose new pieces are merged together.
-GROUP_CHARS = 12_000_000
+GROUP_CHARS = 4_000_000
 
 
 def _with(df: DataFrame, text: str, names: list[str]) -> tuple[DataFrame, StructType]:

@@ -26,7 +26,7 @@ from gleaner.llm.common import ranges
 _ODD = re.compile(r"[^\S \n]|[ \n][ \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Distinct chunks that a worker keeps; beyond that it starts anew.
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 600_000
 #: Distinct chunks that a worker keeps from one task to the next.
 HELD_CHUNKS = 500_000
 #: Chunks of text whose ids are put together at a time.
@@ -36,8 +36,8 @@ GATHERED = 1 << 19
 class ChunkEncoder:
     """Ids of texts by a function that gives the sizes and the joined ids of a list of chunks."""
 
-    def __init__(self, encode_chunks, spaced: bool):
-        self.encode_chunks, self.spaced = encode_chunks, spaced
+    def __init__(self, encode_chunks, spaced: bool, held: int = HELD_CHUNKS):
+        self.encode_chunks, self.spaced, self.held = encode_chunks, spaced, held
         self._reset()
 
     def _reset(self) -> None:
@@ -103,8 +103,8 @@ class ChunkEncoder:
         self.values = np.concatenate([self.values, values])
 
     def shrink(self) -> None:
-        """Start anew if more than ``HELD_CHUNKS`` are known; called at the end of a task."""
-        if len(self.index) > HELD_CHUNKS:
+        """Start anew if more than ``held`` chunks are known; called at the end of a task."""
+        if len(self.index) > self.held:
             self._reset()
 
     def encode(self, texts: list[str], group_chars: int = 4_000_000):
