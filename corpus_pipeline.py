@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import documents, materialize
+from gleaner.llm.common import clear, documents, materialize
 from gleaner.llm.jaccard import near_copy_components
 from gleaner.llm.packing import pack_documents
 from gleaner.llm.pii import redact
@@ -68,7 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table documents: a row for each piece of what is kept, as packing gives it.
+
+    Each stage is written before the next one reads it, and what earlier stages wrote then goes; call
+    :func:`gleaner.llm.common.clear` when the result is written. An empty table gives no rows; nulls,
+    repeated rows and further columns are as the stages say.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clear(spark, path)
     return STAGES[-1][1](spark, docs, sf_dir)

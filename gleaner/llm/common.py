@@ -12,6 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Tables written and not removed yet.
+_written: list[str] = []
+
+
 def _libc():
     lib = ctypes.CDLL(None)
     return lib if hasattr(lib, "malloc_trim") else None
@@ -20,12 +24,14 @@ def _libc():
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (a local
-    session) a temporary folder is made and kept for the session.
+    The cluster names it in ``spark.checkpoint.dir``; only in a local session where that is unset a
+    temporary folder is made and kept for the session.
     """
     own = "gleaner.shared.dir"
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(own, None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.conf.set(own, path)
     return path.rstrip("/")
@@ -39,12 +45,22 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> tuple[DataFrame
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _written.append(path)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def clear(spark: SparkSession, *kept: str) -> None:
+    """Delete all tables that this process wrote in the shared folder but ``kept``.
+
+    To be called when results are written, as they read such tables.
+    """
+    remove(spark, *(path for path in _written if path not in kept))
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that no later step reads."""
+    _written[:] = [path for path in _written if path not in paths]
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
