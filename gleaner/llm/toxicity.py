@@ -40,6 +40,8 @@ LANDMARKS, ROUNDS, THRESHOLD = 96, 4, 0.3
 COMPARED, VARIED = 30_000, 60
 #: Lowest score that a word can have.
 FLOOR = -4.0
+#: Words of texts whose highest scores are found together.
+PLACES = 1 << 18
 #: The symbol of a word's beginning.
 MARK = 27
 _SYMBOLS = np.full(256, 26)
@@ -137,14 +139,29 @@ def words_of(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]
         ends = np.flatnonzero((single == 1) & (np.append(single[1:], 0) == 0) | (single == 1) & edge[1:]) + 1
         long = ends - starts >= 4
         if long.any():
-            chosen = words.to_numpy(zero_copy_only=False)
-            for i, j in zip(starts[long].tolist(), ends[long].tolist()):
-                chosen[i] = "".join(chosen[i:j])
-            words = pa.array(chosen, pa.large_string())
+            spelled = ["".join(words[i:j].to_pylist()) for i, j in zip(starts[long].tolist(), ends[long].tolist())]
+            mask = np.zeros(len(words), bool)
+            mask[starts[long]] = True
+            words = pc.replace_with_mask(words, pa.array(mask), pa.array(spelled, pa.large_string()))
     seen = words.dictionary_encode()
     return seen.dictionary, seen.indices.to_numpy(), cuts
 
 
+def vocabulary_of(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """As :func:`words_of`, a group of texts at a time, so that little more than the word numbers is held."""
+    index: dict[str, int] = {}
+    codes, sizes, begin, chars = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0, 0
+    for i, text in enumerate(texts):
+        chars += len(text)
+        if chars >= 1 << 20 or i == len(texts) - 1:
+            words, places, cuts = words_of(texts[begin : i + 1])
+            number = np.fromiter((index.setdefault(w, len(index)) for w in words.to_pylist()), np.int32, len(words))
+            codes.append(number[places])
+            sizes.append(np.diff(cuts))
+            begin, chars = i + 1, 0
+    return pa.array(list(index), pa.large_string()), np.concatenate(codes), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+
 class Model:
     """A table of triples' weights with a bias, and the logistic function of two word scores."""
 
@@ -163,17 +180,19 @@ class Model:
 
     def tops(self, words: pa.Array, codes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """For each text the scores of its two highest-scoring places (FLOOR where there are none)."""
-        score = self.word_scores(words)[codes]
-        full = np.flatnonzero(np.diff(cuts) > 0)
-        out = np.full((len(cuts) - 1, 2), FLOOR)
-        if len(full):
-            starts = cuts[:-1][full]
-            best = np.maximum.reduceat(score, starts)
-            owner = np.repeat(np.arange(len(full)), np.diff(cuts)[full])
-            place = np.maximum.reduceat(np.where(score == best[owner], np.arange(len(score)), -1), starts)
-            rest = score.copy()
-            rest[place] = FLOOR
-            out[full, 0], out[full, 1] = best, np.maximum.reduceat(rest, starts)
+        scores, out, i = self.word_scores(words), np.full((len(cuts) - 1, 2), FLOOR), 0
+        while i < len(out):  # texts of about PLACES words at a time
+            j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + PLACES, "right")) - 1)
+            score, sizes = scores[codes[cuts[i] : cuts[j]]], np.diff(cuts[i : j + 1])
+            full = np.flatnonzero(sizes > 0)
+            if len(full):
+                starts = (cuts[i:j] - cuts[i])[full]
+                best = np.maximum.reduceat(score, starts)
+                owner = np.repeat(np.arange(len(full)), sizes[full])
+                place = np.maximum.reduceat(np.where(score == best[owner], np.arange(len(score)), -1), starts)
+                score[place], out[i + full, 0] = FLOOR, best
+                out[i + full, 1] = np.maximum.reduceat(score, starts)
+            i = j
         return out
 
     def scores(self, texts: list[str | None], group_chars: int = 2_000_000) -> np.ndarray:
@@ -235,7 +254,8 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Mode
     y = np.array(list(unique.values()))
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(32**3), 0.0, np.zeros(3), float(y.mean()) if len(y) else 0.0)
-    vocabulary, codes, cuts = words_of(list(unique))
+    vocabulary, codes, cuts = vocabulary_of(list(unique))
+    del unique
     names = [w.encode() for w in vocabulary.to_pylist()]
     sets = [np.unique(codes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
     hits = np.zeros((2, len(names)))
@@ -264,6 +284,7 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Mode
     root = vectors @ np.diag(values**-0.5) @ vectors.T
 
     tables, root = np.ascontiguousarray(features.T, np.float32), root.astype(np.float32)
+    del landmarks, values, vectors
 
     def mapped_words(words: pa.Array, step: int = 16384) -> tuple[np.ndarray, np.ndarray]:
         """Features of all stretches of the words, and where each word's begin."""
@@ -277,7 +298,7 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Mode
 
     def likeliest(stretches_: np.ndarray, begins: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word the row of its highest-scoring stretch, and that score."""
-        scores = stretches_ @ w[:-1] + w[-1]
+        scores = stretches_ @ w[:-1].astype(np.float32) + np.float32(w[-1])
         best = np.maximum.reduceat(scores, begins)
         word = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(scores))))
         return np.maximum.reduceat(np.where(scores == best[word], np.arange(len(scores)), -1), begins), best
@@ -287,8 +308,8 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Mode
     chosen[common[: COMPARED // 3]] = True
     chosen[np.argsort([zlib.crc32(w) for w in names], kind="stable")[:COMPARED]] = True
     pieces, begins = mapped_words(vocabulary.filter(pa.array(chosen)))
-    mapped = pieces[begins]
-    row_of = np.cumsum(chosen) - 1  # of a chosen word, in mapped
+    rows = begins  # of the chosen words' likeliest stretches
+    row_of = np.cumsum(chosen) - 1  # of a chosen word, in rows
     common = common[chosen[common]]
     negative = common[:4000]
     inserted = np.zeros((0, len(features)))
@@ -298,13 +319,12 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Mode
     if not len(positive):
         return Model(np.zeros(32**3), 0.0, np.zeros(3), float(y.mean()))
     for turn in range(ROUNDS):
-        x = np.vstack([mapped[row_of[positive]], inserted, mapped[row_of[negative]]]).astype(float)
+        x = np.vstack([pieces[rows[row_of[positive]]], inserted, pieces[rows[row_of[negative]]]]).astype(float)
         sizes = [len(positive), len(inserted), len(negative)]
         sign = np.repeat([1.0, 1.0, -1.0], sizes)
         w = _svm(x, sign, np.repeat([1000 / max(1, sizes[0]), 1000 / max(1, sizes[1]), 1000 / max(1, sizes[2])], sizes))
         scores = np.full(len(names), FLOOR)
-        best, scores[chosen] = likeliest(pieces, begins, w)
-        mapped = pieces[best]
+        rows, scores[chosen] = likeliest(pieces, begins, w)
         ranked = (s[np.argsort(-scores[s], kind="stable")[:4]] for s in sentences)
         positive = np.array([k for s in ranked for n, k in enumerate(s) if odds[k] > 2.0 and (n < 2 or scores[k] > 0)], np.int64)
         hard = [k for s in clean for k in s[np.argsort(-scores[s], kind="stable")[:3]]]
