@@ -10,8 +10,8 @@ verified on their whole sets. The frequency table only steers cost, never the re
 
 Pairs are never all emitted. First each posting list links its members to one pivot; verified links
 make components. Of a list with several components every member outside the most common one then
-names its nearest by sketches of the whole sets, a pair at most for each place in a list, and the
-links among these join components. What is left is compared by components: a member visits each
+names its nearest by sketches of the whole sets; the one that most of its lists name is verified, and
+the links among these join components. What is left is compared by components: a member visits each
 larger component that it meets in as many lists as the prefixes ask for and that sketches do not
 rule out. Components are dealt in blocks of bounded size, a block holds its members' whole sets,
 and a visitor gives one link a block at most. So a group of n near copies costs about n rows a
@@ -160,7 +160,7 @@ def _postings(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names=["token", "node", "n", "matches", "pivot", "pivot_n", "pivot_matches", "size"])
 
 
-def _comparable(rows: np.ndarray, n, root, bits, percent: int, side, home) -> tuple[np.ndarray, np.ndarray | None]:
+def _comparable(rows: np.ndarray, n, root, bits, percent: int, side, home) -> tuple[np.ndarray, np.ndarray]:
     """Which members of a list each of ``rows`` can link with, in another component, and their sketches' distances.
 
     In a block pair (see :func:`_block_pairs`) two members of one side, or two that are not at home, are
@@ -169,24 +169,31 @@ def _comparable(rows: np.ndarray, n, root, bits, percent: int, side, home) -> tu
     a, b = n[rows][:, None].astype(np.int64), n.astype(np.int64)
     can = (root[rows][:, None] != root) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
     can &= ((side[rows][:, None] != side) | (side == 0)) & ((home[rows][:, None] | home) == 1)
-    if bits is None:
-        return can, None
     # sizes a and b link if they differ in at most (1 - t) / (1 + t) of a + b
     differ = np.bitwise_count(bits[rows][:, None] ^ bits).sum(2, dtype=np.int64)
     return can & ((100 + percent) * differ <= (100 - percent) * (a + b)), differ
 
 
-def _lists(batches):
-    """The lists of sorted batches that hold more than one component, as slices of their columns."""
-    for columns in _runs(batches):
-        token, root = columns[0], columns[4]
-        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        ends = np.append(starts[1:], len(token))
-        mixed = np.add.reduceat((root != root[np.repeat(starts, ends - starts)]).astype(np.int64), starts) > 0
-        for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-            part = [x[s:e] for x in columns]
-            bits = None if part[5][0] is None else np.frombuffer(b"".join(part[5]), np.uint64).reshape(e - s, -1)
-            yield part, bits
+def _lists(columns):
+    """The lists with sketches that hold more than one component: where each begins, its columns and its bits."""
+    token, root = columns[0], columns[4]
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    ends = np.append(starts[1:], len(token))
+    mixed = np.add.reduceat((root != root[np.repeat(starts, ends - starts)]).astype(np.int64), starts) > 0
+    mixed &= np.fromiter((columns[5][s] is not None for s in starts.tolist()), bool, len(starts))
+    for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+        part = [x[s:e] for x in columns]
+        yield s, part, np.frombuffer(b"".join(part[5]), np.uint64).reshape(e - s, -1)
+
+
+def _short_pairs(columns, percent: int):
+    """Places i and j of members that can link, for all lists without sketches at once."""
+    token, n, root = columns[0], columns[1].astype(np.int64), columns[4]
+    plain = np.fromiter((x is None for x in columns[5]), bool, len(token))
+    for d in range(1, SKETCHED):
+        i = np.flatnonzero((token[d:] == token[:-d]) & plain[d:] & (root[d:] != root[:-d]))
+        i = i[100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])]
+        yield i, i + d
 
 
 def _steps(rows: np.ndarray, width: int):
@@ -207,20 +214,22 @@ def _mixed(batches, percent: int):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*parts), kinds)], names=names)
 
     parts, held = [], 0
-    for part, bits in _lists(batches):
-        _, n, node, _, root, _, side, home = part
-        roots, number, often = np.unique(root, return_inverse=True, return_counts=True)
-        found = np.zeros(len(n), bool)
-        near = np.full(len(n), None, object)
-        for rows in _steps(np.flatnonzero(number != often.argmax()), len(n)):
-            can, differ = _comparable(rows, n, root, bits, percent, side, home)
-            some = can.any(1)
-            found |= can.any(0)
-            found[rows[some]] = True
-            if differ is not None and some.any():
-                near[rows[some]] = node[np.where(can, differ, 1 << 30)[some].argmin(1)]
+    for columns in _runs(batches):
+        found = np.zeros(len(columns[0]), bool)
+        near = np.full(len(found), None, object)
+        for i, j in _short_pairs(columns, percent):
+            found[i] = found[j] = True
+        for at, (_, n, node, _, root, _, side, home), bits in _lists(columns):
+            _, number, often = np.unique(root, return_inverse=True, return_counts=True)
+            for rows in _steps(np.flatnonzero(number != often.argmax()), len(n)):
+                can, differ = _comparable(rows, n, root, bits, percent, side, home)
+                some = can.any(1)
+                found[at : at + len(n)] |= can.any(0)
+                found[at + rows[some]] = True
+                if some.any():
+                    near[at + rows[some]] = node[np.where(can, differ, 1 << 30)[some].argmin(1)]
         if found.any():
-            parts.append([x[found] for x in (*part, near)])
+            parts.append([x[found] for x in (*columns, near)])
             held += int(found.sum())
             if held >= OUTPUT:
                 yield batch(parts)
@@ -233,7 +242,7 @@ def _visits(batches, percent: int):
     """(x, root, need): a member that can link with some of a larger component of its list.
 
     ``root`` and ``weight`` order components alike in all lists; ``need`` is the least number of
-    shared prefix shingles that any of these links asks for.
+    shared prefix shingles that any of these links asks for. Lists without sketches give a row a pair.
     """
     names = ["x", "root", "need"]
 
@@ -241,26 +250,32 @@ def _visits(batches, percent: int):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
 
     parts, held = [], 0
-    for (_, n, node, matches, root, _, side, home, weight), bits in _lists(batches):
-        roots, first, number = np.unique(root, return_index=True, return_inverse=True)
-        order = np.empty(len(roots), np.int64)
-        order[np.lexsort((roots, weight[first]))] = np.arange(len(roots))
-        order = order[number]  # of each member's component
-        by = np.argsort(order, kind="stable")
-        begins = np.flatnonzero(np.append(True, np.diff(order[by]) > 0))
-        for rows in _steps(np.flatnonzero(order < len(roots) - 1), len(n)):
-            can, _ = _comparable(rows, n, root, bits, percent, side, home)
-            can &= order[rows][:, None] < order
-            need = np.where(can, np.minimum(matches[rows][:, None], matches), MOST_MATCHES + 1)[:, by]
-            least = np.minimum.reduceat(need, begins, axis=1)  # a column a component
-            i, k = np.nonzero(least <= MOST_MATCHES)
+    for columns in _runs(batches):
+        for i, j in _short_pairs(columns, percent):
             if len(i):
+                _, _, node, matches, root, _, _, _, weight = columns
+                up = (weight[i] < weight[j]) | ((weight[i] == weight[j]) & (root[i] < root[j]))
+                parts.append((node[np.where(up, i, j)], root[np.where(up, j, i)], np.minimum(matches[i], matches[j])))
+                held += len(i)
+        for _, (_, n, node, matches, root, _, side, home, weight), bits in _lists(columns):
+            roots, first, number = np.unique(root, return_index=True, return_inverse=True)
+            order = np.empty(len(roots), np.int64)
+            order[np.lexsort((roots, weight[first]))] = np.arange(len(roots))
+            order = order[number]  # of each member's component
+            by = np.argsort(order, kind="stable")
+            begins = np.flatnonzero(np.append(True, np.diff(order[by]) > 0))
+            for rows in _steps(np.flatnonzero(order < len(roots) - 1), len(n)):
+                can, _ = _comparable(rows, n, root, bits, percent, side, home)
+                can &= order[rows][:, None] < order
+                need = np.where(can, np.minimum(matches[rows][:, None], matches), MOST_MATCHES + 1)[:, by]
+                least = np.minimum.reduceat(need, begins, axis=1)  # a column a component
+                i, k = np.nonzero(least <= MOST_MATCHES)
                 parts.append((node[rows[i]], root[by[begins[k]]], least[i, k].astype(np.int32)))
                 held += len(i)
-                if held >= OUTPUT:
-                    yield batch()
-                    parts, held = [], 0
-    if parts:
+        if held >= OUTPUT:
+            yield batch()
+            parts, held = [], 0
+    if held:
         yield batch()
 
 
@@ -439,7 +454,9 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
         lists = lists.unionByName(_block_pairs(labelled.where(F.col("size") > LONG_LIST).drop("size"), percent))
     mixed, mixed_path = materialize(listed(lists).mapInArrow(trimmed(lambda b: _mixed(b, percent)), MIXED), "mixed")
     remove(spark, postings_path)
-    near = mixed.where("near is not null").select(F.least("node", "near").alias("x"), F.greatest("node", "near").alias("y")).distinct()
+    met = mixed.where("near is not null").groupBy("node", "near").count()
+    best = met.groupBy("node").agg(F.max_by("near", F.struct("count", "near")).alias("near"))  # of a member's lists most name it
+    near = best.select(F.least("node", "near").alias("x"), F.greatest("node", "near").alias("y")).distinct()
     near, near_path = materialize(near.join(checked, ["x", "y"], "left_anti"), "near")
     if near.limit(1).count():
         links = links.unionByName(_verified(rows, classes, near, size, percent).where("linked").select("x", "y"))
