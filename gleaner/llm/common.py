@@ -131,6 +131,32 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by keys in as many partitions as the session's shuffles have: for tasks whose work is far
+    more than their bytes, which Spark would otherwise put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+#: Bits of a filter of names, of fixed size whatever the input: more names only let more pass.
+FILTER_BITS = 24
+
+
+def filter_words(names: DataFrame) -> DataFrame:
+    """(word, bits): a bit filter of the 64-bit column ``name``, in at most ``2**(FILTER_BITS - 6)`` rows."""
+    bit = F.col("name").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = names.select(F.shiftright(bit, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
+    return words.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def with_hits(df: DataFrame, name, words: DataFrame, column: str = "_hit") -> DataFrame:
+    """``df`` with whether the filter has ``name``: true for all names in it, and for few others. A broadcast of bounded size."""
+    bit = name.bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    marked = df.withColumn("_bit", bit)
+    joined = marked.join(F.broadcast(words.toDF("_word", "_bits")), F.shiftright("_bit", 6).cast("int") == F.col("_word"), "left")
+    hit = F.call_function("shiftright", F.coalesce("_bits", F.lit(0)), F.col("_bit").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return joined.withColumn(column, hit).drop("_bit", "_word", "_bits")
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

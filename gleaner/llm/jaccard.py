@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import distinct, documents, materialize, ranges, remove, trimmed
+from gleaner.llm.common import FILTER_BITS, dealt, distinct, documents, filter_words, materialize, ranges, remove, trimmed
 from gleaner.llm.components import connected_components
 from gleaner.llm.shingles import set_hash, shingle_sets
 
@@ -205,7 +205,8 @@ def _steps(rows: np.ndarray, width: int):
 def _mixed(batches, percent: int):
     """Members of lists with several components that can link with a member of another one.
 
-    ``near`` is the nearest such member by sketch, for members outside the list's most common component.
+    ``near`` is the nearest such member by sketch, for members outside the list's most common component
+    whose sets are small enough for it.
     """
     names = ["token", "n", "node", "matches", "root", "sketch", "side", "home", "near"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
@@ -226,6 +227,8 @@ def _mixed(batches, percent: int):
                 some = can.any(1)
                 found[at : at + len(n)] |= can.any(0)
                 found[at + rows[some]] = True
+                # of long sets the sketches are full, and their distance says nothing
+                some &= (100 - percent) * 2 * n[rows].astype(np.int64) <= (100 + percent) * SKETCH_BITS // 2
                 if some.any():
                     near[at + rows[some]] = node[np.where(can, differ, 1 << 30)[some].argmin(1)]
         if found.any():
@@ -298,16 +301,10 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     return blocks.select(group.alias("token"), "n", "node", "matches", "root", "sketch", side.alias("side"), "home")
 
 
-#: Bits of the filter that picks the documents whose sets are sent; more of them only let more pass.
-FILTER_BITS = 24
-
-
 def _filter_words(names: DataFrame) -> np.ndarray:
-    """A bit filter of 64-bit names, of fixed size whatever the input."""
-    bit = F.col("name").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = names.select(F.shiftright(bit, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
+    """The filter of :func:`filter_words` as an array."""
     out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    for word, bits in words.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():  # at most 2**18 rows
+    for word, bits in filter_words(names).collect():  # at most 2**18 rows
         out[word] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
     return out
 
@@ -410,7 +407,7 @@ def _links_of_visits(rows: DataFrame, classes: DataFrame, roots: DataFrame, visi
     come = visits.join(counts, "root").withColumn("part", F.expr("cast(pmod(xxhash64(x), parts) as int)")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     both = own.select(at, F.lit(0).alias("role"), "node").unionByName(come.select(at, F.lit(1).alias("role"), F.col("x").alias("node")))
     sent = both.join(whole, "node").select(F.xxhash64("g.root", "g.block", "g.part").alias("g"), "role", "node", "tokens")
-    links, _ = materialize(sent.repartition("g").sortWithinPartitions("g", "role").mapInArrow(trimmed(lambda b: _met(b, percent)), "x long, y long"), "met")
+    links, _ = materialize(dealt(sent, "g").sortWithinPartitions("g", "role").mapInArrow(trimmed(lambda b: _met(b, percent)), "x long, y long"), "met")
     remove(spark, path)
     return links
 
@@ -432,8 +429,8 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     table = spark.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([s for _, s in top], np.int64)))
 
     lists = rows.select("text").mapInArrow(trimmed(lambda b: _prefixes(b, size, percent, table)), "node long, n int, matches int, tokens array<long>")
-    dealt = lists.select(F.explode("tokens").alias("token"), "n", "node", "matches").repartition("token").sortWithinPartitions("token", "n", "node")
-    postings, postings_path = materialize(dealt.mapInArrow(_postings, "token long, node long, n int, matches int, pivot long, pivot_n int, pivot_matches int, size int"), "postings")
+    sorted_lists = lists.select(F.explode("tokens").alias("token"), "n", "node", "matches").repartition("token").sortWithinPartitions("token", "n", "node")
+    postings, postings_path = materialize(sorted_lists.mapInArrow(_postings, "token long, node long, n int, matches int, pivot long, pivot_n int, pivot_matches int, size int"), "postings")
 
     allowed = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
     stars = postings.where((F.col("node") != F.col("pivot")) & allowed).groupBy(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"), F.least("matches", "pivot_matches").alias("need")).count()
@@ -447,7 +444,7 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     labelled = labelled.select("token", "n", "node", "matches", F.coalesce("root", "node").alias("root"), "sketch", "size")
 
     def listed(members: DataFrame) -> DataFrame:
-        return members.repartition("token").sortWithinPartitions("token", "n", "node")
+        return dealt(members, "token").sortWithinPartitions("token", "n", "node")
 
     lists = labelled.where(F.col("size") <= LONG_LIST).drop("size").withColumns({"side": F.lit(0), "home": F.lit(1)})
     if postings.where(F.col("size") > LONG_LIST).limit(1).count():
