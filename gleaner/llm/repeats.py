@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gleaner.llm.bwt import repeated_starts
-from gleaner.llm.common import documents, materialize, text_or_empty, trimmed
+from gleaner.llm.common import dealt, documents, materialize, text_or_empty, trimmed
 
 #: Bytes of an anchor, of texts that are hashed together, and of strings that are indexed together.
 GRAM, GROUP_BYTES, INDEX_BYTES = 160, 1_000_000, 1_000_000
@@ -171,7 +171,7 @@ def _index(batches, least: int):
 
 
 def _indexed(strings: DataFrame, least: int) -> DataFrame:
-    found = strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(lambda b: _index(b, least)), FOUND)
+    found = dealt(strings, "anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(lambda b: _index(b, least)), FOUND)
     return materialize(found, "repeated")[0]
 
 
