@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import clear, documents, materialize
+from gleaner.llm.common import clear, documents, filter_words, materialize, with_hits
 from gleaner.llm.jaccard import near_copy_components
 from gleaner.llm.packing import pack_documents
 from gleaner.llm.pii import redact
@@ -26,12 +26,16 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     found = near_copy_components(docs)
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component_id"))
+    ids, _ = materialize(ids, "groups")
+    # Most documents are alone or first of their group: a filter of the other ids shows them, so their texts stay where they are.
+    others = ids.where("doc_id <> component_id or rows > 1").select(F.xxhash64("doc_id").alias("name"))
+    marked = with_hits(docs, F.xxhash64("doc_id"), filter_words(others)).withColumn("_hit", F.col("_hit") | F.col("doc_id").isNull())
+    plain, rest = marked.where(~F.col("_hit")).drop("_hit"), marked.where("_hit").drop("_hit")
     kept = ids.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id"), "rows")
-    kept, _ = materialize(kept, "kept")
-    on = docs["doc_id"].eqNullSafe(F.col("_id"))
-    once = docs.join(kept.where("rows = 1"), on, "left_semi")
-    several = docs.join(kept.where("rows > 1"), on, "left_semi")
-    return once.unionByName(several.dropDuplicates(["doc_id", "text"]))
+    on = rest["doc_id"].eqNullSafe(F.col("_id"))
+    once = rest.join(kept.where("rows = 1"), on, "left_semi")
+    several = rest.join(kept.where("rows > 1"), on, "left_semi")
+    return plain.unionByName(once).unionByName(several.dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
