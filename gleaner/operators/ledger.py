@@ -41,3 +41,35 @@ def carry_forward(df: DataFrame, group: str, order: str, value: str) -> DataFram
     """``df`` with ``carried``: the last value that is neither null nor empty, up to each row."""
     upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("carried", F.last(F.when(F.col(value) != "", F.col(value)), ignorenulls=True).over(upto))
+
+
+def later_wins(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """The union of two registries; of rows with one key those of the second stay."""
+    return first.join(second, key, "left_anti").unionByName(second, allowMissingColumns=True)
+
+
+def missing(requested: DataFrame, discovered: DataFrame, key: str) -> DataFrame:
+    """Requested keys that were not discovered."""
+    return requested.select(key).distinct().join(discovered, key, "left_anti")
+
+
+def require_none(rows: DataFrame, what: str) -> None:
+    """Raise if there are rows, naming a few of them."""
+    some = rows.limit(5).collect()
+    if some:
+        raise ValueError(f"{what}: {', '.join(str(r[0]) for r in some)}")
+
+
+def samples(df: DataFrame, group: str, order: str, value: str, n: int = 3) -> DataFrame:
+    """For each group its count and its first ``n`` values in input order, without gathering the group."""
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    few = df.withColumn("_nth", nth).where(F.col("_nth") <= n).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_nth", F.col(value).alias("v")))).alias("s"))
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.join(few, group).select(group, "n_rows", F.transform("s", lambda x: x["v"]).alias("samples"))
+
+
+def summary(df: DataFrame, group: str, kind: str, place: str) -> DataFrame:
+    """For each group its rows, its kinds with their counts as a map, and its distinct places."""
+    kinds = df.groupBy(group, kind).agg(F.count(F.lit(1)).alias("n"))
+    counts = kinds.groupBy(group).agg(F.sum("n").alias("n_rows"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "n")))).alias("kinds"))  # an entry a kind
+    return counts.join(df.groupBy(group).agg(F.count_distinct(place).alias("places")), group)

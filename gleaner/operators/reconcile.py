@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Snapshots without an item after which it closes.
 CLOSE_AFTER = 2
@@ -31,3 +31,31 @@ def changed(after: DataFrame) -> DataFrame:
 def outbox(events: DataFrame, sent: DataFrame, key: str = "event_id") -> DataFrame:
     """Events that were not sent; equal ones once, so that a replay adds nothing."""
     return events.dropDuplicates([key]).join(sent.select(key), key, "left_anti")
+
+
+def first_seen(now: DataFrame, prior: DataFrame, key: str, at: str) -> DataFrame:
+    """``now`` with first_observed_at, which never changes once known, and its precision.
+
+    A key that the prior rows have without a time keeps none, with the precision unknown.
+    """
+    before = prior.select(F.col(key).alias("_key"), F.col("first_observed_at").alias("_first"), F.lit(True).alias("_known"))
+    joined = now.join(before, F.col(key) == F.col("_key"), "left")
+    known = F.col("_known").isNotNull()
+    first = F.when(known, F.col("_first")).otherwise(F.col(at))
+    precision = F.when(known & F.col("_first").isNull(), "unknown").otherwise("exact")
+    return joined.withColumns({"first_observed_at": first, "precision": precision}).drop("_key", "_first", "_known")
+
+
+def alerts(created: DataFrame, source: str, trusted: DataFrame, wanted) -> DataFrame:
+    """New rows with ``recency`` and ``alert``: rows of a source without a trusted snapshot before are its
+    quiet baseline and never alert; others alert if they are wanted."""
+    known = trusted.select(F.col(source).alias("_source")).distinct()
+    joined = created.join(known, F.col(source) == F.col("_source"), "left")
+    baseline = F.col("_source").isNull()
+    return joined.withColumns({"recency": F.when(baseline, "baseline").otherwise("normal"), "alert": ~baseline & wanted}).drop("_source")
+
+
+def unchanged(snapshots: DataFrame, source: str, order: str, content: str) -> DataFrame:
+    """``snapshots`` with whether the content hash is that of the source's snapshot before."""
+    before = F.lag(content).over(Window.partitionBy(source).orderBy(order))
+    return snapshots.withColumn("unchanged", F.col(content).eqNullSafe(before) & before.isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans import activity, catalog
+from gleaner.plans import activity, catalog, operations
 
-QUERIES: dict = catalog.QUERIES | activity.QUERIES
-SQL: dict[str, str] = catalog.SQL | activity.SQL
+QUERIES: dict = catalog.QUERIES | activity.QUERIES | operations.QUERIES
+SQL: dict[str, str] = catalog.SQL | activity.SQL | operations.SQL
