@@ -18,8 +18,9 @@ def event_id(source: Column, external: Column, job: Column, kind: str = "new-job
 
 
 def fnv_bucket(text: Column, buckets: int) -> Column:
-    """32-bit FNV-1a of the characters' codes, modulo ``buckets``."""
-    h = F.aggregate(F.split(text, ""), F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """32-bit FNV-1a of the text's UTF-16 units, modulo ``buckets``."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("...."), F.lit(0))
+    h = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(F.conv(c, 16, 10).cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
     return h % buckets
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from gleaner.operators.lineage import cut
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -38,3 +40,35 @@ def repair_titles(df: DataFrame, owner: str, title: str, least: int = 3) -> Data
     best = needs.join(whole, ["_owner", "_head"]).where(F.startswith("_whole", "_stem")).groupBy("_owner", "_cut").agg(F.min(F.struct(F.length("_whole").alias("n"), F.col("_whole").alias("t")))["t"].alias("_best"))
     out = df.join(best, (F.col(owner) == F.col("_owner")) & (F.col(title) == F.col("_cut")), "left")
     return out.withColumn("repaired", F.when(cut, F.coalesce("_best", stem)).otherwise(F.col(title))).drop("_owner", "_cut", "_best")
+
+
+def same_items(df: DataFrame, key: str, links: list[str], most_rounds: int = 100) -> DataFrame:
+    """(key, root): rows that agree on one of ``links``, directly or through others, have one root, the
+    smallest key among them. A null link links nothing.
+
+    Each round takes the least root of every link's rows, by partial minima before the shuffle, and the
+    roots' own roots; it is written, so lineage stays short. Rounds end when no root falls.
+    """
+    now = df.select(key, *links).withColumn("root", F.col(key))
+    for _ in range(most_rounds):
+        after = now
+        for link in links:
+            least = after.where(F.col(link).isNotNull()).groupBy(F.col(link).alias("_link")).agg(F.min("root").alias("_least"))
+            after = after.join(least, F.col(link) == F.col("_link"), "left").withColumn("root", F.least("root", "_least")).drop("_link", "_least")
+        jump = after.select(F.col(key).alias("_key"), F.col("root").alias("_jump"))
+        after = after.withColumn("before", F.col("root")).join(jump, F.col("root") == F.col("_key"), "left").withColumn("root", F.least("root", "_jump")).drop("_key", "_jump", "before")
+        after = cut(after)
+        fallen = after.select(key, "root").exceptAll(now.select(key, "root")).limit(1).count()
+        now = after
+        if not fallen:
+            return now.select(key, "root")
+    raise RuntimeError(f"roots did not settle in {most_rounds} rounds")
+
+
+def merge(df: DataFrame, root: str, key: str, title: str, source: str, first: str, last: str, is_open: Column) -> DataFrame:
+    """One row for each root: the title of its smallest key, first and last sighting, its distinct sources
+    in order, whether any of it is open, and how many rows it has. All are partial aggregates."""
+    return df.groupBy(root).agg(
+        F.min_by(title, F.when(F.col(title).isNotNull(), F.col(key))).alias("title"), F.min(first).alias("first_seen"), F.max(last).alias("last_seen"),
+        F.array_sort(F.collect_set(source)).alias("sources"), F.bool_or(is_open).alias("is_open"), F.count(F.lit(1)).alias("n_rows"),
+    )

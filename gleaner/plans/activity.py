@@ -140,23 +140,25 @@ def rank_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLLOW = "follows as (select c_custkey, c_nationkey, unnest(case when c_mktsegment = 'BUILDING' then ['1-URGENT', '2-HIGH'] when c_acctbal > 5000 then ['3-MEDIUM'] else [] end) o_orderpriority from customer), jobs as (select o_orderkey, o_orderpriority, o_totalprice, c_nationkey from orders join customer on o_custkey = c_custkey where o_orderstatus = 'O'), pairs as (select j.*, f.c_custkey follower from jobs j join follows f using (c_nationkey, o_orderpriority) where o_totalprice > 100000)"
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _jobs_and_follows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     customer = table(spark, sf_dir, "customer")
     wanted = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))).when(F.col("c_acctbal") > 5000, F.array(F.lit("3-MEDIUM")))
     follows = customer.select(F.col("c_custkey").alias("follower"), "c_nationkey", F.explode(wanted).alias("o_orderpriority"))
-    jobs = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderpriority", "o_totalprice", "c_nationkey")
-    return filters.fan_out(jobs, follows, ["c_nationkey", "o_orderpriority"], F.col("o_totalprice") > 100000)
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'O' and o_totalprice > 100000")
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderpriority", "c_nationkey"), follows
 
 
 @query(f"with {_FOLLOW} select follower, count(*)::bigint matches from pairs group by 1")
 def fanout_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).groupBy("follower").agg(F.count(F.lit(1)).alias("matches"))
+    jobs, follows = _jobs_and_follows(spark, sf_dir)
+    return filters.match_counts(jobs, follows, ["c_nationkey", "o_orderpriority"], "follower")
 
 
 @query(f"with {_FOLLOW} select follower, count(*)::bigint matches from pairs p where not exists (select 1 from lineitem l where l.l_orderkey = p.o_orderkey and l_returnflag = 'R') group by 1")
 def fanout_anti_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     receipts = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return reads.not_among(_pairs(spark, sf_dir), receipts, ["o_orderkey"]).groupBy("follower").agg(F.count(F.lit(1)).alias("matches"))
+    jobs, follows = _jobs_and_follows(spark, sf_dir)
+    return filters.match_counts(reads.not_among(jobs, receipts, ["o_orderkey"]), follows, ["c_nationkey", "o_orderpriority"], "follower")
 
 
 @query("select o_orderkey, sha256(concat_ws('|', o_custkey::varchar, o_orderkey::varchar, o_orderpriority, 'new-job')) as event_id from orders o where o_orderstatus = 'O' and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linestatus = 'F')")

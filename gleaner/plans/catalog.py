@@ -171,9 +171,9 @@ def host_concentration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.concentration(table(spark, sf_dir, "pages").select(u.registrable_domain(name, SUFFIXES).alias("source"), name.alias("host")), "source", "host", 0.05)
 
 
-@query("select doc_id, quality, toxic, l.doc_id is not null as labelled from documents d left join (select doc_id, any_value(quality) quality, any_value(toxic) toxic from labels group by 1) l using (doc_id)".replace("l.doc_id is not null", "(quality is not null or toxic is not null)"))
+@query("select doc_id, quality, toxic, l.doc_id is not null as labelled from documents d left join (select doc_id, max(quality) quality, max(toxic) toxic from labels group by 1) l using (doc_id)".replace("l.doc_id is not null", "(quality is not null or toxic is not null)"))
 def label_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.any_value("quality").alias("quality"), F.any_value("toxic").alias("toxic"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     return table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left").withColumn("labelled", F.col("quality").isNotNull() | F.col("toxic").isNotNull())
 
 
@@ -208,6 +208,6 @@ def season_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("past", season.is_past_season(F.col("season"), NOW))
 
 
-@query()
+@query("select distinct source, (list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split(coalesce(source, ''), ''), lambda c: unicode(c)::hugeint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 6)::bigint as bucket from documents")
 def shadow_bucket_fnv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("source").distinct().select("source", hashing.fnv_bucket(F.coalesce(F.col("source"), F.lit("")), 6).alias("bucket"))

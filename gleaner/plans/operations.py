@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.functions import times
-from gleaner.operators import delivery, gates, health, ledger, reads, reconcile
+from gleaner.operators import delivery, gates, health, identity, ledger, reads, reconcile
 from gleaner.plans.tables import table
 
 QUERIES: dict = {}
@@ -246,3 +246,26 @@ def operations_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoints = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("checkpoint"))
     joined = table(spark, sf_dir, "customer").select("c_custkey").join(states, "c_custkey", "left").join(checkpoints, "c_custkey", "left")
     return joined.select("c_custkey", F.coalesce("state", F.lit("never-ran")).alias("state"), F.coalesce("failures", F.lit(0)).cast("long").alias("failures"), F.coalesce("checkpoint", F.lit(0)).cast("long").alias("checkpoint"))
+
+
+_SAME = """with recursive keyed as (select c_custkey, c_name, c_nationkey, c_acctbal, floor(c_acctbal)::bigint a, c_nationkey || '|' || c_mktsegment || '|' || c_custkey % 40 b from customer),
+ links as (select x.c_custkey x, y.c_custkey y from keyed x join keyed y on x.a = y.a union select x.c_custkey, y.c_custkey from keyed x join keyed y on x.b = y.b),
+ reach(x, y) as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x),
+ roots as (select x c_custkey, min(y) root from reach group by 1)"""
+
+
+def _same(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "customer").withColumns({"a": F.floor("c_acctbal"), "b": F.concat_ws("|", "c_nationkey", "c_mktsegment", F.col("c_custkey") % 40)})
+    return rows, identity.same_items(rows, "c_custkey", ["a", "b"])
+
+
+@query(f"{_SAME} select * from roots")
+def same_role_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _same(spark, sf_dir)[1]
+
+
+@query(f"{_SAME} select root, arg_min(c_name, c_custkey) title, min(c_acctbal) first_seen, max(c_acctbal) last_seen, array_to_string(list_sort(list_distinct(list(c_nationkey))), ',') sources, bool_or(c_acctbal > 5000) is_open, count(*)::bigint n_rows from keyed join roots using (c_custkey) group by 1")
+def merge_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, roots = _same(spark, sf_dir)
+    out = identity.merge(rows.join(roots, "c_custkey"), "root", "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_acctbal", F.col("c_acctbal") > 5000)
+    return out.withColumn("sources", F.concat_ws(",", F.transform("sources", lambda x: x.cast("string"))))

@@ -37,8 +37,9 @@ def ashby_postings(boards: DataFrame, source: str) -> DataFrame:
     return j.select(F.lit(source).alias("source_id"), F.col("j.id").alias("external_id"), F.col("j.title").alias("title"), F.coalesce("j.descriptionHtml", "j.descriptionPlain").alias("content"), F.col("j.location").alias("location"), F.col("j.applyUrl").alias("apply_url"), F.lit("open").alias("state"), F.lit("title").alias("authority"))
 
 
-_ROLES = {"company": r"company|employer", "title": r"role|title|position", "location": r"location", "apply_url": r"apply|application|link", "status": r"status"}
-_CLOSED = re.compile(r"closed|inactive|filled|expired|\U0001F512", re.IGNORECASE)
+_ROLES = {"company": r"company|employer", "title": r"role|title|position|^posting$", "location": r"location", "apply_url": r"apply|application|\blinks?\b", "status": r"status"}
+_CLOSED = re.compile(r"\b(?:closed|inactive|filled|expired)\b|🔒", re.IGNORECASE)
+_LINK = re.compile(r"https?://[^\s)\"'<>]+")
 
 
 def _cells(line: str) -> list[str]:
@@ -62,16 +63,17 @@ def _table_rows(text: str | None) -> list[dict]:
         cells = _cells(line)
         if i + 1 < len(lines) and re.fullmatch(r"[\s|:-]*-[\s|:-]*", lines[i + 1]):
             names = {k: next((n for n, c in enumerate(cells) if re.search(p, c, re.IGNORECASE)), None) for k, p in _ROLES.items()}
-            where = (len(cells), names) if None not in (names["company"], names["title"], names["apply_url"]) else None
+            names["apply_url"] = names["title"] if names["apply_url"] is None else names["apply_url"]  # the title may bear the link
+            where = (len(cells), names) if None not in (names["company"], names["title"]) else None
             continue
         if where is None or len(cells) != where[0] or re.fullmatch(r"[\s|:-]*-[\s|:-]*", line):
             continue
         at = where[1]
         named = _plain(cells[at["company"]])
         company = named if named and named != "↳" else company
-        link = re.search(r"https?://[^\s)\"'<>]+", cells[at["apply_url"]])
+        link = _LINK.search(cells[at["apply_url"]]) or _LINK.search(cells[at["title"]])
         get = lambda k: cells[at[k]] if at[k] is not None else ""
-        out.append({"row": i + 1, "company": company, "title": _plain(get("title")), "location": _plain(get("location")), "apply_url": link[0] if link else None, "closed": bool(_CLOSED.search(get("status") + get("apply_url")))})
+        out.append({"row": i + 1, "company": company, "title": _plain(get("title")), "location": _plain(get("location")), "apply_url": link[0] if link else None, "closed": bool(_CLOSED.search(_plain(line)))})
     return out
 
 
