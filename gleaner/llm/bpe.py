@@ -171,7 +171,7 @@ class PairIndexBpe:
 @lru_cache(maxsize=2)
 def worker_encoder(path: str) -> tuple[PairIndexBpe, ChunkEncoder]:
     bpe = PairIndexBpe(path)
-    return bpe, ChunkEncoder(bpe.encode_chunks, spaced=True, held=0)
+    return bpe, ChunkEncoder(bpe.encode_chunks, spaced=True, held=0, cached=600_000)
 
 
 #: Characters of text whose new pieces are merged together.

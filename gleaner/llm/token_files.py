@@ -32,7 +32,7 @@ from gleaner.llm.tokens import library_encoder
 
 MAGIC = b"GLTOKEN2"
 MANIFEST = StructType([StructField("part", LongType()), StructField("path", StringType()), StructField("n_docs", LongType()), StructField("n_ids", LongType())])
-#: The ids that a reader takes from a file at a time.
+#: The ids that are written or read at a time.
 READ_IDS = 1 << 20
 
 
@@ -43,8 +43,14 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, folder: str,
     if not 0 <= end_id <= most:
         raise ValueError(f"id {end_id} takes more than {id_bytes} bytes")
 
+    def write(out, parts: list[np.ndarray]) -> None:
+        ids = np.concatenate([*parts, np.zeros(0, np.uint32)])
+        if len(ids) and int(ids.max()) > most:
+            raise ValueError(f"an id takes more than {id_bytes} bytes")
+        out.write(ids.astype(kind).tobytes())
+
     def run(batches):
-        encoder = library_encoder(vocabulary, spaced)
+        encoder, end = library_encoder(vocabulary, spaced), np.array([end_id], np.uint32)
         keys, sizes, nulls, out = [], [], 0, None
         path = f"{folder}/{uuid.uuid4().hex}"
         try:
@@ -54,11 +60,15 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, folder: str,
                 out = out or open_output(f"{path}.ids")
                 nulls += batch.column(0).null_count
                 keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+                ready, held = [], 0
                 for x in encoder.encode(batch.column(1).to_pylist()):
-                    if len(x) and int(x.max()) > most:
-                        raise ValueError(f"an id takes more than {id_bytes} bytes")
-                    out.write(np.append(x, end_id).astype(kind).tobytes())
+                    ready += [x, end]
+                    held += len(x) + 1
                     sizes.append(len(x) + 1)
+                    if held >= READ_IDS:
+                        write(out, ready)
+                        ready, held = [], 0
+                write(out, ready)
         finally:
             if out is not None:
                 out.close()

@@ -26,7 +26,7 @@ from gleaner.llm.common import ranges
 _ODD = re.compile(r"[^\S \n]|[ \n][ \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Distinct chunks that a worker keeps; beyond that it starts anew.
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 1_000_000
 #: Distinct chunks that a worker keeps from one task to the next.
 HELD_CHUNKS = 500_000
 #: Chunks of text whose ids are put together at a time.
@@ -36,8 +36,8 @@ GATHERED = 1 << 19
 class ChunkEncoder:
     """Ids of texts by a function that gives the sizes and the joined ids of a list of chunks."""
 
-    def __init__(self, encode_chunks, spaced: bool, held: int = HELD_CHUNKS):
-        self.encode_chunks, self.spaced, self.held = encode_chunks, spaced, held
+    def __init__(self, encode_chunks, spaced: bool, held: int = HELD_CHUNKS, cached: int = CACHED_CHUNKS):
+        self.encode_chunks, self.spaced, self.held, self.cached = encode_chunks, spaced, held, cached
         self._reset()
 
     def _reset(self) -> None:
@@ -120,7 +120,7 @@ class ChunkEncoder:
             yield from self._group(group)
 
     def _group(self, texts: list[str]):
-        if len(self.index) > CACHED_CHUNKS:
+        if len(self.index) > self.cached:
             self._reset()
         odd = {i: ["\r" + x for x in _CUT.split(t)] for i, t in enumerate(texts) if _ODD.search(t)} if self.spaced else {}
         plain = ["" if i in odd else self._marked(t) for i, t in enumerate(texts)]
