@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from gleaner.llm.common import distinct, documents, ranges, text_or_empty, trimmed
+from gleaner.llm.common import TEXT_ROWS, distinct, documents, ranges, text_or_empty, trimmed
 from gleaner.llm.tokens import ChunkEncoder
 
 #: The pattern that splits text before the merges.
@@ -171,7 +171,7 @@ class PairIndexBpe:
 @lru_cache(maxsize=2)
 def worker_encoder(path: str) -> tuple[PairIndexBpe, ChunkEncoder]:
     bpe = PairIndexBpe(path)
-    return bpe, ChunkEncoder(bpe.encode_chunks, spaced=True, held=0, cached=600_000)
+    return bpe, ChunkEncoder(bpe.encode_chunks, spaced=True, held=0, cached=400_000)
 
 
 #: Characters of text whose new pieces are merged together.
@@ -237,7 +237,7 @@ def bpe_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=schema.names)
         encoder.shrink()
 
-    return df.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(trimmed(run), schema)
+    return df.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(trimmed(run, TEXT_ROWS), schema)
 
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,12 +103,24 @@ def trim() -> None:
         lib.malloc_trim(0)
 
 
-def trimmed(run):
-    """A function of batches whose worker gives memory back after every batch and at its end."""
+#: Rows of texts that a worker turns into strings at a time.
+TEXT_ROWS = 2000
+
+
+def trimmed(run, rows: int | None = None):
+    """A function of batches whose worker gives memory back after every batch and at its end.
+
+    With ``rows`` it gets batches of at most so many.
+    """
+
+    def parts(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield batch.slice(i, rows)
 
     def wrapped(batches):
         try:
-            for out in run(batches):
+            for out in run(parts(batches) if rows else batches):
                 yield out
                 del out
                 trim()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from gleaner.llm.bpe import GROUP_CHARS, worker_encoder
-from gleaner.llm.common import documents, materialize, text_or_empty, trimmed
+from gleaner.llm.common import TEXT_ROWS, documents, materialize, text_or_empty, trimmed
 
 #: Rounds of multiplicative weights; the fractional solution is the mean of their configurations.
 ROUNDS = 160
@@ -138,7 +138,7 @@ def cut_pieces(df: DataFrame, vocabulary: str, end_id: int, size: int, key: str
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         encoder.shrink()
 
-    return df.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(trimmed(run), schema)
+    return df.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(trimmed(run, TEXT_ROWS), schema)
 
 
 def pack(pieces: DataFrame, size: int) -> DataFrame:

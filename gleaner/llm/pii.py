@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gleaner.llm.common import documents, ranges, text_or_empty, trimmed
+from gleaner.llm.common import TEXT_ROWS, documents, ranges, text_or_empty, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -529,7 +529,7 @@ def redact(df: DataFrame, model: Crf | None = None, text: str = "text") -> DataF
             cols[at] = pa.array([t and redacted(t, spans) for t, (_, spans) in zip(texts, found)], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.mapInArrow(trimmed(run), df.schema)
+    return df.mapInArrow(trimmed(run, TEXT_ROWS), df.schema)
 
 
 def pii_spans(df: DataFrame, model: Crf | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -545,7 +545,7 @@ def pii_spans(df: DataFrame, model: Crf | None = None, key: str = "doc_id", text
             digests = [hashlib.sha256(joined((k, a, b) for k in KINDS for a, b in base[k]).encode()).hexdigest() for base, _ in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array([joined(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64())], names=schema.names)
 
-    return df.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(trimmed(run), schema)
+    return df.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(trimmed(run, TEXT_ROWS), schema)
 
 
 def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

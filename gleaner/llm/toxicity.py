@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from gleaner.llm.common import documents, ranges, trim, trimmed
+from gleaner.llm.common import TEXT_ROWS, documents, ranges, trim, trimmed
 
 #: Texts of either label that are learned from, and the longest of them in characters.
 SAMPLE, LONGEST = 2500, 20_000
@@ -381,7 +381,7 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame
             scores = shared.value.scores(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=schema.names)
 
-    return kept.mapInArrow(trimmed(run), schema)
+    return kept.mapInArrow(trimmed(run, TEXT_ROWS), schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
