@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import clear, documents, filter_words, materialize, with_hits
+from gleaner.llm.common import TEXT_ROWS, clear, documents, filter_words, materialize, with_hits
 from gleaner.llm.jaccard import near_copy_components
 from gleaner.llm.packing import pack_documents
 from gleaner.llm.pii import redact
@@ -54,10 +54,13 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document, with its sequence of at most 2048 ids and its place there."""
+    """A row for each piece of a document, with its sequence of at most 2048 ids and its place there.
+
+    Executors have run four stages by now, so workers hold half the text at a time that they hold in packing alone.
+    """
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, chunks=200_000, group_chars=2_000_000, rows=TEXT_ROWS)
 
 
 STAGES = [

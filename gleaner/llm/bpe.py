@@ -168,14 +168,16 @@ class PairIndexBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def worker_encoder(path: str) -> tuple[PairIndexBpe, ChunkEncoder]:
-    bpe = PairIndexBpe(path)
-    return bpe, ChunkEncoder(bpe.encode_chunks, spaced=True, held=0, cached=600_000)
-
-
 #: Characters of text whose new pieces are merged together.
 GROUP_CHARS = 4_000_000
+#: Distinct chunks of text whose ids a task keeps.
+CHUNKS = 600_000
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(path: str, chunks: int = CHUNKS) -> tuple[PairIndexBpe, ChunkEncoder]:
+    bpe = PairIndexBpe(path)
+    return bpe, ChunkEncoder(bpe.encode_chunks, spaced=True, held=0, cached=chunks)
 
 
 def _with(df: DataFrame, text: str, names: list[str]) -> tuple[DataFrame, StructType]:

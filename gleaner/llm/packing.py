@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from gleaner.llm.bpe import GROUP_CHARS, worker_encoder
+from gleaner.llm.bpe import CHUNKS, GROUP_CHARS, worker_encoder
 from gleaner.llm.common import documents, materialize, text_or_empty, trimmed
 
 #: Rounds of multiplicative weights; the fractional solution is the mean of their configurations.
@@ -114,31 +114,35 @@ def best_fit(histogram: dict[int, int], size: int) -> list[tuple[int, dict[int,
     return [(times, items) for entries in open_.values() for times, items in entries]
 
 
-def cut_pieces(df: DataFrame, vocabulary: str, end_id: int, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_pieces(df: DataFrame, vocabulary: str, end_id: int, size: int, key: str = "doc_id", text: str = "text", chunks: int = CHUNKS, group_chars: int = GROUP_CHARS, rows: int | None = None) -> DataFrame:
     """A row for each piece: key, piece, start, length, CRC-32 of its ids, and its rank among the
-    pieces of its length that its task made (task, task_rank)."""
+    pieces of its length that its task made (task, task_rank).
+
+    ``chunks``, ``group_chars`` and ``rows`` (of a batch) bound what a worker holds, at some cost in
+    time; the result does not depend on them.
+    """
     schema = StructType([StructField(key, df.schema[key].dataType), StructField("piece", IntegerType()), *(StructField(x, LongType()) for x in ("start", "length", "ids_crc32", "task", "task_rank"))])
 
     def run(batches):
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        _, encoder = worker_encoder(vocabulary)
+        _, encoder = worker_encoder(vocabulary, chunks)
         for batch in batches:
-            rows, rest = [], []
-            for row, ids in enumerate(encoder.encode(batch.column(1).to_pylist(), GROUP_CHARS)):
+            owners, rest = [], []
+            for row, ids in enumerate(encoder.encode(batch.column(1).to_pylist(), group_chars)):
                 data = np.append(ids, np.uint32(end_id)).astype("<u4")
                 first = (len(data) - 1) % size + 1
                 for piece, start in enumerate([0, *range(first, len(data), size)]):
                     length = first if piece == 0 else size
-                    rows.append(row)
+                    owners.append(row)
                     rest.append((piece, start, length, zlib.crc32(data[start : start + length]), task, int(seen[length])))
                     seen[length] += 1
-            columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, k) for x, k in zip(list(zip(*rest)) or [()] * 6, [pa.int32()] + [pa.int64()] * 5))]
+            columns = [batch.column(0).take(pa.array(owners, pa.int64())), *(pa.array(x, k) for x, k in zip(list(zip(*rest)) or [()] * 6, [pa.int32()] + [pa.int64()] * 5))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         encoder.shrink()
 
-    return df.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(trimmed(run), schema)
+    return df.select(F.col(key), text_or_empty(text).alias("text")).mapInArrow(trimmed(run, rows), schema)
 
 
 def pack(pieces: DataFrame, size: int) -> DataFrame:
@@ -167,9 +171,12 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     return placed.withColumn("sequence_id", F.col("first_sequence") + F.expr("(rank - first_rank) div copies")).withColumn("offset", F.col("first_offset") + (nth % F.col("copies")) * F.col("length")).drop("block", "first_rank", "copies", "times", "first_sequence", "first_offset", "base", "rank", "task", "task_rank")
 
 
-def pack_documents(df: DataFrame, vocabulary: str, end_id: int, size: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pack all whole texts into sequences of at most ``size`` ids: a row for each piece."""
-    pieces, _ = materialize(cut_pieces(df, vocabulary, end_id, size, key, text), "pieces")
+def pack_documents(df: DataFrame, vocabulary: str, end_id: int, size: int = 2048, key: str = "doc_id", text: str = "text", **bounds) -> DataFrame:
+    """Pack all whole texts into sequences of at most ``size`` ids: a row for each piece.
+
+    ``bounds`` are those of :func:`cut_pieces`.
+    """
+    pieces, _ = materialize(cut_pieces(df, vocabulary, end_id, size, key, text, **bounds), "pieces")
     packed = pack(pieces, size)
     return packed.select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
