@@ -36,13 +36,47 @@ def test_boards(spark, tmp_path):
     assert (row["location"], row["authority"]) == ("A / B", "posting")
 
 
+SNAPSHOT = "source_id string, number long, external_id string"
+
+
+def put(spark, feed, *rows):
+    spark.createDataFrame([("src", n, i) for n, i in rows], SNAPSHOT).coalesce(1).write.mode("append").json(str(feed))
+
+
+def run(spark, feed, state, checkpoint):
+    presence.follow(spark.readStream.schema(SNAPSHOT).json(str(feed)), str(state), str(checkpoint)).awaitTermination()
+    return {r["external_id"]: (r["present"], r["omissions"], r["open"]) for r in presence.occurrences(spark, str(state)).collect()}
+
+
 def test_snapshots_as_a_stream(spark, tmp_path):
-    schema, feed = "source_id string, external_id string", tmp_path / "in"
-    for n, ids in enumerate((["r", "s"], ["s"], ["s"])):
-        spark.createDataFrame([("src", i) for i in ids], schema).coalesce(1).write.mode("append").json(str(feed))
-        presence.follow(spark.readStream.schema(schema).json(str(feed)), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
-    got = {r["external_id"]: (r["present"], r["omissions"], r["open"]) for r in presence.occurrences(spark, str(tmp_path / "state")).collect()}
-    assert got == {"r": (False, 2, False), "s": (True, 0, True)}
+    feed, seen = tmp_path / "in", []
+    for n, ids in enumerate((["r", "s"], ["s"], ["s"], ["s"], ["r"])):
+        put(spark, feed, *((n, i) for i in ids))
+        seen.append(run(spark, feed, tmp_path / "state", tmp_path / "cp"))
+    assert [x["r"] for x in seen] == [(True, 0, True), (False, 1, True), (False, 2, False), (False, 2, False), (True, 0, True)]
+    assert seen[3]["s"] == (True, 0, True) and seen[4]["s"] == (False, 1, True)
+
+
+def test_snapshots_of_one_batch_fold_in_order(spark, tmp_path):
+    feed = tmp_path / "in"
+    put(spark, feed, (1, "a"), (2, None), (3, None), (2, "b"), (1, "c"), (3, "c"))
+    got = run(spark, feed, tmp_path / "state", tmp_path / "cp")
+    assert got == {"a": (False, 2, False), "b": (False, 1, True), "c": (True, 0, True)}
+    # An unchanged confirmation of an empty snapshot counts as one more omission.
+    put(spark, feed, (4, None))
+    assert run(spark, feed, tmp_path / "state", tmp_path / "cp")["b"] == (False, 2, False)
+
+
+def test_a_fresh_checkpoint_changes_nothing(spark, tmp_path):
+    feed = tmp_path / "in"
+    put(spark, feed, (1, "a"), (1, "b"))
+    put(spark, feed, (2, "b"))
+    before = run(spark, feed, tmp_path / "state", tmp_path / "cp")
+    assert before == {"a": (False, 1, True), "b": (True, 0, True)}
+    assert run(spark, feed, tmp_path / "state", tmp_path / "other") == before
+    put(spark, feed, (3, "b"))
+    assert run(spark, feed, tmp_path / "state", tmp_path / "third") == {"a": (False, 2, False), "b": (True, 0, True)}
+    assert len(presence._versions(spark, str(tmp_path / "state"))) <= 2
 
 
 def test_outbox_sends_once(spark, tmp_path):
@@ -50,6 +84,7 @@ def test_outbox_sends_once(spark, tmp_path):
     for ids in (["a", "b", "a"], ["b", "c"]):
         spark.createDataFrame([(i,) for i in ids], schema).coalesce(1).write.mode("append").json(str(feed))
         presence.send_events(spark.readStream.schema(schema).json(str(feed)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    presence.send_events(spark.readStream.schema(schema).json(str(feed)), str(tmp_path / "out"), str(tmp_path / "other")).awaitTermination()
     assert sorted(r[0] for r in presence.sent_events(spark, str(tmp_path / "out"), schema).collect()) == ["a", "b", "c"]
 
 
