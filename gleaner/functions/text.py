@@ -97,3 +97,17 @@ def overlap(a: Column, b: Column) -> Column:
     """Shared words by the words of the smaller set; 0 where one is empty."""
     least = F.least(F.size(a), F.size(b))
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
+
+
+#: Locations that name no place.
+GENERIC_LOCATIONS = ("unknown", "unspecified", "n/a", "na", "not listed", "not specified", "tbd", "see description", "see job")
+
+
+def generic_location(location: Column) -> Column:
+    """Whether a location is missing or a placeholder."""
+    return F.lower(F.trim(F.coalesce(location, F.lit("")))).isin("", *GENERIC_LOCATIONS)
+
+
+def plain_words(text: Column) -> Column:
+    """The text in lower case with letters, digits and ``+#/`` only, words one space apart."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9+#/ ]+", " "), " +", " "))

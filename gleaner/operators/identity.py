@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleaner.operators.lineage import cut
+from gleaner.functions.hashing import fingerprint
+from gleaner.functions.text import canonical_company, canonical_location, canonical_title, generic_location, overlap, plain_words
+from gleaner.operators.lineage import drop, store
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -42,29 +44,126 @@ def repair_titles(df: DataFrame, owner: str, title: str, least: int = 3) -> Data
     return out.withColumn("repaired", F.when(cut, F.coalesce("_best", stem)).otherwise(F.col(title))).drop("_owner", "_cut", "_best")
 
 
-def same_items(df: DataFrame, key: str, links: list[str], most_rounds: int = 100) -> DataFrame:
-    """(key, root): rows that agree on one of ``links``, directly or through others, have one root, the
-    smallest key among them. A null link links nothing.
+def same_items(df: DataFrame, key: str, links: list[str], edges: DataFrame | None = None, most_rounds: int = 100) -> DataFrame:
+    """(key, root): rows that agree on one of ``links``, or that ``edges`` (two columns of keys) join, directly or
+    through others, have one root, the smallest key among them. A null link links nothing.
 
     Each round takes the least root of every link's rows, by partial minima before the shuffle, and the
-    roots' own roots; it is written, so lineage stays short. Rounds end when no root falls.
+    roots' own roots. It is written once, with what fell, and the round before goes.
     """
-    now = df.select(key, *links).withColumn("root", F.col(key))
+    spark, rows = df.sparkSession, df.select(key, *links)
+    named = [rows.where(F.col(n).isNotNull()).select(key, F.xxhash64(F.lit(n), F.col(n).cast("string")).alias("_link"), F.concat_ws("|", F.lit(n), F.col(n).cast("string")).alias("_name")) for n in links]
+    if edges is not None:
+        a, b = edges.columns
+        pair = F.concat_ws("|", F.lit("edge"), F.col(a).cast("string"), F.col(b).cast("string"))
+        named += [edges.select(F.col(c).alias(key), F.xxhash64(pair).alias("_link"), pair.alias("_name")) for c in (a, b)]
+    member = named[0]
+    for x in named[1:]:
+        member = member.unionByName(x)
+    # Links of one row join nothing.
+    shared = member.groupBy("_link", "_name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    member, member_path = store(member.join(shared, ["_link", "_name"], "left_semi").distinct(), "members")
+    now, path = store(member.select(key).distinct().withColumn("root", F.col(key)), "roots")
     for _ in range(most_rounds):
-        after = now
-        for link in links:
-            least = after.where(F.col(link).isNotNull()).groupBy(F.col(link).alias("_link")).agg(F.min("root").alias("_least"))
-            after = after.join(least, F.col(link) == F.col("_link"), "left").withColumn("root", F.least("root", "_least")).drop("_link", "_least")
-        jump = after.select(F.col(key).alias("_key"), F.col("root").alias("_jump"))
-        after = after.withColumn("before", F.col("root")).join(jump, F.col("root") == F.col("_key"), "left").withColumn("root", F.least("root", "_jump")).drop("_key", "_jump", "before")
-        after = cut(after)
-        fallen = after.select(key, "root").exceptAll(now.select(key, "root")).limit(1).count()
-        now = after
-        if not fallen:
-            return now.select(key, "root")
+        by_link = member.join(now, key).groupBy("_link", "_name").agg(F.min("root").alias("_least"))
+        least = member.join(by_link, ["_link", "_name"]).groupBy(key).agg(F.min("_least").alias("_least"))
+        jump = now.select(F.col(key).alias("_key"), F.col("root").alias("_jump"))
+        next_ = now.join(least, key).withColumn("_low", F.least("root", "_least")).join(jump, F.col("_low") == F.col("_key"), "left")
+        root = F.least("_low", F.coalesce("_jump", "_low"))
+        after, after_path = store(next_.select(key, root.alias("root"), (root < F.col("root")).alias("fell")), "roots")
+        fell = after.where("fell").limit(1).count()
+        drop(spark, path)
+        now, path = after.drop("fell"), after_path
+        if not fell:
+            drop(spark, member_path)
+            return rows.select(key).join(now, key, "left").select(key, F.coalesce("root", key).alias("root"))
     raise RuntimeError(f"roots did not settle in {most_rounds} rounds")
 
 
+def role_links(df: DataFrame, key: str, company: str, season: str, title: str, repaired: str, least: float = 0.8) -> DataFrame:
+    """(key, other): for each row with a repaired title the first earlier row (smallest key) that is the same role.
+
+    Same company and season, and titles of which one begins with the other or of whose words at least
+    the share ``least`` of the smaller set is shared. A title without a word is the same as none. Titles
+    are made distinct first; candidates share one of the rarest words that so much overlap needs, or a
+    title's first words, so frequent words of a large company make no pairs.
+    """
+    rows = df.select(F.col(key).alias("k"), plain_words(F.col(company)).alias("c"), F.coalesce(F.col(season).cast("string"), F.lit("")).alias("s"), plain_words(F.col(title)).alias("t"), F.coalesce(F.col(repaired), F.lit(False)).alias("r"))
+    titles = rows.where("t <> ''").groupBy("c", "s", "t").agg(F.min("k").alias("first"), F.max(F.when(F.col("r"), F.col("k"))).alias("asks"))
+    titles = titles.withColumn("words", F.array_distinct(F.split("t", " ")))
+    word = titles.select("c", "s", "t", F.explode("words").alias("w"))
+    rare = word.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    ordered = word.join(rare, "w").groupBy("c", "s", "t").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    titles, path = store(titles.join(ordered.select("c", "s", "t", F.transform("ws", lambda x: x["w"]).alias("rarest")), ["c", "s", "t"]), "titles")
+    size = F.size("rarest")
+    prefix = F.slice("rarest", F.lit(1), size - F.ceil(size * least).cast("int") + 1)
+    asks, base = titles.where("asks is not null"), ["c", "s"]
+    whole = lambda d, words, name: d.select(*base, F.col("t").alias(name), F.size("rarest").alias(f"{name}_n"), F.explode(words).alias("w"))
+    pairs = whole(asks, prefix, "a").join(whole(titles, F.col("rarest"), "b"), [*base, "w"]).where("a_n <= b_n").select(*base, "a", "b")
+    pairs = pairs.unionByName(whole(asks, F.col("rarest"), "a").join(whole(titles, prefix, "b"), [*base, "w"]).where("a_n > b_n").select(*base, "a", "b"))
+    # The last word of a title that another begins with may be cut: all words before it are whole, or it is the only one.
+    words = F.split("t", " ")
+    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.concat(F.lit("w "), F.array_join(F.slice(words, F.lit(1), n), " ")))
+    letters = F.transform(F.sequence(F.lit(1), F.length(F.get(words, F.lit(0)))), lambda n: F.concat(F.lit("c "), F.substring(F.get(words, F.lit(0)), F.lit(1), n)))
+    own = F.when(F.size(words) > 1, F.concat(F.lit("w "), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " "))).otherwise(F.concat(F.lit("c "), F.col("t")))
+    longer = lambda d, name: d.select(*base, F.col("t").alias(name), F.explode(F.concat(heads, letters)).alias("h"))
+    shorter = lambda d, name: d.select(*base, F.col("t").alias(name), own.alias("h"))
+    pairs = pairs.unionByName(longer(asks, "a").join(shorter(titles, "b"), [*base, "h"]).select(*base, "a", "b")).unionByName(shorter(asks, "a").join(longer(titles, "b"), [*base, "h"]).select(*base, "a", "b"))
+    wa, wb = F.array_distinct(F.split("a", " ")), F.array_distinct(F.split("b", " "))
+    same = F.startswith("a", F.col("b")) | F.startswith("b", F.col("a")) | (overlap(wa, wb) >= least)
+    found = pairs.distinct().where(same).join(titles.select(*base, F.col("t").alias("b"), "first"), [*base, "b"]).groupBy(*base, "a").agg(F.min("first").alias("other"))
+    return rows.where("r").join(found.withColumnRenamed("a", "t"), [*base, "t"]).where("other < k").select(F.col("k").alias(key), "other")
+
+
+def merge_listings(stored: DataFrame, listings: DataFrame, now: str) -> DataFrame:
+    """Jobs after their listings, field by field, whatever the number of listings.
+
+    ``stored`` has job, company, title, location, season, apply_url, url, validated_at, invalid_url,
+    hourly and requirements; ``listings`` the same without invalid_url, and order, source_id,
+    external_id, state and technical. Company and title stay once known; a placeholder of a location
+    gives way to the first real one; the season is the last listing's, pay the last that is some,
+    requirements the last that are given; an address goes to that of the last validated listing.
+    References are one for each source and external id, as last listed. A job whose address was found
+    invalid stays closed while its listings name no other. All are partial aggregates by job.
+    """
+    both = stored.withColumn("order", F.lit(-1).cast("long")).unionByName(listings, allowMissingColumns=True)
+    said = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("order"))
+    listed, real = F.col("order") >= 0, ~generic_location(F.col("location"))
+    valid = F.when(listed & F.col("validated_at").isNotNull(), F.col("order"))
+    at = lambda c, when: F.min_by(c, when)
+    last = lambda c, when: F.max_by(c, when)
+    jobs = both.groupBy("job").agg(
+        at("company", said("company")).alias("company"),
+        at("title", said("title")).alias("title"),
+        F.coalesce(at("location", F.when(real, F.col("order"))), last("location", said("location"))).alias("location"),
+        last("season", "order").alias("season"),
+        F.coalesce(last("apply_url", valid), at("apply_url", said("apply_url"))).alias("apply_url"),
+        F.coalesce(last("url", valid), at("url", said("url"))).alias("url"),
+        F.coalesce(last("validated_at", valid), F.max(F.when(~listed, F.col("validated_at")))).alias("validated_at"),
+        last("hourly", F.when((F.col("hourly") > 0) | ~listed, F.col("order"))).alias("hourly"),
+        last("requirements", F.when(F.col("requirements").isNotNull(), F.col("order"))).alias("requirements"),
+        F.max("invalid_url").alias("_invalid"),
+        F.count_if(listed).alias("n_listings"),
+        F.collect_set(F.when(listed, F.col("url"))).alias("_urls"),
+    )
+    refs = listings.groupBy("job", "source_id", "external_id").agg(F.max_by(F.struct("state", F.coalesce("technical", F.lit(True)).alias("technical")), "order").alias("x"))
+    opened = F.col("x.state") == "open"
+    refs = refs.groupBy("job").agg(F.bool_or(opened).alias("any_open"), F.bool_or(opened & F.col("x.technical")).alias("technical"), F.array_sort(F.collect_list(F.concat_ws("|", "source_id", "external_id", "x.state"))).alias("references"))
+    out = jobs.join(refs, "job", "left")
+    invalid = F.col("_invalid").isNotNull() & ~F.exists("_urls", lambda u: u != F.col("_invalid"))
+    key = fingerprint(canonical_company(F.col("company")), canonical_title(F.col("title")), canonical_location(F.col("location")), F.lower(F.coalesce("season", F.lit(""))))
+    return out.select(
+        "job", "company", "title", "location", "season", "apply_url", "url", "validated_at", "hourly", "requirements", F.when(invalid, F.col("_invalid")).alias("invalid_url"),
+        (F.coalesce("any_open", F.lit(False)) & ~invalid).alias("open"), F.coalesce("technical", F.lit(False)).alias("technical"), "references", "n_listings", key.alias("fingerprint"), F.lit(now).alias("last_seen_at"),
+    )
+
+
+def close_reference(references: Column, source: Column, external: Column) -> Column:
+    """The references ``source|external|state`` with one of them closed."""
+    name = F.concat_ws("|", source, external)
+    return F.transform(references, lambda r: F.when(F.regexp_replace(r, r"\|[^|]*$", "") == name, F.concat(name, F.lit("|closed"))).otherwise(r))
+
+
 def merge(df: DataFrame, root: str, key: str, title: str, source: str, first: str, last: str, is_open: Column) -> DataFrame:
     """One row for each root: the title of its smallest key, first and last sighting, its distinct sources
     in order, whether any of it is open, and how many rows it has. All are partial aggregates."""

@@ -1,11 +1,35 @@
-"""Cutting the lineage of iterated tables."""
+"""Cutting the lineage of iterated tables, and tables written once in the shared folder."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _folder(spark: SparkSession) -> str:
+    own = "gleaner.tables.dir"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(own, None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="gleaner-")
+        spark.conf.set(own, folder)
+    return folder.rstrip("/")
+
+
+def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once in the folder of ``spark.checkpoint.dir`` and read back, with its path."""
+    path = f"{_folder(df.sparkSession)}/gleaner/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

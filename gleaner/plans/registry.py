@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans import activity, catalog, operations
+from gleaner.plans import activity, catalog, operations, rules
 
-QUERIES: dict = catalog.QUERIES | activity.QUERIES | operations.QUERIES
-SQL: dict[str, str] = catalog.SQL | activity.SQL | operations.SQL
+QUERIES: dict = catalog.QUERIES | activity.QUERIES | operations.QUERIES | rules.QUERIES
+SQL: dict[str, str] = catalog.SQL | activity.SQL | operations.SQL | rules.SQL
