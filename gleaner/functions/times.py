@@ -15,7 +15,17 @@ def monitoring_period(at_utc: Column, zone: str = "America/New_York") -> Column:
     return F.date_format(F.from_utc_timestamp(at_utc, zone), "yyyy-MM")
 
 
-def compact_age(seconds: Column) -> Column:
-    """``now`` below a minute, then whole minutes, hours and days."""
-    whole = lambda unit, mark: F.concat(F.floor(seconds / unit).cast("string"), F.lit(mark))
-    return F.when(seconds < 60, "now").when(seconds < 3600, whole(60, "m")).when(seconds < 86400, whole(3600, "h")).otherwise(whole(86400, "d"))
+def compact_age(seconds: Column, at: Column) -> Column:
+    """``just now`` below a minute, then whole minutes, hours and days ago, from a week on the date."""
+    past = F.greatest(seconds, F.lit(0))
+    whole = lambda unit, mark: F.concat(F.floor(past / unit).cast("string"), F.lit(f"{mark} ago"))
+    return F.when(past < 60, "just now").when(past < 3600, whole(60, "m")).when(past < 86400, whole(3600, "h")).when(past < 7 * 86400, whole(86400, "d")).otherwise(posting_date(at))
+
+
+def freshness_label(seconds: Column, at: Column) -> Column:
+    """How long ago a role was confirmed: today, yesterday, days, from a week on the date."""
+    days = F.floor(F.greatest(seconds, F.lit(0)) / 86400)
+    return (
+        F.when(at.isNull() | seconds.isNull(), "Confirmation time unavailable").when(days == 0, "Confirmed today").when(days == 1, "Confirmed yesterday")
+        .when(days < 7, F.concat(F.lit("Confirmed "), days.cast("string"), F.lit(" days ago"))).otherwise(F.concat(F.lit("Confirmed "), posting_date(at)))
+    )

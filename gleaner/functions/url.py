@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Query keys that only track.
-TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content")
+#: Query keys that only track, besides all that begin with utm_.
+TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source")
 _PARTS = r"^(?i)(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 

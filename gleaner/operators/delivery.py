@@ -27,10 +27,10 @@ def settle(receipts: DataFrame, tickets: DataFrame, key: str) -> DataFrame:
     """Pending receipts with ``status`` after their tickets' results, and whether the device goes.
 
     Without a ticket a receipt stays pending; an unregistered device is an error and is deactivated;
-    other failures are tried again up to ``ATTEMPTS``.
+    other failures are tried again until ``ATTEMPTS`` were made. A receipt that counts none was tried once.
     """
     result = F.col("result")
-    status = F.when(result.isNull(), "pending").when(result == "ok", "ok").when((result == "DeviceNotRegistered") | (F.col("attempts") + 1 >= ATTEMPTS), "error").otherwise("retryable")
+    status = F.when(result.isNull(), "pending").when(result == "ok", "ok").when((result == "DeviceNotRegistered") | (F.coalesce("attempts", F.lit(1)) >= ATTEMPTS), "error").otherwise("retryable")
     joined = receipts.join(tickets.select(key, "result"), key, "left")
     return joined.withColumns({"status": status, "deactivated": F.coalesce(result == "DeviceNotRegistered", F.lit(False))}).drop("result")
 

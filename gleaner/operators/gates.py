@@ -41,9 +41,10 @@ def retryable(category: Column, status: Column) -> Column:
 
 
 def quarantined(category: Column, status: Column, failures: Column) -> Column:
-    """Broken payloads and refused or missing boards at once; quality, link and empty failures at the second."""
-    at_once = category.isin("json", "identity") | F.coalesce(status.isin(401, 403, 404), F.lit(False))
-    return at_once | (category.isin("quality", "link", "empty") & (failures >= 2))
+    """Broken payloads, and boards that refuse or are missing, at once; quality, link and empty failures at the
+    second. A failure without a category does not quarantine."""
+    at_once = category.isin("json", "identity") | ((category == "http") & status.isin(401, 403, 404))
+    return F.coalesce(at_once, F.lit(False)) | F.coalesce(category.isin("quality", "link", "empty") & (failures >= 2), F.lit(False))
 
 
 def spans(sightings: DataFrame, key: str, seconds: Column, least: int = 24 * 3600) -> DataFrame:

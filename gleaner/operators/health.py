@@ -28,10 +28,6 @@ def backoff_seconds(failures: Column, retry_after: Column | None = None, first:
     return F.when(failures > 0, F.least(F.lit(most), F.greatest(wait, asked))).otherwise(0).cast("long")
 
 
-def health_state(failures: Column, age_minutes: Column, succeeded: Column, quarantine_at: int, stale_after: float) -> Column:
-    return F.when(failures >= quarantine_at, "quarantined").when(succeeded == 0, "never-succeeded").when((failures > 0) | (age_minutes > stale_after), "degraded").otherwise("healthy")
-
-
 def epoch_seconds(at: str) -> Column:
     """Whole seconds since 1970 of a time without a zone."""
     return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast({at} as timestamp_ntz))")

@@ -51,8 +51,8 @@ def listed(df: DataFrame, status: str, technical: Column, past: Column, classes:
 
 def inbox(df: DataFrame, order: list[tuple[str, bool]], size: int = 50) -> DataFrame:
     """The first ``size`` rows with the total and whether there are more."""
-    total = df.count()
-    return page(df, order, size).withColumns({"total": F.lit(total), "has_more": F.lit(total > size)})
+    total = df.select(F.count(F.lit(1))).scalar()
+    return page(df, order, size).withColumn("total", total).withColumn("has_more", F.col("total") > size)
 
 
 def inbox_then_feed(inbox_rows: DataFrame, feed: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.functions.hashing import event_id
-from gleaner.operators import filters, health, ledger, reads, reconcile
+from gleaner.operators import filters, gates, health, ledger, reads, reconcile
 from gleaner.plans.tables import table
 
 QUERIES: dict = {}
@@ -68,10 +68,11 @@ def backoff_until(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _last(spark, sf_dir).select("user_id", "failures", health.backoff_seconds(F.col("failures")).alias("backoff"))
 
 
-@query(f"""with {_LAST} select user_id, case when failures >= 3 then 'quarantined' when succeeded = 0 then 'never-succeeded'
-  when failures > 0 or ({END} - ok_at) / 60 > 720 then 'degraded' else 'healthy' end as state from last""")
+@query(f"""with {_LAST} select user_id, case when failures >= 3 then 'quarantined' when ok_at is null then case when failures > 0 then 'degraded' else 'never-succeeded' end
+  when failures > 0 or ({END} - ok_at) / 60 > case when user_id % 2 = 0 then 90 else 420 end then 'degraded' else 'healthy' end as state from last""")
 def health_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = health.health_state(F.col("failures"), (F.lit(END) - F.col("ok_at")) / 60, F.col("succeeded"), 3, 720)
+    failures, ok_at = F.col("failures"), F.col("ok_at")
+    state = gates.state_for(failures >= 3, ok_at, F.when(failures > 0, "degraded"), (F.lit(END) - ok_at) / 60, F.col("user_id") % 2 == 0)
     return _last(spark, sf_dir).select("user_id", state.alias("state"))
 
 

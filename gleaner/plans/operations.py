@@ -34,7 +34,7 @@ def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STREAKS = f"{_FAILS}, islands as (select *, count(*) filter (not failed) over (partition by user_id order by ts, event_id) island from kinds), streaks as (select *, count(*) filter (failed) over (partition by user_id, island order by ts, event_id) streak from islands)"
-_QUARANTINE = "(category = 'identity' or coalesce(status in (401, 403, 404), false) or (category in ('quality', 'link', 'empty') and streak >= 2))"
+_QUARANTINE = "(category = 'identity' or (category = 'http' and coalesce(status in (401, 403, 404), false)) or (category in ('quality', 'link', 'empty') and streak >= 2))"
 
 
 def _streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +127,12 @@ _RESULT = "case event_type when 'signup' then 'ok' when 'purchase' then 'ok' whe
 
 
 @query(f"""with t as (select event_id, {_RESULT} result from events where event_type <> 'view')
- select o_orderkey, case when result is null then 'pending' when result = 'ok' then 'ok' when result = 'DeviceNotRegistered' or o_custkey % 3 + 1 >= 3 then 'error' else 'retryable' end status, coalesce(result = 'DeviceNotRegistered', false) deactivated from orders left join t on event_id = o_orderkey""")
+ select o_orderkey, case when result is null then 'pending' when result = 'ok' then 'ok' when result = 'DeviceNotRegistered' or coalesce(nullif(o_custkey % 5, 0), 1) >= 3 then 'error' else 'retryable' end status, coalesce(result = 'DeviceNotRegistered', false) deactivated from orders left join t on event_id = o_orderkey""")
 def receipts_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     result = F.when(kind.isin("signup", "purchase"), "ok").when(kind == "error", "DeviceNotRegistered").when(kind == "click", "RateExceeded")
     tickets = table(spark, sf_dir, "events").where("event_type <> 'view'").select(F.col("event_id").alias("o_orderkey"), result.alias("result"))
-    receipts = table(spark, sf_dir, "orders").withColumn("attempts", F.col("o_custkey") % 3)
+    receipts = table(spark, sf_dir, "orders").withColumn("attempts", F.nullif(F.col("o_custkey") % 5, F.lit(0)))
     return delivery.settle(receipts, tickets, "o_orderkey").select("o_orderkey", "status", "deactivated")
 
 
@@ -143,12 +143,12 @@ def digest_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.marked(rows, "pending", sent, "o_custkey").select("o_orderkey", "pending")
 
 
-_QUALITY = """hosts as (select c_nationkey, o_orderpriority, count(*) n, count(*) filter (o_orderstatus = 'O') o from orders join customer on o_custkey = c_custkey where o_custkey % 10 < 3 group by 1, 2),
+_QUALITY = """hosts as (select c_nationkey, o_orderpriority, count(*) n, count(*) filter (o_orderstatus = 'O') o from orders join customer on o_custkey = c_custkey group by 1, 2),
  sums as (select c_nationkey, sum(n)::bigint n_rows, sum(o)::bigint n_open, count(*)::bigint n_hosts, max(n) / sum(n) as share from hosts group by 1)"""
 
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_custkey % 10 < 3").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return gates.quality_report(rows, "c_nationkey", "o_orderpriority", F.col("o_orderstatus") == "O")
 
 
@@ -233,10 +233,16 @@ def posting_date_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", times.posting_date(F.col("o_orderdate")).alias("posted"))
 
 
-@query("select event_id, case when 1706659200 - s < 60 then 'now' when 1706659200 - s < 3600 then ((1706659200 - s) // 60) || 'm' when 1706659200 - s < 86400 then ((1706659200 - s) // 3600) || 'h' else ((1706659200 - s) // 86400) || 'd' end as age, strftime(ts - interval 5 hour, '%Y-%m') as period from (select *, floor(epoch(ts))::bigint s from events)")
+_AGES = """select event_id, case when past < 60 then 'just now' when past < 3600 then (past // 60) || 'm ago' when past < 86400 then (past // 3600) || 'h ago' when past < 604800 then (past // 86400) || 'd ago' else strftime(ts, '%b %-d, %Y') end as age,
+ case when past // 86400 = 0 then 'Confirmed today' when past // 86400 = 1 then 'Confirmed yesterday' when past < 604800 then 'Confirmed ' || (past // 86400) || ' days ago' else 'Confirmed ' || strftime(ts, '%b %-d, %Y') end as freshness,
+ strftime(ts - interval 5 hour, '%Y-%m') as period from (select *, greatest(1706659200 - floor(epoch(ts))::bigint, 0) past from events)"""
+
+
+@query(_AGES)
 def event_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events fall in January, when New York is five hours behind."""
-    return table(spark, sf_dir, "events").select("event_id", times.compact_age(1706659200 - health.epoch_seconds("ts")).alias("age"), times.monitoring_period(F.col("ts").cast("timestamp")).alias("period"))
+    past, at = 1706659200 - health.epoch_seconds("ts"), F.col("ts")
+    return table(spark, sf_dir, "events").select("event_id", times.compact_age(past, at).alias("age"), times.freshness_label(past, at).alias("freshness"), times.monitoring_period(at.cast("timestamp")).alias("period"))
 
 
 @query(f"""with {_STATES} select c_custkey, coalesce(state, 'never-ran') state, coalesce(failures, 0)::bigint failures, coalesce(orders, 0)::bigint checkpoint from customer left join states on user_id = c_custkey left join (select o_custkey, count(*) orders from orders group by 1) on o_custkey = c_custkey""")

@@ -64,9 +64,9 @@ def test_decisions_in_order(spark):
 
 
 def test_filter(spark):
-    schema = "title string, categories array<string>, employer string, filter struct<include_keywords:array<string>,include_categories:array<string>,include_employers:array<string>,exclude_keywords:array<string>,exclude_categories:array<string>,exclude_employers:array<string>>"
-    f = (["robotics"], ["ai-ml"], None, ["senior"], None, None)
-    rows = [("Machine Learning Intern", ["ai-ml"], "normal", f), ("Robotics Intern", [], "normal", f), ("Senior Machine Learning Intern", ["ai-ml"], "normal", f), ("Finance Intern", [], "normal", f), ("Any", [], "normal", (None,) * 6), ("Any", [], "normal", (None, None, ["startup"], None, None, None))]
+    schema = "title string, categories array<string>, employer string, filter struct<include_keywords:array<string>,include_categories:array<string>,include_employers:array<string>,exclude_keywords:array<string>,exclude_categories:array<string>,exclude_employers:array<string>,exclude_citizenship:boolean,exclude_degree:boolean>"
+    f = (["robotics"], ["ai-ml"], None, ["senior"], None, None, None, None)
+    rows = [("Machine Learning Intern", ["ai-ml"], "normal", f), ("Robotics Intern", [], "normal", f), ("Senior Machine Learning Intern", ["ai-ml"], "normal", f), ("Finance Intern", [], "normal", f), ("Any", [], "normal", (None,) * 8), ("Any", [], "normal", (None, None, ["startup"], None, None, None, None, None))]
     got = spark.createDataFrame(rows, schema).select(filters.matches_filter(filters.search_terms("title"), F.col("categories"), F.col("employer")).alias("m"))
     assert [r["m"] for r in got.collect()] == [True, True, False, False, True, False]
 
