@@ -140,17 +140,6 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", t.page_text(F.col("html")).alias("body"))
 
 
-@query(r"""select page_id, least(100, 25 + case when title <> '' then 25 else 0 end + case when h1 = title and title <> '' then 20 else 0 end
-  + case when regexp_matches(html, '(?i)<article\b') then 15 else 0 end + case when len(html) >= 1000 then 15 else 0 end)::int as confidence
-from (select page_id, coalesce(html, '') html, regexp_extract(coalesce(html, ''), '(?is)<title>(.*?)</title>', 1) title,
-  regexp_extract(coalesce(html, ''), '(?is)<h1>(.*?)</h1>', 1) h1 from pages)""")
-def page_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html, title = F.coalesce(F.col("html"), F.lit("")), F.col("title")
-    h1 = F.regexp_extract(html, "(?is)<h1>(.*?)</h1>", 1)
-    points = F.lit(25) + F.when(title != "", 25).otherwise(0) + F.when((h1 == title) & (title != ""), 20).otherwise(0) + F.when(html.rlike(r"(?i)<article\b"), 15).otherwise(0) + F.when(F.length(html) >= 1000, 15).otherwise(0)
-    return page_titles(spark, sf_dir).select("page_id", F.least(F.lit(100), points).alias("confidence"))
-
-
 _CUT = "with p as (select page_id, {h} host, case when contains(url, '?') then substr(title, 1, 20) || '...' else title end title from (select page_id, url, regexp_extract(coalesce(html, ''), '(?is)<title>(.*?)</title>', 1) title from pages))"
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.operators import health, identity, incidents
-from gleaner.plans.tables import table
+from gleaner.operators import classify, evidence, filters, health, identity, incidents
+from gleaner.plans.catalog import _collapsed, _decoded
+from gleaner.plans.tables import page_titles, table
+from gleaner.sources import lists
 from gleaner.streaming import presence
 
 QUERIES: dict = {}
@@ -159,3 +161,130 @@ def merged_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     address = lambda d: d.withColumn("apply_url", c("url"))
     out = identity.merge_listings(address(stored), address(listings), "now")
     return out.withColumn("references", F.coalesce(F.array_join("references", ","), F.lit(""))).select("job", "company", "title", "location", "season", "url", "validated_at", "hourly", "requirements", "invalid_url", "open", "technical", "references", "n_listings")
+
+
+_WANTED = {
+    0: {"include_keywords": ["rin", "LUE b"]},
+    1: {"include_categories": ["metal"]},
+    2: {"include_keywords": ["hot"], "include_categories": ["toy"], "exclude_keywords": ["Small"]},
+    3: {"include_keywords": ["#1"], "include_employers": ["startup"]},
+    4: {"exclude_categories": ["toy"], "exclude_employers": ["faang"]},
+    5: {"include_keywords": ["gi", " ring ", "RING"], "include_categories": ["metal"]},
+    6: {"include_keywords": ["nothing like it"]},
+}
+_KINDS = {"metal": "bolt|gear|ring", "toy": "widget|gizmo"}
+_LABELS = {"metal": "Metal parts", "toy": "Toys"}
+
+
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]::varchar[]"
+
+
+_SAVED = " union all ".join(f"select {k} m, " + ", ".join(f"{_sql_list(f.get(n, []))} {n}" for n in ("include_keywords", "include_categories", "include_employers", "exclude_keywords", "exclude_categories", "exclude_employers")) for k, f in _WANTED.items())
+
+
+@query(rf"""with saved as ({_SAVED}),
+ f as (select s_suppkey, saved.* from supplier join saved on m = s_suppkey % 7 where s_suppkey % 13 > 0 and s_suppkey % 11 > 0),
+ j as (select p_partkey, lower(p_brand || ' ' || p_name || ' ' || p_type) v, list_filter([case when regexp_matches(p_name, '\b(bolt|gear|ring)\b') then 'metal' end, case when regexp_matches(p_name, '\b(widget|gizmo)\b') then 'toy' end], lambda x: x is not null) c,
+   ['faang', 'startup', 'normal'][p_partkey % 3 + 1] e from part),
+ x as (select *, list_filter(include_categories, lambda k: list_contains(c, k)) rc, list_filter(include_keywords, lambda k: contains(v, lower(trim(k)))) rk, list_filter(include_employers, lambda k: k = e) re from j join f on not (
+   list_has_any(c, exclude_categories) or list_contains(exclude_employers, e) or len(list_filter(exclude_keywords, lambda k: contains(v, lower(trim(k))))) > 0)),
+ ok as (select *, len(include_keywords) + len(include_categories) = 0 as free from x where (len(include_keywords) + len(include_categories) = 0 or len(rc) + len(rk) > 0) and (len(include_employers) = 0 or len(re) > 0)),
+ receipts as (select l_partkey, l_suppkey, min(l_linenumber) n from lineitem group by 1, 2)
+ select p_partkey, s_suppkey, coalesce(n, 0)::bigint + 1 attempts,
+   array_to_string(list_concat(case when free then ['default-all-technical:All technical roles'] else []::varchar[] end, list_transform(rc, lambda k: 'category:' || case k when 'metal' then 'Metal parts' else 'Toys' end),
+     list_transform(list_filter(rk, lambda k, i: list_position(list_transform(rk, lambda y: lower(trim(y))), lower(trim(k))) = i), lambda k: 'keyword:' || trim(k)), list_transform(re, lambda k: 'company-type:' || k)), ',') reasons
+ from ok left join receipts on l_partkey = p_partkey and l_suppkey = s_suppkey where n is null or n > 3""")
+def filter_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as jobs for suppliers with saved filters, without those that have a receipt; line items are the receipts."""
+    names = [x.split()[0] for x in filters.FILTER.split(", ")]
+    key = F.col("s_suppkey")
+    value = lambda f, n: f.get(n) and F.array(*map(F.lit, f[n]))
+    one = lambda f: F.struct(*((F.lit(False) if n.endswith(("citizenship", "degree")) else value(f, n) if f.get(n) else F.lit(None).cast("array<string>")).alias(n) for n in names))
+    chosen = F.coalesce(*(F.when(key % 7 == k, one(f)) for k, f in _WANTED.items()))
+    saved = table(spark, sf_dir, "supplier").select("s_suppkey", (key % 13 > 0).alias("alerts_enabled"), F.lit(True).alias("onboarding_complete"), chosen.alias("filter"))
+    devices = table(spark, sf_dir, "supplier").select("s_suppkey", key.cast("string").alias("token"), (key % 11 > 0).alias("active"))
+    part = table(spark, sf_dir, "part")
+    jobs = part.select("p_partkey", filters.search_terms("p_brand", "p_name", "p_type").alias("value"), classify.classify(F.col("p_name"), _KINDS).alias("categories"), F.get(F.array(*map(F.lit, ("faang", "startup", "normal"))), (F.col("p_partkey") % 3).cast("int")).alias("employer"))
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).agg(F.min("l_linenumber").alias("attempts"))
+    status = F.when(F.col("attempts") == 1, "ok").when(F.col("attempts") == 2, "pending").when(F.col("attempts") == 3, "retryable").otherwise("error")
+    receipts = line.withColumns({"token": F.col("s_suppkey").cast("string"), "status": status})
+    found = filters.filter_candidates(jobs, "p_partkey", "value", "categories", saved, "s_suppkey")
+    e = filters.evaluate_filter(F.col("value"), F.col("categories"), F.col("employer"), category_labels=_LABELS)
+    sent = filters.alerts_to_send(jobs, "p_partkey", saved, "s_suppkey", devices, receipts, e, found)
+    return sent.select("p_partkey", "s_suppkey", F.col("attempts").cast("long").alias("attempts"), F.array_join(F.transform("reasons", lambda r: F.concat_ws(":", r["kind"], r["label"])), ",").alias("reasons"))
+
+
+def _sql_text(x: str) -> str:
+    for tag in ("script", "style", "svg"):
+        x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    return _decoded(_collapsed(rf"regexp_replace({x}, '<[^>]*>', ' ', 'g')"))
+
+
+def _sql_role(x: str) -> str:
+    x = f"strip_accents(lower(coalesce({x}, '')))"
+    for pattern, stem in evidence.STEMS:
+        x = f"regexp_replace({x}, '{pattern}', ' {stem} ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({x}, '[^a-z0-9+#.]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+_TITLE, _SAID = r"regexp_extract(html, '(?is)<title>(.*?)</title>', 1)", "' Responsibilities and role of the engineer'"
+_WORDS = "[" + ", ".join(f"'{w}'" for w in evidence.IGNORED) + "]"
+_SEASONS = "[" + ", ".join(f"'{w}'" for w in evidence.SEASONAL) + "]"
+
+
+@query(rf"""with h as (select page_id, coalesce(html, '') html from pages), p as (select page_id, html, {_TITLE} title, regexp_replace({_TITLE}, '[^A-Za-z ]', '', 'g') words from h),
+ c as (select *, case when page_id % 4 = 0 then 'json-ld' when regexp_extract(html, '(?is)<main\b[^>]*>(.*?)</main>', 1) <> '' then 'main' else 'body' end src,
+   {_sql_text(rf"case when page_id % 4 = 0 then '<p>' || words || '</p>' || repeat({_SAID}, 9) when regexp_extract(html, '(?is)<main\b[^>]*>(.*?)</main>', 1) <> '' then regexp_extract(html, '(?is)<main\b[^>]*>(.*?)</main>', 1) when regexp_extract(html, '(?is)<body\b[^>]*>(.*?)</body>', 1) <> '' then regexp_extract(html, '(?is)<body\b[^>]*>(.*?)</body>', 1) else html end")} body from p),
+ e as (select *, substr(body, 1, 12000) excerpt, {_sql_role("split_part(title, ' ', 1) || ' ' || split_part(title, ' ', 2) || ' ' || split_part(title, ' ', 3) || ' engineer intern'")} role, {_collapsed("title")} t from c),
+ g as (select *, {_sql_role("case when page_id % 3 > 0 then title || ' ' || excerpt else split_part(title, ' ', 2) end")} page, t <> '' and not regexp_matches(t, '(?i)\b(?:{evidence.ROLE})\b') and (regexp_matches(t, '(?i)\b(?:{evidence.GENERIC})\b') or len(regexp_split_to_array(t, '\s+')) <= 3) as general from e),
+ w as (select *, string_split(role, ' ') rs, string_split(page, ' ') ps from g),
+ f as (select *, array_to_string(list_filter(rs, lambda x: not list_contains({_SEASONS}, x)), ' ') phrase, list_distinct(list_filter(rs, lambda x: len(x) > 1 and not list_contains({_WORDS}, x) and not regexp_full_match(x, '202\d'))) terms from w),
+ a as (select *, case when page = '' then 'weak' when contains(phrase, ' ') and contains(page, phrase) then 'strong' when len(terms) = 0 then 'partial'
+   when len(list_intersect(terms, list_distinct(ps))) / len(terms) >= 0.75 then 'strong' when len(list_intersect(terms, list_distinct(ps))) / len(terms) >= 0.4 then 'partial' else 'weak' end agreement,
+   length(excerpt) >= 300 as long, length(excerpt) >= 300 and regexp_matches(excerpt, '(?i)\b(?:responsibilities|qualifications|requirements|what you(?:''|’)ll do|about the role|apply|intern(?:ship)?)\b') as described from f),
+ b as (select *, 35 + case when title <> '' then 20 else 0 end + case when regexp_matches(title, '(?i)\b(?:{evidence.ROLE}|job|position|role)\b') then 10 else 0 end + case when long then 10 else 0 end + case when described then 5 else 0 end
+   + case when page_id % 5 = 0 then case when contains(html, page_id::varchar) then 20 else 0 end when title <> '' then 5 else 0 end raw from a),
+ s as (select *, least(100, case when general then least(raw, 65) else raw end) base from b),
+ x as (select *, case when page_id % 7 = 0 or (general and agreement <> 'strong') then least(65, case when agreement = 'strong' and described then greatest(base, 75) else base end) when agreement = 'strong' and described then greatest(base, 75) else base end score from s)
+ select page_id, case when body <> '' then src end content_source, case when body <> '' then sha256(body) end content_hash, agreement, score::int confidence, case when score >= 70 then 'alert-eligible' when score >= 45 then 'catalog-only' else 'review' end recommendation from x""")
+def page_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as postings for the first words of their title; every fourth gets its text as JSON-LD, every seventh counts as redirected."""
+    title = F.coalesce(F.col("title"), F.lit(""))
+    words = F.regexp_replace(title, "[^A-Za-z ]", "")
+    said = F.concat(F.lit('<script type="application/ld+json">[{"@graph": [{"@type": ["Thing", "JobPosting"], "description": "<p>'), words, F.lit("</p>"), F.repeat(F.lit(_SAID.strip("'")), 9), F.lit('"}]}]</script>'))
+    plain = F.coalesce(F.col("html"), F.lit(""))
+    pages = page_titles(spark, sf_dir).withColumn("html", F.when(F.col("page_id") % 4 == 0, F.concat(said, plain)).otherwise(plain)).withColumn("_plain", plain)
+    rows = evidence.with_content(pages)
+    key, excerpt = F.col("page_id"), F.col("excerpt")
+    nth = lambda n: F.coalesce(F.get(F.split(title, " "), F.lit(n)), F.lit(""))
+    role = evidence.role_text(F.concat_ws(" ", nth(0), nth(1), nth(2), F.lit("engineer intern")))
+    rows = rows.withColumns({"_role": role, "_page": evidence.role_text(F.when(key % 3 > 0, F.concat_ws(" ", title, F.coalesce(excerpt, F.lit("")))).otherwise(nth(1)))})
+    rows = rows.withColumn("agreement", evidence.role_agreement(F.col("_role"), F.col("_page")))
+    base = evidence.page_confidence(F.lit(True), title, F.lit(None).cast("string"), excerpt, F.when(key % 5 == 0, key.cast("string")), F.contains("_plain", key.cast("string")), F.lit(False), F.lit(False))
+    rows = rows.withColumn("_base", base).withColumn("_e", evidence.assess(F.col("_base"), F.col("agreement"), title, excerpt, key % 7 == 0))
+    return rows.select("page_id", "content_source", "content_hash", "agreement", F.col("_e.score").alias("confidence"), F.col("_e.recommendation").alias("recommendation"))
+
+
+_SAFE = "trim(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<title>(.*?)</title>', 1), '[^A-Za-z ]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"""with p as (select page_id, {_SAFE} title, trim(url) url from pages where regexp_matches(trim(url), '^https?://[^\\s)<>]+$')),
+ w as (select *, case when title = '' then 'x' else title end t from p)
+ select page_id, n::int n, case when page_id % 3 = 2 and n = 2 then 'Beta' else 'Acme ' || page_id end company,
+   case when page_id % 3 = 2 then case when n = 1 then 'Quantitative Trading Intern' else 'Ops Intern — Summer' end else t || case when n = 2 then ' two' else '' end end title,
+   case when page_id % 3 = 0 then case when n = 1 then 'Here' else 'Unspecified' end when page_id % 3 = 1 then 'Unspecified' else case when n = 1 then 'Chicago' else 'Unspecified' end end "location", regexp_replace(url, '[,.;]+$', '') || case when n = 2 then '/two' else '' end apply_url, n = 2 and page_id % 3 <> 1 as closed
+ from w cross join range(1, 3) r(n)""".replace("regexp_replace(url, '[,.;]+$', '') || case", "url || case"))
+def listed_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's title and address as a list document of two roles: a Markdown table, an HTML table or sections."""
+    c, key = F.col, F.col("page_id")
+    title = F.trim(F.regexp_replace(F.regexp_replace(c("title"), "[^A-Za-z ]+", " "), " +", " "))
+    pages = page_titles(spark, sf_dir).select("page_id", F.when(title == "", "x").otherwise(title).alias("t"), F.trim("url").alias("url")).where(c("url").rlike(r"^https?://[^\s)<>]+$"))
+    company = F.concat(F.lit("Acme "), key)
+    markdown = F.concat(F.lit("# List\n| Company | Role | Location | Apply |\n| --- | --- | --- | --- |\n| **"), company, F.lit("** | "), c("t"), F.lit(" | Here | [Apply]("), c("url"), F.lit(") |\n| ↳ | "), c("t"), F.lit(" two | | [Apply]("), c("url"), F.lit("/two) Closed |\n"))
+    html = F.concat(F.lit("<table><tr><th>Company</th><th>Role</th><th>Application</th></tr><tr><td>"), company, F.lit("</td><td><b>"), c("t"), F.lit('</b></td><td><a href="'), c("url"), F.lit('">Apply</a></td></tr><tr><td>↳</td><td>'), c("t"), F.lit(' two</td><td><a href="'), c("url"), F.lit('/two">Apply</a></td></tr></table>'))
+    sections = F.concat(F.lit("## "), company, F.lit("\n**Locations**: Chicago\n| Role | Links |\n| --- | --- |\n| QT | [Apply]("), c("url"), F.lit(") |\n## Beta\n| Ops | [Summer]("), c("url"), F.lit("/two) 🔒 |\n"))
+    docs = pages.select("page_id", F.when(key % 3 == 0, markdown).when(key % 3 == 1, html).otherwise(sections).alias("text"))
+    rows = lambda d, layout: d.select("page_id", F.posexplode(lists.parse_lists(c("text"), layout)).alias("n", "r"))
+    every = rows(docs.where(key % 3 < 2), "tables").unionByName(rows(docs.where(key % 3 == 2), "sections"))
+    return every.select("page_id", (c("n") + 1).alias("n"), *(c(f"r.{x}").alias(x) for x in ("company", "title", "location", "apply_url", "closed")))

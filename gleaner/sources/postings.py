@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+
+from gleaner.functions.season import max_hourly_pay
+from gleaner.functions.url import normalize_url
+from gleaner.sources.lists import ROW, parse_lists
 
 POSTING = "source_id, external_id, title, content, location, apply_url, state, authority"
 GREENHOUSE = "jobs array<struct<id:string,internal_job_id:string,title:string,location:struct<name:string>,updated_at:string,absolute_url:string,content:string>>"
 LEVER = "id string, text string, applyUrl string, hostedUrl string, descriptionPlain string, createdAt bigint, updatedAt bigint, categories struct<location:string,commitment:string,team:string,allLocations:array<string>>, workplaceType string"
 ASHBY = "apiVersion string, jobs array<struct<id:string,title:string,location:string,isListed:boolean,isRemote:boolean,workplaceType:string,descriptionHtml:string,descriptionPlain:string,publishedAt:string,jobUrl:string,applyUrl:string>>"
-ROW = ArrayType(StructType([StructField("row", IntegerType()), *(StructField(x, StringType()) for x in ("company", "title", "location", "apply_url")), StructField("closed", BooleanType())]))
 
 
 def read_boards(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,53 +36,13 @@ def ashby_postings(boards: DataFrame, source: str) -> DataFrame:
     return j.select(F.lit(source).alias("source_id"), F.col("j.id").alias("external_id"), F.col("j.title").alias("title"), F.coalesce("j.descriptionHtml", "j.descriptionPlain").alias("content"), F.col("j.location").alias("location"), F.col("j.applyUrl").alias("apply_url"), F.lit("open").alias("state"), F.lit("title").alias("authority"))
 
 
-_ROLES = {"company": r"company|employer", "title": r"role|title|position|^posting$", "location": r"location", "apply_url": r"apply|application|\blinks?\b", "status": r"status"}
-_CLOSED = re.compile(r"\b(?:closed|inactive|filled|expired)\b|🔒", re.IGNORECASE)
-_LINK = re.compile(r"https?://[^\s)\"'<>]+")
-
-
-def _cells(line: str) -> list[str]:
-    parts = re.split(r"(?<!\\)\|", line.strip().strip("|"))
-    return [p.replace("\\|", "|").strip() for p in parts]
-
-
-def _plain(cell: str) -> str:
-    cell = re.sub(r"!\[[^\]]*\]\([^)]*\)|<[^>]+>", " ", cell)
-    return re.sub(r"\s+", " ", re.sub(r"[*_`]", "", re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", cell))).strip()
-
-
-def _table_rows(text: str | None) -> list[dict]:
-    """Rows of Markdown tables that have company, title and application columns."""
-    out, company, where = [], "", None
-    lines = (text or "").split("\n")
-    for i, line in enumerate(lines):
-        if "|" not in line:
-            where = None
-            continue
-        cells = _cells(line)
-        if i + 1 < len(lines) and re.fullmatch(r"[\s|:-]*-[\s|:-]*", lines[i + 1]):
-            names = {k: next((n for n, c in enumerate(cells) if re.search(p, c, re.IGNORECASE)), None) for k, p in _ROLES.items()}
-            names["apply_url"] = names["title"] if names["apply_url"] is None else names["apply_url"]  # the title may bear the link
-            where = (len(cells), names) if None not in (names["company"], names["title"]) else None
-            continue
-        if where is None or len(cells) != where[0] or re.fullmatch(r"[\s|:-]*-[\s|:-]*", line):
-            continue
-        at = where[1]
-        named = _plain(cells[at["company"]])
-        company = named if named and named != "↳" else company
-        link = _LINK.search(cells[at["apply_url"]]) or _LINK.search(cells[at["title"]])
-        get = lambda k: cells[at[k]] if at[k] is not None else ""
-        out.append({"row": i + 1, "company": company, "title": _plain(get("title")), "location": _plain(get("location")), "apply_url": link[0] if link else None, "closed": bool(_CLOSED.search(_plain(line)))})
-    return out
-
-
-@F.pandas_udf(ROW)
-def markdown_rows(text: pd.Series) -> pd.Series:
-    return text.map(_table_rows)
-
-
-def list_postings(documents: DataFrame, source: str, text: str = "value", document: str = "document") -> DataFrame:
-    """Postings of list documents; the first row of each address in a document stays."""
-    rows = documents.select(F.col(document).alias("document"), F.explode(markdown_rows(F.col(text))).alias("r")).select("document", "r.*").where("apply_url is not null")
-    first = rows.groupBy("document", "apply_url").agg(F.min_by(F.struct("row", "company", "title", "location", "closed"), "row").alias("f"))
-    return first.select(F.lit(source).alias("source_id"), F.concat_ws(":", "document", "apply_url").alias("external_id"), F.col("f.company").alias("company"), F.col("f.title").alias("title"), F.col("f.location").alias("location"), "apply_url", F.when(F.col("f.closed"), "closed").otherwise("open").alias("state"))
+def list_postings(documents: DataFrame, source: str, text: str = "value", document: str = "document", layout: str = "tables") -> DataFrame:
+    """Postings of list documents; the first row of each address in a document stays. Refused addresses go."""
+    rows = documents.select(F.col(document).alias("document"), F.explode(parse_lists(F.col(text), layout)).alias("r")).select("document", "r.*")
+    rows = rows.where(F.lower("apply_url").startswith("https://")).withColumn("_url", normalize_url(F.col("apply_url")))
+    first = rows.groupBy("document", "_url").agg(F.min_by(F.struct(*ROW.names), "row").alias("f"))
+    pay = max_hourly_pay(F.col("f.pay"))
+    return first.select(
+        F.lit(source).alias("source_id"), F.concat_ws(":", "document", "_url").alias("external_id"), F.col("f.company").alias("company"), F.col("f.title").alias("title"), F.col("f.location").alias("location"), F.col("f.apply_url").alias("apply_url"),
+        F.when(F.col("f.closed"), "closed").otherwise("open").alias("state"), pay.alias("max_hourly"), F.col("f.citizenship").alias("citizenship"), F.col("f.degree").alias("degree"), F.col("f.posted").alias("posted"),
+    )
