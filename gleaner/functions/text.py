@@ -111,3 +111,17 @@ def generic_location(location: Column) -> Column:
 def plain_words(text: Column) -> Column:
     """The text in lower case with letters, digits and ``+#/`` only, words one space apart."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9+#/ ]+", " "), " +", " "))
+
+
+def heads(words: Column) -> Column:
+    """All beginnings of a title of plain words: its first 1, 2, ... words, and the letters of the first one."""
+    w = F.split(words, " ")
+    whole = F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.concat(F.lit("w "), F.array_join(F.slice(w, F.lit(1), n), " ")))
+    first = F.get(w, F.lit(0))
+    return F.concat(whole, F.transform(F.sequence(F.lit(1), F.greatest(F.length(first), F.lit(1))), lambda n: F.concat(F.lit("c "), F.substring(first, F.lit(1), n))))
+
+
+def own_head(words: Column) -> Column:
+    """The beginning under which titles that begin with this one are found: all words but the last, which may be cut."""
+    w = F.split(words, " ")
+    return F.when(F.size(w) > 1, F.concat(F.lit("w "), F.array_join(F.slice(w, F.lit(1), F.size(w) - 1), " "))).otherwise(F.concat(F.lit("c "), words))

@@ -1,11 +1,11 @@
-"""Which rows are the same item: keep-first, ordered fallback keys and repair of cut titles."""
+"""Which rows are the same item: keep-first, ordered fallback keys, components, similar titles and merges."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions.hashing import fingerprint
-from gleaner.functions.text import canonical_company, canonical_location, canonical_title, generic_location, overlap, plain_words
+from gleaner.functions.text import canonical_company, canonical_location, canonical_title, generic_location, heads, overlap, own_head, plain_words
 from gleaner.operators.lineage import drop, store
 
 
@@ -30,20 +30,6 @@ def resolve(listings: DataFrame, stored: DataFrame, keys: list[str], value: str)
     return out.withColumns({value: found, "matched_by": matched}).drop(*(f"_{k}" for k in keys), *(f"_by_{k}" for k in keys))
 
 
-def repair_titles(df: DataFrame, owner: str, title: str, least: int = 3) -> DataFrame:
-    """``df`` with ``repaired``: a title cut off with dots becomes the owner's shortest whole title
-    that begins with it; without one the dots go. Whole titles are made distinct per owner before
-    the join, and only cut titles take part in it.
-    """
-    cut = F.col(title).rlike(r"(\.\.\.|…)\s*$")
-    stem = F.regexp_replace(F.col(title), r"\s*(\.\.\.|…)\s*$", "")
-    whole = df.where(~cut).select(F.col(owner).alias("_owner"), F.col(title).alias("_whole"), F.lower(F.substring(title, 1, least)).alias("_head")).distinct()
-    needs = df.where(cut).select(F.col(owner).alias("_owner"), F.col(title).alias("_cut"), stem.alias("_stem")).distinct().withColumn("_head", F.lower(F.substring("_stem", 1, least)))
-    best = needs.join(whole, ["_owner", "_head"]).where(F.startswith("_whole", "_stem")).groupBy("_owner", "_cut").agg(F.min(F.struct(F.length("_whole").alias("n"), F.col("_whole").alias("t")))["t"].alias("_best"))
-    out = df.join(best, (F.col(owner) == F.col("_owner")) & (F.col(title) == F.col("_cut")), "left")
-    return out.withColumn("repaired", F.when(cut, F.coalesce("_best", stem)).otherwise(F.col(title))).drop("_owner", "_cut", "_best")
-
-
 def same_items(df: DataFrame, key: str, links: list[str], edges: DataFrame | None = None, most_rounds: int = 100) -> DataFrame:
     """(key, root): rows that agree on one of ``links``, or that ``edges`` (two columns of keys) join, directly or
     through others, have one root, the smallest key among them. A null link links nothing.
@@ -101,13 +87,8 @@ def role_links(df: DataFrame, key: str, company: str, season: str, title: str, r
     whole = lambda d, words, name: d.select(*base, F.col("t").alias(name), F.size("rarest").alias(f"{name}_n"), F.explode(words).alias("w"))
     pairs = whole(asks, prefix, "a").join(whole(titles, F.col("rarest"), "b"), [*base, "w"]).where("a_n <= b_n").select(*base, "a", "b")
     pairs = pairs.unionByName(whole(asks, F.col("rarest"), "a").join(whole(titles, prefix, "b"), [*base, "w"]).where("a_n > b_n").select(*base, "a", "b"))
-    # The last word of a title that another begins with may be cut: all words before it are whole, or it is the only one.
-    words = F.split("t", " ")
-    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.concat(F.lit("w "), F.array_join(F.slice(words, F.lit(1), n), " ")))
-    letters = F.transform(F.sequence(F.lit(1), F.length(F.get(words, F.lit(0)))), lambda n: F.concat(F.lit("c "), F.substring(F.get(words, F.lit(0)), F.lit(1), n)))
-    own = F.when(F.size(words) > 1, F.concat(F.lit("w "), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " "))).otherwise(F.concat(F.lit("c "), F.col("t")))
-    longer = lambda d, name: d.select(*base, F.col("t").alias(name), F.explode(F.concat(heads, letters)).alias("h"))
-    shorter = lambda d, name: d.select(*base, F.col("t").alias(name), own.alias("h"))
+    longer = lambda d, name: d.select(*base, F.col("t").alias(name), F.explode(heads(F.col("t"))).alias("h"))
+    shorter = lambda d, name: d.select(*base, F.col("t").alias(name), own_head(F.col("t")).alias("h"))
     pairs = pairs.unionByName(longer(asks, "a").join(shorter(titles, "b"), [*base, "h"]).select(*base, "a", "b")).unionByName(shorter(asks, "a").join(longer(titles, "b"), [*base, "h"]).select(*base, "a", "b"))
     wa, wb = F.array_distinct(F.split("a", " ")), F.array_distinct(F.split("b", " "))
     same = F.startswith("a", F.col("b")) | F.startswith("b", F.col("a")) | (overlap(wa, wb) >= least)

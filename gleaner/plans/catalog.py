@@ -140,19 +140,6 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", t.page_text(F.col("html")).alias("body"))
 
 
-_CUT = "with p as (select page_id, {h} host, case when contains(url, '?') then substr(title, 1, 20) || '...' else title end title from (select page_id, url, regexp_extract(coalesce(html, ''), '(?is)<title>(.*?)</title>', 1) title from pages))"
-
-
-@query(_CUT.format(h=_HOST) + r""", c as (select *, regexp_matches(title, '(\.\.\.|…)\s*$') cut, regexp_replace(title, '\s*(\.\.\.|…)\s*$', '') stem from p)
-select page_id, case when not cut then title else coalesce((select w.title from c w where not w.cut and w.host = c.host and starts_with(w.title, c.stem) and lower(w.title[1:3]) = lower(c.stem[1:3])
-  order by len(w.title), w.title limit 1), stem) end as repaired from c""")
-def title_prefix_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of addresses with a query are cut here, as the tables have none that are."""
-    cut = F.when(F.contains(F.col("url"), F.lit("?")), F.concat(F.substring("title", 1, 20), F.lit("..."))).otherwise(F.col("title"))
-    rows = page_titles(spark, sf_dir).select("page_id", u.host(F.col("url")).alias("host"), cut.alias("title"))
-    return identity.repair_titles(rows, "host", "title").select("page_id", "repaired")
-
-
 @query(f"""with h as (select {_HOST} host, regexp_extract({_HOST}, '([^.]*\\.)?[^.]*$', 0) source from pages), c as (select source, host, count(*) n from h group by 1, 2)
 select source, sum(n)::bigint n_rows, count(*)::bigint n_keys, max(n)::bigint largest, max(n) > 0.05 * sum(n) as too_concentrated from c group by 1""".replace("\\\\", "\\"))
 def host_concentration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.operators import classify, evidence, filters, health, identity, incidents
-from gleaner.plans.catalog import _collapsed, _decoded
-from gleaner.plans.tables import page_titles, table
+from gleaner.functions.url import host
+from gleaner.operators import attribution, classify, evidence, filters, health, identity, incidents, processing
+from gleaner.plans.catalog import _HOST, _collapsed, _decoded
+from gleaner.plans.tables import AGGREGATORS, NOW, WORDS, page_titles, table
 from gleaner.sources import lists
 from gleaner.streaming import presence
 
@@ -288,3 +289,91 @@ def listed_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lambda d, layout: d.select("page_id", F.posexplode(lists.parse_lists(c("text"), layout)).alias("n", "r"))
     every = rows(docs.where(key % 3 < 2), "tables").unionByName(rows(docs.where(key % 3 == 2), "sections"))
     return every.select("page_id", (c("n") + 1).alias("n"), *(c(f"r.{x}").alias(x) for x in ("company", "title", "location", "apply_url", "closed")))
+
+
+_KNOWN = ["Der", "The", "Les deux", "Les"]
+_PLAIN = lambda x: f"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9+#/ ]+', ' ', 'g'), ' +', ' ', 'g'))"
+_CLEAN = lambda x: _collapsed(f"regexp_replace({_decoded(x)}, '<[^>]+>', ' ', 'g')")
+_REPAIR = rf"""w as (select *, regexp_matches(src, '(?:\.\.\.|…)\s*$') cut, trim(regexp_replace(src, '(?:\.\.\.|…)\s*$', '')) stem, {_PLAIN(r"trim(regexp_replace(src, '(?:\.\.\.|…)\s*$', ''))")} u from t),
+ best as (select a.host, a.u, arg_min(b.src, (len(b.src), b.src)) whole from (select distinct host, u from w where cut and u <> '') a join (select distinct host, src, u from w where not cut) b on a.host = b.host and starts_with(b.u, a.u) group by 1, 2),
+ r as (select w.*, case when not cut or u = '' then src else coalesce(whole, case when starts_with(u, 'les deux') then 'Les deux' when starts_with(u, 'der') then 'Der' when starts_with(u, 'the') then 'The' when starts_with(u, 'les') then 'Les' end,
+   nullif(trim(regexp_replace(stem, '[\s(\[{{,\-–—/]+\S*$', '')), ''), stem) end repaired from w left join best using (host, u))"""
+
+
+@query(rf"""with p as (select page_id, {_HOST} host, regexp_extract(coalesce(html, ''), '(?is)<title>(.*?)</title>', 1) title, url from pages),
+ t as (select page_id, host, trim(case when contains(url, '?') then substr(title, 1, 20) || '...' else title end) src from p), {_REPAIR} select page_id, repaired from r""")
+def title_prefix_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of addresses with a query are cut here, as the tables have none that are."""
+    cut = F.when(F.contains(F.col("url"), F.lit("?")), F.concat(F.substring("title", 1, 20), F.lit("..."))).otherwise(F.col("title"))
+    rows = page_titles(spark, sf_dir).select("page_id", host(F.col("url")).alias("host"), cut.alias("title"))
+    return processing.repair_titles(rows, "host", "title", _KNOWN).select("page_id", "repaired")
+
+
+def _sql_season(x: str) -> str:
+    named = r"(?i)\b(summer|fall|spring|winter)\s*(?:intern(?:ship)?\s*)?(20\d\d)\b"
+    return rf"case when regexp_matches({x}, '{named}') then lower(regexp_extract({x}, '{named}', 1)) || '-' || regexp_extract({x}, '{named}', 2) else coalesce(list_filter(regexp_extract_all({x}, '\b(20\d\d)\b', 1), lambda y: y::int between {NOW.year} and {NOW.year + 3})[1], 'ongoing') end"
+
+
+def _distinct_words(x: str, pattern: str) -> str:
+    return rf"len(list_distinct(regexp_extract_all(lower({x}), '\b(?:{pattern})\b')))"
+
+
+@query(rf"""with p as (select page_id k, url, {_HOST} host, coalesce(html, '') html, regexp_extract(coalesce(html, ''), '(?is)<title>(.*?)</title>', 1) title from pages),
+ t as (select *, {_CLEAN("case when contains(url, '?') then substr(title, 1, 20) || '...' when k % 5 = 0 then title || ' Summer 2027' else title end")} src, {_CLEAN("html")} body from p), {_REPAIR},
+ s as (select *, {_sql_season("repaired")} said, regexp_extract(trim(url), '^(?i)https?://[^/?#]*/([a-z]+)', 1) place, repaired || case when k % 9 = 0 then ' der' else '' end about from r),
+ x as (select *, case when place = '' then 'Unspecified' else place end "location", {_distinct_words("body", WORDS.strong)} "domain", {_distinct_words("body", WORDS.stack)} stack, {_distinct_words("body", WORDS.business)} business from s),
+ y as (select *, case when regexp_matches(about, '(?i)\b(?:{WORDS.strong})\b') then 'title' when regexp_matches(about, '(?i)\b(?:{WORDS.business})\b') then 'business-function' when regexp_matches(about, '(?i)\b(?:{"|".join(WORDS.categories.values())})\b') then 'title' when trim(body) = '' then 'no-evidence' else 'description' end basis,
+   least("domain", 3) * 3 + least(stack, 6) - 2 * business >= 4 and stack >= 2 as enough from x),
+ z as (select *, basis = 'title' or (basis = 'description' and enough) as technical from y),
+ d as (select *, case when k % 17 = 0 then 'prospect' when k % 4 > 0 and not regexp_matches(repaired, '(?i)\b(?:{WORDS.lifecycle})\b') then 'not-early-career' when url is null or host = '' or not regexp_matches(trim(url), '^(?i)https:') then 'invalid-application-url'
+   when host in ({", ".join(f"'{a}'" for a in AGGREGATORS)}) then 'aggregator-destination' when technical then 'source-policy' else 'nontechnical' end reason from z)
+ select k page_id, host company, repaired title, repaired <> src title_repaired, "location", case when said <> 'ongoing' then said when k % 3 = 0 then 'fall-2026' else {_sql_season("body")} end season, case when said = 'ongoing' and k % 6 = 0 then 'source-default' end season_source,
+   case when k % 8 = 0 then 'hybrid' when regexp_matches("location" || ' ' || body, '(?i)remote') then 'remote' when regexp_matches("location" || ' ' || body, '(?i)hybrid') then 'hybrid' when regexp_matches("location" || ' ' || body, '(?i)on.?site|in.?person') then 'onsite' end work_mode,
+   k % 10 = 0 as citizenship, technical, basis, case when reason in ('prospect', 'not-early-career') then 'filtered' when reason in ('aggregator-destination', 'invalid-application-url') then 'withheld' when reason = 'source-policy' then 'included' else 'shelved' end outcome, reason from d""")
+def processed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as postings of their hosts, with every column of a posting given on some of them."""
+    key, none = F.col("page_id"), F.lit(None)
+    title = F.when(F.contains(F.col("url"), F.lit("?")), F.concat(F.substring("title", 1, 20), F.lit("..."))).when(key % 5 == 0, F.concat("title", F.lit(" Summer 2027"))).otherwise(F.col("title"))
+    rows = page_titles(spark, sf_dir).select(
+        "page_id", F.lit("pages").alias("source_id"), key.alias("external_id"), F.coalesce(host(F.col("url")), F.lit("")).alias("company"), title.alias("title"), F.array(F.struct(F.lit("html").alias("format"), F.coalesce("html", F.lit("")).alias("value"))).alias("content"),
+        F.array(F.regexp_extract(F.trim("url"), r"^(?i)https?://[^/?#]*/([a-z]+)", 1)).alias("locations"), F.when(key % 3 == 0, "fall-2026").alias("season_hint"), F.when(key % 6 == 0, "source-default").alias("season_authority"), F.col("url").alias("apply_url"),
+        F.when(key % 17 == 0, "prospect").otherwise("open").alias("state"), F.when(key % 4 == 0, "source").otherwise("title").alias("authority"), F.when(key % 9 == 0, F.array(F.lit("der"))).alias("tags"), F.when(key % 8 == 0, "Hybrid office").alias("declared_mode"),
+        F.when(key % 10 == 0, True).alias("citizenship"), none.cast("boolean").alias("degree"), none.cast("string").alias("pay_text"),
+    )
+    out = processing.process_postings(rows, WORDS, _KNOWN, AGGREGATORS, NOW)
+    return out.select("page_id", "company", "title", "title_repaired", "location", "season", "season_source", "work_mode", "citizenship", "technical", "basis", "outcome", "reason")
+
+
+_BOARDS = """with u as (select page_id k, case page_id % 6 when 0 then 'https://boards.greenhouse.io/Token' || page_id % 9 || '/jobs/' || page_id when 1 then 'https://jobs.lever.co/Site' || page_id % 7 || '/' || page_id || '/apply'
+   when 2 then 'https://www.job-boards.greenhouse.io/token' || page_id % 9 || '/jobs/x' when 3 then 'http://jobs.lever.co/site' || page_id % 7 when 4 then 'https://jobs.ashbyhq.com/Board%2E' || page_id % 5 || '/' || page_id || '/application' else url end url, page_id % 13 = 0 as own from pages),
+ p as (select *, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) path, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '^www\\.', '') h from u),
+ r as (select *, case when h in ('boards.greenhouse.io', 'job-boards.greenhouse.io') and regexp_matches(path, '^/[^/]+/jobs/\\d+') then 'greenhouse' when h = 'jobs.lever.co' and regexp_matches(path, '^/[^/]+/[^/]+') then 'lever' end provider,
+   lower(regexp_extract(path, '^/([^/]+)', 1)) token, case when h = 'jobs.lever.co' then regexp_extract(path, '^/[^/]+/([^/]+)', 1) else regexp_extract(path, '^/[^/]+/jobs/(\\d+)', 1) end posting from p),
+ b as (select *, case when provider = 'greenhouse' and substr(token, 6)::int < 6 then 'g-' || token when provider = 'lever' and substr(token, 5)::int % 2 = 0 then 'l-' || token end board from r),
+ a as (select *, case when own then 'provider-api' when board is not null and posting::int % 4 < 3 then 'reviewed-board' else 'unattributed' end basis,
+   case k % 5 when 0 then 404 when 1 then 403 when 2 then 503 end status from b)
+ select k page_id, provider, case when provider is not null then token end token, case when provider is not null then posting end posting_id, basis, case when own then 'direct' when basis = 'reviewed-board' then board end board_source,
+   case when k % 6 = 4 then 'Board.' || k % 5 end ashby, case when k % 6 = 1 then 'site' || k % 7 end lever,
+   case status when 404 then 'gone' when 403 then 'blocked' when 503 then 'unreachable' else case when k % 3 = 0 then 'blocked' else 'live' end end reach, status is distinct from 404 and (basis <> 'unattributed' or k % 2 = 0) as alert_eligible from a"""
+
+
+@query(_BOARDS)
+def board_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with addresses on boards: what they name, whether a reviewed board shows it, and what may alert."""
+    key, text = F.col("page_id"), lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    url = (
+        F.when(key % 6 == 0, text("https://boards.greenhouse.io/Token", key % 9, "/jobs/", key)).when(key % 6 == 1, text("https://jobs.lever.co/Site", key % 7, "/", key, "/apply")).when(key % 6 == 2, text("https://www.job-boards.greenhouse.io/token", key % 9, "/jobs/x"))
+        .when(key % 6 == 3, text("http://jobs.lever.co/site", key % 7)).when(key % 6 == 4, text("https://jobs.ashbyhq.com/Board%2E", key % 5, "/", key, "/application")).otherwise(F.col("url"))
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", url.alias("apply_url"), F.when(key % 13 == 0, "direct").otherwise("list").alias("source"))
+    boards = spark.createDataFrame([(f"g-token{i}", "greenhouse", f"Token{i}") for i in range(6)] + [(f"l-site{i}", "lever", f"site{i}") for i in range(0, 7, 2)] + [("direct", "ashby", "x")], "source_id string, provider string, token string")
+    named = pages.select(attribution.board_reference(F.col("apply_url")).alias("r"), "page_id").where("r is not null and page_id % 4 < 3")
+    active = named.join(boards, (F.col("r.provider") == F.col("provider")) & (F.col("r.token") == F.lower("token"))).select("source_id", F.col("r.posting_id").alias("external_id"))
+    out = attribution.with_attribution(pages, "apply_url", "source", boards, active)
+    status = F.when(key % 5 == 0, 404).when(key % 5 == 1, 403).when(key % 5 == 2, 503)
+    reach = attribution.reachability(status.isNotNull(), status, F.when(key % 3 == 0, F.array(F.lit("access restricted to scraper"))).otherwise(F.array().cast("array<string>")))
+    ref = attribution.board_reference(F.col("apply_url"))
+    return out.select(
+        "page_id", ref["provider"].alias("provider"), ref["token"].alias("token"), ref["posting_id"].alias("posting_id"), "basis", "board_source", attribution.ashby_board(F.col("apply_url")).alias("ashby"), attribution.lever_site(F.col("apply_url")).alias("lever"),
+        reach.alias("reach"), attribution.verified(F.col("basis"), reach, key % 2 == 0)["alert_eligible"].alias("alert_eligible"),
+    )
