@@ -5,9 +5,10 @@ in 3-word windows that occur twice or more. Cross-document rule: lines are norma
 digits as 0, white space as one space), hashed and counted by distinct documents of each host; a
 line above the host's limit is removed, and a document that keeps too few words is rejected.
 
-Everything is DataFrame functions. A row is a document: repeated rows count as separate documents
-that share their lines. A null text has no words and fails; rows without a host are one host of
-their own. Empty tables give no rows. Only the columns named are read, so others may be there.
+Everything is DataFrame functions. Rows of one key are one document to the counts of lines, however
+often they are repeated; rows without a key count for no document, but lose lines like others. A null
+text has no words and fails; rows without a host are one host of their own. Empty tables give no rows.
+Only the columns named are read, so others may be there.
 """
 
 from __future__ import annotations
@@ -73,16 +74,19 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), SPACE, " "))
 
 
-def frequent_lines(df: DataFrame, host: str = "source", text: str = "text", least: int = 20, share: float = 0.01) -> DataFrame:
-    """(host, line): hashes of the lines that more documents of the host hold than its limit.
+def frequent_lines(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", least: int = 20, share: float = 0.01) -> DataFrame:
+    """(host, line): hashes of the lines that more distinct documents of the host hold than its limit.
 
-    The limit is the larger of ``least`` documents and ``share`` of the host's documents.
+    The limit is the larger of ``least`` documents and ``share`` of the host's documents. Rows are
+    counted first, by partial sums; only lines in enough rows are counted by distinct documents.
     """
-    rows = df.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("text"))
-    lines = rows.select("host", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normalised(x))))).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > least)
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    return counts.join(hosts, "host").where(F.col("n_docs") > share * F.col("host_docs")).select("host", "line")
+    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("text"))
+    lines = rows.select("id", "host", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normalised(x))))).alias("line"))
+    often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > least)
+    hosts = rows.groupBy("host").agg(F.count_distinct("id").alias("host_docs"))
+    often = often.join(hosts, "host").where(F.col("n_rows") > share * F.col("host_docs"))
+    docs = lines.join(often.select("host", "line", "host_docs"), ["host", "line"]).groupBy("host", "line").agg(F.count_distinct("id").alias("n_docs"), F.max("host_docs").alias("host_docs"))
+    return docs.where((F.col("n_docs") > least) & (F.col("n_docs") > share * F.col("host_docs"))).select("host", "line")
 
 
 def _line_rows(df: DataFrame, key: str, host: str, text: str) -> DataFrame:
@@ -99,7 +103,7 @@ def apply_quality_rules(df: DataFrame, key: str = "doc_id", host: str = "source"
     """
     base = with_counts(df.select(F.col(key).alias("id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("_text")), "_text").drop("_text")
     lines = _line_rows(df, key, host, text).select("id", "text_hash", "host", "place", F.xxhash64(normalised(F.col("raw"))).alias("line"), F.size(words_of(F.col("raw"))).alias("words"))
-    removed = lines.join(frequent_lines(df, host, text, least, share), ["host", "line"], "left_semi")
+    removed = lines.join(frequent_lines(df, key, host, text, least, share), ["host", "line"], "left_semi")
     removed = removed.groupBy("id", "text_hash", "host", "place").agg(F.max("words").alias("words")).groupBy("id", "text_hash", "host").agg(F.sum("words").alias("removed_words"))
     removed = removed.select(F.col("id").alias("r_id"), F.col("text_hash").alias("r_hash"), F.col("host").alias("r_host"), "removed_words")
     out = base.join(removed, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")) & (F.col("host") == F.col("r_host")), "left")
@@ -116,7 +120,7 @@ def remove_frequent_lines(df: DataFrame, key: str = "doc_id", host: str = "sourc
     A document's lines are put together again from rows of their own; texts without such lines
     pass as they are. Null texts stay null.
     """
-    bad = frequent_lines(df, host, text, least, share)
+    bad = frequent_lines(df, key, host, text, least, share)
     lines = _line_rows(df, key, host, text).select("id", "text_hash", "host", "place", F.xxhash64(normalised(F.col("raw"))).alias("line"))
     marks = lines.join(bad, ["host", "line"], "left_semi").groupBy("id", "text_hash", "host").agg(F.collect_set("place").alias("_gone"))
     marks = marks.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host"), "_gone")
@@ -132,30 +136,30 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 with base as (
-  select doc_id, coalesce(source, '') host, coalesce(text, '') body,
+  select row_number() over () r, doc_id, coalesce(source, '') host, coalesce(text, '') body,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls
   from documents),
 win as (
-  select doc_id, unnest(range(1, len(w) - 1)) i, w from base where len(w) >= 3),
+  select r, unnest(range(1, len(w) - 1)) i, w from base where len(w) >= 3),
 seen as (
-  select doc_id, i, count(*) over (partition by doc_id, w[i], w[i+1], w[i+2]) n from win),
+  select r, i, count(*) over (partition by r, w[i], w[i+1], w[i+2]) n from win),
 rep as (
-  select doc_id, count(distinct p) n from (select doc_id, unnest([i, i+1, i+2]) p from seen where n >= 2) group by 1),
+  select r, count(distinct p) n from (select r, unnest([i, i+1, i+2]) p from seen where n >= 2) group by 1),
 lines as (
-  select doc_id, host, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') line,
+  select r, doc_id, host, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') line,
     len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) words
-  from (select doc_id, host, unnest(ls) x from base)),
+  from (select r, doc_id, host, unnest(ls) x from base)),
 bad as (
   select l.host, l.line from lines l group by 1, 2
-  having count(distinct doc_id) > greatest(20, 0.01 * (select count(*) from base b where b.host = l.host))),
+  having count(distinct doc_id) > greatest(20, 0.01 * (select count(distinct doc_id) from base b where b.host = l.host))),
 gone as (
-  select doc_id, sum(words) n from lines semi join bad using (host, line) group by 1),
+  select r, sum(words) n from lines semi join bad using (host, line) group by 1),
 f as (
   select b.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars,
     length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g'))::bigint n_symbols,
-    (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words, coalesce(g.n, 0)::bigint n_removed_words
-  from base b left join rep r using (doc_id) left join gone g using (doc_id))
+    (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words, coalesce(g.n, 0)::bigint n_removed_words
+  from base b left join rep using (r) left join gone g using (r))
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words)
     and (n_removed_words = 0 or (n_words - n_removed_words >= 50 and n_words - n_removed_words >= 0.3 * n_words)) as kept
