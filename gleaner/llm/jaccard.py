@@ -48,6 +48,8 @@ SKETCH_BITS, SKETCHED = 512, 8
 LONG_LIST = 4096
 #: Comparisons made at a time, rows of an output batch.
 COMPARED, OUTPUT = 1 << 17, 1 << 16
+#: Visits of a task that are put together at a time.
+VISITS = 1 << 19
 #: Bytes of whole sets in a block of a component, and visitors that a copy of a block takes.
 BLOCK_BYTES, VISITORS = 4 << 20, 1024
 
@@ -160,6 +162,20 @@ def _postings(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names=["token", "node", "n", "matches", "pivot", "pivot_n", "pivot_matches", "size"])
 
 
+def least_shared(n_x, matches_x, n_y, matches_y, percent: int):
+    """How many prefix shingles two sets that link must share, at least; works on arrays and on columns.
+
+    Of the two the one whose prefix ends first in the common order has all it shares with the other set
+    in both prefixes, but for what its own rest holds. So the shared prefix shingles and the longer rest
+    are no fewer than the intersection that a link needs; nor are they fewer than the smaller l.
+    """
+    column = not isinstance(n_x, np.ndarray)
+    low, high = (F.least, F.greatest) if column else (np.minimum, np.maximum)
+    ceiling = (lambda a, b: F.ceil(a / b)) if column else (lambda a, b: -(-a // b))
+    rest = high(ceiling(percent * n_x, 100) - matches_x, ceiling(percent * n_y, 100) - matches_y)
+    return high(low(matches_x, matches_y), ceiling(percent * (n_x + n_y), 100 + percent) - rest)
+
+
 def _comparable(rows: np.ndarray, n, root, bits, percent: int, side, home) -> tuple[np.ndarray, np.ndarray]:
     """Which members of a list each of ``rows`` can link with, in another component, and their sketches' distances.
 
@@ -245,20 +261,27 @@ def _visits(batches, percent: int):
     """(x, root, need): a member that can link with some of a larger component of its list.
 
     ``root`` and ``weight`` order components alike in all lists; ``need`` is the least number of
-    shared prefix shingles that any of these links asks for. Lists without sketches give a row a pair.
+    shared prefix shingles that any of these links asks for (see :func:`least_shared`). What a task's
+    lists say of one visit is put together before it is given out, with the number of lists.
     """
-    names = ["x", "root", "need"]
+    names = ["x", "root", "lists", "need"]
 
     def batch():
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
+        x, root, need = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((root, x))
+        x, root, need = x[order], root[order], need[order]
+        starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (root[1:] != root[:-1])))
+        lists = np.diff(np.append(starts, len(x)))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[starts], root[starts], lists, np.minimum.reduceat(need, starts).astype(np.int64))], names=names)
 
     parts, held = [], 0
     for columns in _runs(batches):
         for i, j in _short_pairs(columns, percent):
             if len(i):
-                _, _, node, matches, root, _, _, _, weight = columns
+                _, n, node, matches, root, _, _, _, weight = columns
+                need = least_shared(n[i].astype(np.int64), matches[i], n[j].astype(np.int64), matches[j], percent)
                 up = (weight[i] < weight[j]) | ((weight[i] == weight[j]) & (root[i] < root[j]))
-                parts.append((node[np.where(up, i, j)], root[np.where(up, j, i)], np.minimum(matches[i], matches[j])))
+                parts.append((node[np.where(up, i, j)], root[np.where(up, j, i)], need))
                 held += len(i)
         for _, (_, n, node, matches, root, _, side, home, weight), bits in _lists(columns):
             roots, first, number = np.unique(root, return_index=True, return_inverse=True)
@@ -270,12 +293,14 @@ def _visits(batches, percent: int):
             for rows in _steps(np.flatnonzero(order < len(roots) - 1), len(n)):
                 can, _ = _comparable(rows, n, root, bits, percent, side, home)
                 can &= order[rows][:, None] < order
-                need = np.where(can, np.minimum(matches[rows][:, None], matches), MOST_MATCHES + 1)[:, by]
+                never = np.iinfo(np.int64).max
+                asked = least_shared(n[rows][:, None].astype(np.int64), matches[rows][:, None], n.astype(np.int64), matches, percent)
+                need = np.where(can, asked, never)[:, by]
                 least = np.minimum.reduceat(need, begins, axis=1)  # a column a component
-                i, k = np.nonzero(least <= MOST_MATCHES)
-                parts.append((node[rows[i]], root[by[begins[k]]], least[i, k].astype(np.int32)))
+                i, k = np.nonzero(least < never)
+                parts.append((node[rows[i]], root[by[begins[k]]], least[i, k]))
                 held += len(i)
-        if held >= OUTPUT:
+        if held >= VISITS:
             yield batch()
             parts, held = [], 0
     if held:
@@ -433,7 +458,8 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     postings, postings_path = materialize(sorted_lists.mapInArrow(_postings, "token long, node long, n int, matches int, pivot long, pivot_n int, pivot_matches int, size int"), "postings")
 
     allowed = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
-    stars = postings.where((F.col("node") != F.col("pivot")) & allowed).groupBy(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"), F.least("matches", "pivot_matches").alias("need")).count()
+    need = least_shared(F.col("n"), F.col("matches"), F.col("pivot_n"), F.col("pivot_matches"), percent)
+    stars = postings.where((F.col("node") != F.col("pivot")) & allowed).groupBy(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"), need.alias("need")).count()
     stars, _ = materialize(stars.where("count >= need").select("x", "y"), "stars")
     checked = _verified(rows, classes, stars, size, percent)
     links = checked.where("linked").select("x", "y")
@@ -462,8 +488,8 @@ def near_copy_components(df: DataFrame, key: str = "doc_id", text: str = "text",
     weights = roots.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
     weighed = roots.join(weights, "root").select("node", F.col("root").alias("new"), "weight")
     again = mixed.join(weighed, "node", "left").select("token", "n", "node", "matches", F.coalesce("new", "node").alias("root"), "sketch", "side", "home", F.coalesce("weight", F.lit(1)).cast("long").alias("weight"))
-    visits = listed(again).mapInArrow(trimmed(lambda b: _visits(b, percent)), "x long, root long, need int")
-    visits = visits.groupBy("x", "root").agg(F.count(F.lit(1)).alias("lists"), F.min("need").alias("need"))
+    visits = listed(again).mapInArrow(trimmed(lambda b: _visits(b, percent)), "x long, root long, lists long, need long")
+    visits = visits.groupBy("x", "root").agg(F.sum("lists").alias("lists"), F.min("need").alias("need"))
     visits, visits_path = materialize(visits.where("lists >= need").select("x", "root"), "visits")
     if visits.limit(1).count():
         more = _links_of_visits(rows, classes, roots, visits, size, percent)

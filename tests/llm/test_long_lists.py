@@ -1,8 +1,8 @@
 """Long posting lists in pairs of blocks against all their pairs."""
 
 import random
-from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gleaner.llm import jaccard
@@ -19,15 +19,39 @@ def test_block_pairs_meet_once_and_stay_small(spark, monkeypatch):
     schema = "token long, n int, node long, matches int, root long, sketch binary, side int, home int"
     assert groups.select(*[x.split()[0] for x in schema.split(", ")]).schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
     dealt = groups.withColumn("weight", F.lit(1).cast("long")).repartition("token").sortWithinPartitions("token", "n", "node")
-    got = Counter(tuple(r) for r in dealt.mapInArrow(lambda b: jaccard._visits(b, 75), "x long, root long, need int").distinct().collect())
+    visits = dealt.mapInArrow(lambda b: jaccard._visits(b, 75), "x long, root long, lists long, need long")
+    got = {(r["x"], r["root"]): r["need"] for r in visits.groupBy("x", "root").agg(F.min("need").alias("need")).collect()}
     want = {}
     for a in rows:
         for b in rows:
             if a[0] == b[0] and a[4] < b[4] and 100 * min(a[1], b[1]) >= 75 * max(a[1], b[1]):
-                want.setdefault((a[2], b[4]), set()).add(min(a[3], b[3]))
-    assert {(x, root) for x, root, _ in got} == set(want)
-    assert all(need in want[x, root] for x, root, need in got)
-    assert all((x, root, min(needs)) in got for (x, root), needs in want.items())
+                rest = max(-(-75 * a[1] // 100) - a[3], -(-75 * b[1] // 100) - b[3])
+                need = max(min(a[3], b[3]), -(-75 * (a[1] + b[1]) // 175) - rest)
+                want[a[2], b[4]] = min(need, want.get((a[2], b[4]), need))
+    assert got == want
+    assert visits.count() < sum(len([b for b in rows if b[0] == a[0]]) for a in rows) / 2  # a task's lists are put together
+
+
+def test_links_share_as_many_prefix_shingles_as_is_asked(spark):
+    rnd = random.Random(11)
+    rank = np.array([rnd.random() for _ in range(400)])
+    asked = 0
+    for _ in range(3000):
+        base = rnd.sample(range(400), rnd.randint(4, 120))
+        sets = [set(base) - set(rnd.sample(base, rnd.randint(0, len(base) // 6))) | set(rnd.sample(range(400), rnd.randint(0, 8))) for _ in range(2)]
+        if 100 * len(sets[0] & sets[1]) < 75 * len(sets[0] | sets[1]):
+            continue
+        n, matches, prefixes = [], [], []
+        for x in sets:
+            l = rnd.randint(1, min(jaccard.MOST_MATCHES, -(-75 * len(x) // 100)))
+            size = len(x) - -(-75 * len(x) // 100) + l
+            n.append(np.array([len(x)]))
+            matches.append(np.array([l]))
+            prefixes.append(set(sorted(x, key=lambda t: rank[t])[:size]))
+        need = int(jaccard.least_shared(n[0], matches[0], n[1], matches[1], 75)[0])
+        assert len(prefixes[0] & prefixes[1]) >= need >= 1
+        asked += need > min(matches[0][0], matches[1][0])
+    assert asked > 100  # the bound asks for more than l often
 
 
 def test_mixed_lists_keep_all_that_can_link(spark):
