@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.functions.url import host
-from gleaner.operators import attribution, classify, evidence, filters, health, identity, incidents, processing
+from gleaner.operators import attribution, classify, delivery, evidence, filters, health, identity, incidents, messages, processing, versions
 from gleaner.plans.catalog import _HOST, _collapsed, _decoded
 from gleaner.plans.tables import AGGREGATORS, NOW, WORDS, page_titles, table
 from gleaner.sources import lists
@@ -377,3 +377,41 @@ def board_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", ref["provider"].alias("provider"), ref["token"].alias("token"), ref["posting_id"].alias("posting_id"), "basis", "board_source", attribution.ashby_board(F.col("apply_url")).alias("ashby"), attribution.lever_site(F.col("apply_url")).alias("lever"),
         reach.alias("reach"), attribution.verified(F.col("basis"), reach, key % 2 == 0)["alert_eligible"].alias("alert_eligible"),
     )
+
+
+_INDEXED = """with j as (select o_orderkey k, case o_orderkey % 3 when 0 then true when 1 then false end technical, o_orderstatus = 'O' as open, o_orderkey % 5 = 0 as baseline, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') d from orders),
+ w as (select *, case when coalesce(technical, true) and open then 'OPEN' end open_pk, case when coalesce(technical, true) and open then case when baseline then '1' else '3' end || '#' || d || '#' || k end open_sk,
+   case when coalesce(technical, true) and not open then 'CLOSED' end closed_pk, case when coalesce(technical, true) and not open then d || '#' || k end closed_sk from j),
+ s as (select *, case when k % 11 = 0 then 'OPEN' else open_pk end s_open, case when k % 13 = 0 then null else closed_sk end s_closed from w)"""
+
+
+@query(f"""{_INDEXED} select k o_orderkey, case when s_open is not distinct from open_pk and s_closed is not distinct from closed_sk then null when not coalesce(technical, true) then 'nontechnical' when open then 'openTechnical' else 'closedTechnical' end kind from s""")
+def index_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as jobs with index keys, some of which are broken here, and the kind of what does not match."""
+    key, c = F.col("o_orderkey"), F.col
+    technical, opened = F.when(key % 3 == 0, True).when(key % 3 == 1, False), c("o_orderstatus") == "O"
+    wanted = versions.index_keys(technical, opened, key % 5 == 0, c("o_orderdate"), c("o_orderdate"), key)
+    jobs = table(spark, sf_dir, "orders").withColumns(wanted)
+    broken = jobs.withColumns({"open_pk": F.when(key % 11 == 0, "OPEN").otherwise(c("open_pk")), "closed_sk": F.when(key % 13 == 0, None).otherwise(c("closed_sk"))})
+    return broken.select("o_orderkey", versions.index_mismatch(wanted, technical, opened).alias("kind"))
+
+
+@query("""with recursive a as (select o_custkey, o_orderkey, nth, length(o_orderpriority || ' · ' || o_orderkey || chr(10) || 'Source: ' || o_orderstatus) + 2 size from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) nth from orders) where nth between 6 and 10),
+ r as (select o_custkey, o_orderkey, nth, size::bigint as total, 0 chunk from a where nth = 6
+   union all select a.o_custkey, a.o_orderkey, a.nth, case when r.total + a.size > 80 then a.size else r.total + a.size end, case when r.total + a.size > 80 then r.chunk + 1 else r.chunk end from r join a on a.o_custkey = r.o_custkey and a.nth = r.nth + 1)
+ select o_custkey, o_orderkey, chunk::int chunk from r""")
+def summary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's alerts of each customer beyond those sent singly, in summaries of 80 letters; ten a run are the feature."""
+    buckets = delivery.alert_buckets(table(spark, sf_dir, "orders"), "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")]).where("bucket = 'chunk'")
+    body = messages.render("{priority} · {key}\n\nSource: {status}", {"priority": F.col("o_orderpriority"), "key": F.col("o_orderkey"), "status": F.col("o_orderstatus")})
+    return messages.summary_chunks(buckets.withColumn("body", body), "o_custkey", "nth", "o_orderkey", "body", 80)
+
+
+_SHORT = {"the": "T", "der": "D", "under": "U", "les": "L"}
+
+
+@query(r"""with t as (select page_id, trim(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<title>(.*?)</title>', 1), '[\r\n\t]+', ' ', 'g')) title from pages),
+ h as (select *, list_sort(list_filter([""" + ", ".join(f"case when contains(lower(title), '{k}') then {{'p': strpos(lower(title), '{k}')::int, 'l': {-len(k)}, 's': '{v}'}} end" for k, v in _SHORT.items()) + r"""], lambda x: x is not null)) hits from t)
+ select page_id, coalesce(hits[1].s, nullif(trim(regexp_replace(regexp_replace(regexp_replace(title, '(?i)\b(?:internship|intern|co-op)\b', '', 'g'), '[\s–—-]+$', ''), '\s{2,}', ' ', 'g')), ''), title) short from h""")
+def compact_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_titles(spark, sf_dir).select("page_id", messages.compact_title(F.col("title"), _SHORT).alias("short"))
