@@ -197,16 +197,6 @@ def earliest_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.earliest_publication(rows, "l_orderkey", "l_shipdate", "official", "l_returnflag").select("l_orderkey", F.date_format("published_at", "yyyy-MM-dd").alias("published_on"), "is_official")
 
 
-@query("""select c_nationkey, count(distinct c_custkey)::bigint companies, case when bool_or(s_suppkey is not null) then 'published' when bool_or(o_orderkey is not null) then 'observed' else 'candidate' end as state,
-  count(distinct o_orderkey)::bigint observations from customer left join orders on o_custkey = c_custkey left join (select s_nationkey, min(s_suppkey) s_suppkey from supplier where s_acctbal > 5000 group by 1) on s_nationkey = c_nationkey group by 1""")
-def coverage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
-    companies = table(spark, sf_dir, "customer").join(seen, "c_custkey", "left").groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("companies"), F.coalesce(F.sum("n"), F.lit(0)).alias("observations"))
-    published = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("c_nationkey"), F.lit(True).alias("published")).distinct()
-    out = companies.join(published, "c_nationkey", "left")
-    return out.select("c_nationkey", "companies", F.when(F.col("published"), "published").when(F.col("observations") > 0, "observed").otherwise("candidate").alias("state"), "observations")
-
-
 @query(f"""with a as (select distinct o_custkey id from orders where o_orderdate < timestamp '{CUT}'), b as (select distinct o_custkey id from orders where o_orderdate >= timestamp '{CUT}')
 select coalesce(a.id, b.id) as external_id, b.id is not null as present, case when b.id is null then 1 else 0 end::int as omissions, true as "open",
   case when a.id is null then 'new' when b.id is null then 'omitted' else 'present' end as change from a full join b on a.id = b.id""")

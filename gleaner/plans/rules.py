@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.functions.url import host
-from gleaner.operators import attribution, classify, delivery, evidence, filters, health, identity, incidents, messages, processing, versions
+from gleaner.operators import attribution, classify, coverage, delivery, evidence, filters, health, identity, incidents, messages, processing, versions
 from gleaner.plans.catalog import _HOST, _collapsed, _decoded
 from gleaner.plans.tables import AGGREGATORS, NOW, WORDS, page_titles, table
 from gleaner.sources import lists
@@ -415,3 +415,30 @@ _SHORT = {"the": "T", "der": "D", "under": "U", "les": "L"}
  select page_id, coalesce(hits[1].s, nullif(trim(regexp_replace(regexp_replace(regexp_replace(title, '(?i)\b(?:internship|intern|co-op)\b', '', 'g'), '[\s–—-]+$', ''), '\s{2,}', ' ', 'g')), ''), title) short from h""")
 def compact_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_titles(spark, sf_dir).select("page_id", messages.compact_title(F.col("title"), _SHORT).alias("short"))
+
+
+_COMPANY = "regexp_replace(trim(regexp_replace(replace(lower(name), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '( (co|inc|llc))+$', '')"
+
+
+@query(f"""with feeds as (select case c_custkey % 3 when 0 then c_mktsegment || ' ' || c_nationkey % 7 || ', Inc.' when 1 then '* ' || lower(c_mktsegment) || '-' || c_nationkey % 7 else c_mktsegment || ' & ' || c_nationkey % 7 || ' Co LLC' end name, o_orderstatus source_id, o_orderpriority season, null provider, null status, 1 listings
+   from orders join customer on c_custkey = o_custkey),
+ boards as (select case s_suppkey % 5 when 0 then 'Building ' when 1 then 'Machinery ' when 2 then 'Household ' when 3 then 'Other & ' else 'New ' end || s_nationkey % 7 name, 's' || s_suppkey source_id, null season, case when s_suppkey % 2 = 0 then 'lever' else 'ashby' end provider, case when s_acctbal > 5000 then 'published' else 'shadow' end status, 0 listings from supplier),
+ seeds as (select n_name || ' seed' name, null, null, null, null, 0 from nation),
+ k as (select *, {_COMPANY} k from (select * from feeds union all select * from boards union all select * from seeds)),
+ c as (select *, replace(case k when 'building 1' then 'household 1' when 'machinery 1' then 'household 1' else k end, ' ', '-') company_id from k)
+ select company_id, case when bool_or(coalesce(status = 'published', false)) then 'direct-published' when bool_or(coalesce(status = 'shadow', false)) then 'direct-shadow' when sum(listings) > 0 then 'feed-observed' else 'candidate-only' end state, sum(listings)::bigint listings,
+   array_to_string(list_sort(list_distinct(coalesce(list(source_id) filter (listings > 0), []))), ',') source_ids, array_to_string(list_sort(list_distinct(coalesce(list(season) filter (listings > 0), []))), ',') seasons, count(distinct trim(name))::int n_names,
+   array_to_string(list_sort(list_distinct(coalesce(list(provider || ':' || source_id || ':' || status) filter (provider is not null), []))), ',') direct_sources from c group by 1""")
+def coverage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies over orders as feeds, suppliers as boards and nations as seeds; three names lead to one by two aliases."""
+    c, key, nation = F.col, F.col("c_custkey"), F.col("c_nationkey") % 7
+    name = F.when(key % 3 == 0, F.concat("c_mktsegment", F.lit(" "), nation, F.lit(", Inc."))).when(key % 3 == 1, F.concat(F.lit("* "), F.lower("c_mktsegment"), F.lit("-"), nation)).otherwise(F.concat("c_mktsegment", F.lit(" & "), nation, F.lit(" Co LLC")))
+    customers = table(spark, sf_dir, "customer").select(key.alias("o_custkey"), name.alias("name"))
+    feeds = table(spark, sf_dir, "orders").join(customers, "o_custkey").select("name", c("o_orderstatus").alias("source_id"), c("o_orderpriority").alias("season"), F.lit(1).alias("listings"))
+    kind = F.get(F.array(*map(F.lit, ("Building ", "Machinery ", "Household ", "Other & ", "New "))), (c("s_suppkey") % 5).cast("int"))
+    boards = table(spark, sf_dir, "supplier").select(F.concat(kind, c("s_nationkey") % 7).alias("name"), F.concat(F.lit("s"), "s_suppkey").alias("source_id"), F.when(c("s_suppkey") % 2 == 0, "lever").otherwise("ashby").alias("provider"), F.when(c("s_acctbal") > 5000, "published").otherwise("shadow").alias("status"))
+    seeds = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(" seed")).alias("name"), F.lit(True).alias("seed"))
+    aliases = spark.createDataFrame([("BUILDING 1", "Machinery, 1"), ("machinery 1", "Household 1 Inc")], "alias string, name string")
+    out = coverage.company_coverage(coverage.observations(feeds, boards, seeds), aliases)
+    joined = lambda n: F.coalesce(F.array_join(n, ","), F.lit("")).alias(n)
+    return out.select("company_id", "state", "listings", joined("source_ids"), joined("seasons"), F.size("names").alias("n_names"), joined("direct_sources"))
