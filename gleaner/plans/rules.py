@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.functions.url import host
-from gleaner.operators import attribution, classify, coverage, delivery, evidence, filters, health, identity, incidents, messages, processing, versions
+from gleaner.operators import attribution, classify, coverage, delivery, evidence, filters, health, identity, incidents, messages, processing, promotion, versions
 from gleaner.plans.catalog import _HOST, _collapsed, _decoded
 from gleaner.plans.tables import AGGREGATORS, NOW, WORDS, page_titles, table
 from gleaner.sources import lists
@@ -442,3 +442,38 @@ def coverage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = coverage.company_coverage(coverage.observations(feeds, boards, seeds), aliases)
     joined = lambda n: F.coalesce(F.array_join(n, ","), F.lit("")).alias(n)
     return out.select("company_id", "state", "listings", joined("source_ids"), joined("seasons"), F.size("names").alias("n_names"), joined("direct_sources"))
+
+
+_NOW_SECONDS = 883612800  # 1998-01-01
+
+
+@query(f"""with snaps as (select o_custkey k, 'r' || o_orderkey % 50 run, floor(epoch(o_orderdate))::bigint done, o_orderkey o, o_orderkey % 7 eligible, o_orderkey % 9 withheld, o_orderkey % 10 + 5 raw, o_orderkey % 7 + case when o_orderkey % 23 = 0 then 1 else 0 end checked, o_orderkey % 3 failed, o_orderpriority p from orders),
+ told as (select k, run, list_filter([case when p = '5-LOW' then 'not-succeeded' end, case when o % 17 = 0 then 'not-complete' end, case when o % 19 = 0 then 'identity-unverified' end, case when o % 29 = 0 then 'schema-invalid' end, case when eligible + withheld > raw then 'more-rows-than-raw' end,
+   case when checked <> eligible then 'links-not-checked-once' end, case when failed > checked then 'more-failures-than-links' end, case when checked > 0 and failed > 0.2 * checked then 'link-failure-rate' end], lambda x: x is not null) b, done from snaps),
+ sums as (select k, count(*) n, count(distinct run) n_runs, min(done) f, max(done) l, list_sort(flatten(list(list_transform(b, lambda x: run || ': ' || x)))) told from told group by 1),
+ src as (select c_custkey k, c_custkey % 3 > 0 published, c_custkey % 10 < 9 given, case when c_custkey % 7 > 0 then 'owner' else ' ' end who, case when c_custkey % 5 > 0 then {_NOW_SECONDS} - 86400 * (c_custkey % 400 - 20) end approved, c_custkey % 4 = 0 as has,
+   case when c_custkey % 8 > 0 then 'late' else '' end reason from customer),
+ x as (select *, case when has and k % 12 > 0 then coalesce(approved, {_NOW_SECONDS}) + 86400 * (k % 600 - 20) end until from src),
+ y as (select x.*, coalesce(n, 0) n, n_runs, f, l, told, has and until is not null and not coalesce(until <= approved, false) and until > {_NOW_SECONDS} as active from x left join sums using (k)),
+ h as (select *, list_filter([case when trim(who) = '' then 'no-approver' end, case when approved is null then 'approval-time-invalid' end, case when approved > {_NOW_SECONDS} + 300 then 'approved-in-future' end, case when k % 11 = 0 then 'baseline-not-approved' end, case when k % 13 = 0 then 'identity-not-stable' end, case when k % 17 = 0 then 'hosts-not-stable' end,
+   case when has and reason = '' then 'override-without-reason' end, case when has and until is null then 'override-time-invalid' end, case when has and until <= approved then 'override-before-approval' end, case when has and not coalesce(until <= approved, false) and until <= {_NOW_SECONDS} then 'override-overdue' end,
+   case when n < case when active then 1 else 3 end then 'too-few-snapshots' end], lambda v: v is not null) head from y)
+ select 's' || k source_id, array_to_string(case when not published then []::varchar[] when not given then ['no-evidence'] when list_contains(head, 'too-few-snapshots') then head else list_concat(head, list_filter([case when not active and l - f < 86400 then 'span-too-short' end,
+   case when l > {_NOW_SECONDS} + 300 then 'snapshot-in-future' end, case when approved < l then 'approved-before-snapshot' end, case when n_runs < n then 'runs-not-unique' end], lambda v: v is not null), told) end, ',') violations from h""")
+def promotion_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sources with evidence, their orders as its snapshots; every rule is broken by some."""
+    c, k, o, now = F.col, F.col("c_custkey"), F.col("o_orderkey"), _NOW_SECONDS
+    name = F.concat(F.lit("s"), k)
+    approved = F.when(k % 5 > 0, F.lit(now) - 86400 * (k % 400 - 20))
+    has = k % 4 == 0
+    customers = table(spark, sf_dir, "customer")
+    sources = customers.select(name.alias("source_id"), F.when(k % 3 > 0, "published").otherwise("shadow").alias("status"))
+    promotions = customers.where(k % 10 < 9).select(
+        name.alias("source_id"), F.when(k % 7 > 0, "owner").otherwise(" ").alias("approved_by"), approved.alias("approved_at"), (k % 11 > 0).alias("quiet_baseline"), (k % 13 > 0).alias("stable_identity"), (k % 17 > 0).alias("stable_hosts"),
+        F.when(has, F.when(k % 8 > 0, "late").otherwise("")).alias("override_reason"), F.when(has & (k % 12 > 0), F.coalesce(approved, F.lit(now)) + 86400 * (k % 600 - 20)).alias("override_until"),
+    )
+    snapshots = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("s"), "o_custkey").alias("source_id"), F.concat(F.lit("r"), o % 50).alias("run_id"), health.epoch_seconds("o_orderdate").alias("completed_at"), (c("o_orderpriority") != "5-LOW").alias("succeeded"), (o % 17 > 0).alias("complete"), (o % 19 > 0).alias("identity_verified"), (o % 29 > 0).alias("schema_valid"),
+        (o % 10 + 5).alias("raw_rows"), (o % 7).alias("eligible_rows"), (o % 9).alias("withheld_rows"), (o % 7 + F.when(o % 23 == 0, 1).otherwise(0)).alias("links_checked"), (o % 3).alias("link_failures"),
+    )
+    return promotion.promotion_violations(sources, promotions, snapshots, now).select("source_id", F.array_join("violations", ",").alias("violations"))
