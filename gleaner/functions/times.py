@@ -29,3 +29,27 @@ def freshness_label(seconds: Column, at: Column) -> Column:
         F.when(at.isNull() | seconds.isNull(), "Confirmation time unavailable").when(days == 0, "Confirmed today").when(days == 1, "Confirmed yesterday")
         .when(days < 7, F.concat(F.lit("Confirmed "), days.cast("string"), F.lit(" days ago"))).otherwise(F.concat(F.lit("Confirmed "), posting_date(at)))
     )
+
+
+#: Dates, and times with a zone, as sources must write them.
+_ABSOLUTE = r"^\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2}))?$"
+_PUBLISHED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
+_HTTP_DATE = "EEE, dd MMM yyyy HH:mm:ss z"
+
+
+def absolute_time(text: Column) -> Column:
+    """The text if it is a date, or a time with a zone, of the calendar; else null."""
+    return F.when(text.rlike(_ABSOLUTE) & F.try_to_timestamp(text).isNotNull(), text)
+
+
+def is_published_time(text: Column) -> Column:
+    """Whether a text is a time with a zone, of the calendar and the clock."""
+    return F.coalesce(text.rlike(_PUBLISHED) & F.try_to_timestamp(text).isNotNull(), F.lit(False))
+
+
+def retry_after_seconds(header: Column, now: Column) -> Column:
+    """Seconds of a Retry-After header: a number, or how long until a date (0 if it is past); null for anything else."""
+    value = F.trim(header)
+    number = F.when(value.rlike(r"^\d+(?:\.\d+)?$"), value.cast("double"))
+    date = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(value, "^[A-Za-z]{3}, ", ""), F.lit(_HTTP_DATE.split(", ")[1])))
+    return F.coalesce(number, F.when(date.isNotNull(), F.greatest(date - now, F.lit(0)).cast("double")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans import activity, catalog, operations, registries, rules
+from gleaner.plans import activity, catalog, desk, operations, registries, rules
 
-QUERIES: dict = catalog.QUERIES | activity.QUERIES | operations.QUERIES | rules.QUERIES | registries.QUERIES
-SQL: dict[str, str] = catalog.SQL | activity.SQL | operations.SQL | rules.SQL | registries.SQL
+QUERIES: dict = catalog.QUERIES | activity.QUERIES | operations.QUERIES | rules.QUERIES | registries.QUERIES | desk.QUERIES
+SQL: dict[str, str] = catalog.SQL | activity.SQL | operations.SQL | rules.SQL | registries.SQL | desk.SQL
