@@ -63,14 +63,13 @@ def _blank(text: Column) -> Column:
     return F.trim(F.coalesce(text, F.lit(""))) == ""
 
 
-def evidence_rules() -> dict[str, Column]:
-    """What a row of ``EVIDENCE`` breaks by itself."""
-    c = F.col
-    careers, page = _https_host(c("careers_url")), _https_host(c("page_url"))
+def evidence_rules(c=F.col, careers: Column | None = None, page: Column | None = None, job_host: Column | None = None) -> dict[str, Column]:
+    """What a row of ``EVIDENCE`` breaks by itself; ``c`` gives its columns by name. The hosts of its three addresses can be given as columns."""
+    careers, page, job_host = (_https_host(c(name)) if h is None else h for name, h in (("careers_url", careers), ("page_url", page), ("job_url", job_host)))
     told = ~_blank(c("excerpt"))
-    job_host = _https_host(c("job_url"))
-    posting = F.regexp_like(path_of(c("job_url")), F.concat(F.lit("^/"), quoted(F.coalesce("board", F.lit(""))), F.lit("/[^/]+(?:/apply)?/?$")))
-    outside = F.exists(F.coalesce("hosts", F.array().cast("array<string>")), lambda h: F.lower(h) != LEVER_HOST)
+    posting = F.regexp_like(path_of(c("job_url")), F.concat(F.lit("^/"), quoted(F.coalesce(c("board"), F.lit(""))), F.lit("/[^/]+(?:/apply)?/?$")))
+    hosts = F.coalesce(c("hosts"), F.array().cast("array<string>"))
+    outside = F.exists(hosts, lambda h: F.lower(h) != LEVER_HOST)
     return {
         "board-invalid": ~F.coalesce(c("board").rlike(SITE), F.lit(False)),
         "state-unknown": ~F.coalesce(c("state").isin(*STATES), F.lit(False)),
@@ -81,12 +80,22 @@ def evidence_rules() -> dict[str, Column]:
         "page-not-https": page.isNull(), "page-foreign": host_allowed(page, FOREIGN_HOSTS),
         "page-of-other-domain": registrable_domain(careers, TWO_LABELS) != registrable_domain(page, TWO_LABELS),
         "no-excerpt": ~told & (c("state") == ADMISSIBLE), "neither-excerpt-nor-notes": ~told & ~F.coalesce(c("state") == ADMISSIBLE, F.lit(False)) & _blank(c("notes")),
-        "excerpt-too-long": told & (F.length("excerpt") > EXCERPT), "excerpt-without-board": told & (F.length("excerpt") <= EXCERPT) & ~names_board(c("excerpt"), c("board")),
+        "excerpt-too-long": told & (F.length(c("excerpt")) > EXCERPT), "excerpt-without-board": told & (F.length(c("excerpt")) <= EXCERPT) & ~names_board(c("excerpt"), c("board")),
         "job-not-https": job_host.isNull(), "job-on-other-host": job_host != LEVER_HOST, "job-not-on-board": (job_host == LEVER_HOST) & ~posting,
-        "no-hosts": F.size(F.coalesce("hosts", F.array().cast("array<string>"))) == 0, "hosts-outside": outside & ~F.coalesce(c("state") == "custom-host-review", F.lit(False)),
+        "no-hosts": F.size(hosts) == 0, "hosts-outside": outside & ~F.coalesce(c("state") == "custom-host-review", F.lit(False)),
     }
 
 
+def with_broken(rows: DataFrame, c=F.col) -> DataFrame:
+    """``rows`` with ``_rules``: what the evidence whose columns ``c`` names breaks, ``evidence-malformed`` alone if it cannot be read.
+
+    The hosts are columns of their own, so that an address is taken apart once and not in each rule.
+    """
+    hosts = {"_careers": _https_host(c("careers_url")), "_page": _https_host(c("page_url")), "_job": _https_host(c("job_url"))}
+    rules = broken(evidence_rules(c, *map(F.col, hosts)))
+    return rows.withColumns(hosts).withColumn("_rules", F.when(F.coalesce(c("malformed"), F.lit(False)), F.array(F.lit("evidence-malformed"))).otherwise(rules)).drop(*hosts)
+
+
 def _probe_rules(board: Column, clean: Column) -> tuple[Column, dict[str, Column], dict[str, Column]]:
     """Whether a probe can be read, what it breaks, and what it breaks besides if it must be clean and is ok."""
     c = F.col
@@ -114,15 +123,16 @@ def manifest_violations(registry: DataFrame, evidence: DataFrame, probes: DataFr
     are told; ``evidence_status`` ``legacy-review`` needs no evidence. A folder that waits for admission must be well-formed too.
     """
     c, none = F.col, F.array().cast("array<string>")
-    rules = F.when(F.coalesce("malformed", F.lit(False)), F.array(F.lit("evidence-malformed"))).otherwise(broken(evidence_rules()))
-    seen = evidence.withColumn("rules", rules).groupBy("folder").agg(F.min(F.struct(*EVIDENCE_COLUMNS[1:], "rules")).alias("evidence")).withColumnRenamed("folder", "_folder")
+    # Rules are told where a folder's row has met its board, so by the tasks of the join and once for a folder.
+    seen = evidence.groupBy("folder").agg(F.min(F.struct(*EVIDENCE_COLUMNS[1:])).alias("evidence")).withColumnRenamed("folder", "_folder")
     probed = probes.groupBy("folder").agg(F.min(F.struct(*(x for x in probes.columns if x != "folder"))).alias("probe")).withColumnRenamed("folder", "_probed")
-    both = seen.join(probed, c("_folder") == c("_probed"), "left").withColumns({"_bad": F.coalesce("evidence.malformed", F.lit(False)), "_rules": c("evidence.rules")})
+    both = seen.join(probed, c("_folder") == c("_probed"), "left").withColumn("_bad", F.coalesce("evidence.malformed", F.lit(False)))
+    told = lambda df: with_broken(df, lambda name: c(f"evidence.{name}"))
 
     ids = registry.groupBy("source_id").agg(F.min("position").alias("_first"))
     boards = registry.groupBy("board").agg(F.min("position").alias("_first_board"))
     policy = policies.groupBy("source_id").agg(F.min(F.struct("source_class", "board")).alias("policy"))
-    rows = registry.join(ids, "source_id").join(boards, "board", "left").join(policy, "source_id", "left").join(both, c("board") == c("_folder"), "left")
+    rows = told(registry.join(ids, "source_id").join(boards, "board", "left").join(policy, "source_id", "left").join(both, c("board") == c("_folder"), "left"))
     age = F.floor((F.lit(now) - c("admitted_at")) / 86400)
     differs = lambda a, b: ~c(a).eqNullSafe(c(b))
     head = {
@@ -144,7 +154,7 @@ def manifest_violations(registry: DataFrame, evidence: DataFrame, probes: DataFr
 
     of_policies = policies.where(c("source_class") == namespace).join(registry, "source_id", "left_anti").select(c("source_id").alias("subject"), F.array(F.lit("policy-without-source")).alias("violations"))
     claimed = registry.select(c("board").alias("_board")).distinct()
-    free = both.join(claimed, c("_folder") == c("_board"), "left_anti")
+    free = told(both.join(claimed, c("_folder") == c("_board"), "left_anti"))
     clean = F.coalesce(c("evidence.state") == ADMISSIBLE, F.lit(False))
     waiting = F.when(c("_bad"), c("_rules")).otherwise(F.concat(broken({"other-folder": ~c("evidence.board").eqNullSafe(c("_folder"))}), c("_rules"), _probe_violations(c("_folder"), clean)))
     bare = probed.join(seen, c("_probed") == c("_folder"), "left_anti").join(claimed, c("_probed") == c("_board"), "left_anti")

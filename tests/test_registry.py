@@ -163,3 +163,19 @@ def test_search_backfill(jobs):
     assert migrations.backfill_search(jobs) == 6 and migrations.backfill_search(jobs) == 0
     row = jobs.read().where("job = 'a'").first()
     assert row["search_text"] == "a b c" and row["classes"] == ["all", "direct", "community", "corroborated"]
+
+
+def addresses_taken_apart(df) -> int:
+    """How often the plan takes an address apart."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("^(?i)(https?)://")
+
+
+def built(spark, schema, **changed):
+    """An empty table of ``schema`` whose columns are computed, as a query computes them."""
+    return frame(spark, schema).select(*(F.concat(F.col(n), F.lit("")).alias(n) if t == "string" else F.col(n) for n, t in (x.split() for x in schema.split(", "))))
+
+
+def test_violations_take_each_address_apart_once(spark):
+    rows, proofs, probes, policies = (built(spark, s) for s in (registry.REGISTRY, registry.EVIDENCE, registry.PROBE, registry.POLICY))
+    # Three addresses of five patterns and the path of one, for rows and for folders that wait.
+    assert 0 < addresses_taken_apart(registry.manifest_violations(rows, proofs, probes, policies, NOW)) <= 40
