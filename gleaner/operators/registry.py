@@ -176,8 +176,10 @@ def manifest_summary(registry: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def pending_admission(registry: DataFrame, evidence: DataFrame) -> DataFrame:
     """Folders with evidence that admits a board and no registry row: the rows that they would become, as shadow."""
-    good = evidence.where(~F.coalesce("malformed", F.lit(False)) & (F.col("state") == ADMISSIBLE) & (F.size(broken(evidence_rules())) == 0))
-    found = good.join(registry.select(F.col("board").alias("_b")).distinct(), F.col("folder") == F.col("_b"), "left_anti")
+    good = evidence.where(~F.coalesce("malformed", F.lit(False)) & (F.col("state") == ADMISSIBLE))
+    free = good.join(registry.select(F.col("board").alias("_b")).distinct(), F.col("folder") == F.col("_b"), "left_anti").repartition("folder")
+    # A filter on the rules would be moved to where rows are read, with every column written out in each rule; a generator stays here.
+    found = with_broken(free).select("*", F.explode(F.when(F.size("_rules") == 0, F.array(F.lit(True)))).alias("_whole"))
     return found.select(F.concat(F.lit("lever-"), "board").alias("source_id"), "board", "company", "careers_url", F.col("verified_at").alias("admitted_at"), "region", F.lit("shadow").alias("status"), F.lit("agent-verified").alias("evidence_status"))
 
 
@@ -189,11 +191,11 @@ def recheck(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     aside), ``link-only`` (it names the board but in other words) or ``missing``.
     """
     c = F.col
-    told = evidence.select("folder", "board", "page_url", "excerpt", F.size(broken(evidence_rules())).alias("_n"), F.coalesce("malformed", F.lit(False)).alias("_m"))
+    told = with_broken(evidence).select("folder", "board", "page_url", "excerpt", F.size("_rules").alias("_n"))
     now = pages.groupBy("page_url").agg(F.min_by(F.struct("status", "html"), F.struct("status", F.xxhash64("html"))).alias("_page"))
     both = told.join(now, "page_url", "left")
     page = collapse(F.coalesce("_page.html", F.lit("")))
-    state = F.when(c("_m") | (c("_n") > 0), "malformed-record").when(c("_page.status").isNull(), "transport-error").when(~c("_page.status").between(200, 299), "http-error").otherwise("ok")
+    state = F.when(c("_n") > 0, "malformed-record").when(c("_page.status").isNull(), "transport-error").when(~c("_page.status").between(200, 299), "http-error").otherwise("ok")
     fidelity = F.when(~names_board(page, c("board")), "missing").when(F.contains(page, collapse(F.coalesce("excerpt", F.lit("")))), "exact").otherwise("link-only")
     out = both.withColumn("state", state).withColumn("fidelity", F.when(c("state") == "ok", fidelity))
     return out.select("folder", "state", "fidelity", (c("fidelity") != "missing").alias("still_proven"))

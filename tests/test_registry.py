@@ -179,3 +179,8 @@ def test_violations_take_each_address_apart_once(spark):
     rows, proofs, probes, policies = (built(spark, s) for s in (registry.REGISTRY, registry.EVIDENCE, registry.PROBE, registry.POLICY))
     # Three addresses of five patterns and the path of one, for rows and for folders that wait.
     assert 0 < addresses_taken_apart(registry.manifest_violations(rows, proofs, probes, policies, NOW)) <= 40
+
+
+def test_waiting_folders_take_each_address_apart_once(spark):
+    rows, proofs = built(spark, registry.REGISTRY), built(spark, registry.EVIDENCE)
+    assert 0 < addresses_taken_apart(registry.pending_admission(rows, proofs)) <= 20
