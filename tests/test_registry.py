@@ -184,3 +184,4 @@ def test_violations_take_each_address_apart_once(spark):
 def test_waiting_folders_take_each_address_apart_once(spark):
     rows, proofs = built(spark, registry.REGISTRY), built(spark, registry.EVIDENCE)
     assert 0 < addresses_taken_apart(registry.pending_admission(rows, proofs)) <= 20
+    assert 0 < addresses_taken_apart(registry.manifest_summary(rows, proofs)) <= 20
