@@ -30,6 +30,11 @@ def resolve(listings: DataFrame, stored: DataFrame, keys: list[str], value: str)
     return out.withColumns({value: found, "matched_by": matched}).drop(*(f"_{k}" for k in keys), *(f"_by_{k}" for k in keys))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the rows: both sides are shuffled, so that it never passes through the driver."""
+    return df.hint("merge")
+
+
 def same_items(df: DataFrame, key: str, links: list[str], edges: DataFrame | None = None, most_rounds: int = 100) -> DataFrame:
     """(key, root): rows that agree on one of ``links``, or that ``edges`` (two columns of keys) join, directly or
     through others, have one root, the smallest key among them. A null link links nothing.
@@ -48,13 +53,13 @@ def same_items(df: DataFrame, key: str, links: list[str], edges: DataFrame | Non
         member = member.unionByName(x)
     # Links of one row join nothing.
     shared = member.groupBy("_link", "_name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    member, member_path = store(member.join(shared, ["_link", "_name"], "left_semi").distinct(), "members")
+    member, member_path = store(member.join(_dealt(shared), ["_link", "_name"], "left_semi").distinct(), "members")
     now, path = store(member.select(key).distinct().withColumn("root", F.col(key)), "roots")
     for _ in range(most_rounds):
-        by_link = member.join(now, key).groupBy("_link", "_name").agg(F.min("root").alias("_least"))
-        least = member.join(by_link, ["_link", "_name"]).groupBy(key).agg(F.min("_least").alias("_least"))
+        by_link = member.join(_dealt(now), key).groupBy("_link", "_name").agg(F.min("root").alias("_least"))
+        least = member.join(_dealt(by_link), ["_link", "_name"]).groupBy(key).agg(F.min("_least").alias("_least"))
         jump = now.select(F.col(key).alias("_key"), F.col("root").alias("_jump"))
-        next_ = now.join(least, key).withColumn("_low", F.least("root", "_least")).join(jump, F.col("_low") == F.col("_key"), "left")
+        next_ = now.join(_dealt(least), key).withColumn("_low", F.least("root", "_least")).join(_dealt(jump), F.col("_low") == F.col("_key"), "left")
         root = F.least("_low", F.coalesce("_jump", "_low"))
         after, after_path = store(next_.select(key, root.alias("root"), (root < F.col("root")).alias("fell")), "roots")
         fell = after.where("fell").limit(1).count()
@@ -62,7 +67,7 @@ def same_items(df: DataFrame, key: str, links: list[str], edges: DataFrame | Non
         now, path = after.drop("fell"), after_path
         if not fell:
             drop(spark, member_path)
-            return rows.select(key).join(now, key, "left").select(key, F.coalesce("root", key).alias("root"))
+            return rows.select(key).join(_dealt(now), key, "left").select(key, F.coalesce("root", key).alias("root"))
     raise RuntimeError(f"roots did not settle in {most_rounds} rounds")
 
 
@@ -80,20 +85,20 @@ def role_links(df: DataFrame, key: str, company: str, season: str, title: str, r
     word = titles.select("c", "s", "t", F.explode("words").alias("w"))
     rare = word.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     ordered = word.join(rare, "w").groupBy("c", "s", "t").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
-    titles, path = store(titles.join(ordered.select("c", "s", "t", F.transform("ws", lambda x: x["w"]).alias("rarest")), ["c", "s", "t"]), "titles")
+    titles, path = store(titles.join(_dealt(ordered.select("c", "s", "t", F.transform("ws", lambda x: x["w"]).alias("rarest"))), ["c", "s", "t"]), "titles")
     size = F.size("rarest")
     prefix = F.slice("rarest", F.lit(1), size - F.ceil(size * least).cast("int") + 1)
     asks, base = titles.where("asks is not null"), ["c", "s"]
     whole = lambda d, words, name: d.select(*base, F.col("t").alias(name), F.size("rarest").alias(f"{name}_n"), F.explode(words).alias("w"))
-    pairs = whole(asks, prefix, "a").join(whole(titles, F.col("rarest"), "b"), [*base, "w"]).where("a_n <= b_n").select(*base, "a", "b")
-    pairs = pairs.unionByName(whole(asks, F.col("rarest"), "a").join(whole(titles, prefix, "b"), [*base, "w"]).where("a_n > b_n").select(*base, "a", "b"))
+    pairs = whole(asks, prefix, "a").join(_dealt(whole(titles, F.col("rarest"), "b")), [*base, "w"]).where("a_n <= b_n").select(*base, "a", "b")
+    pairs = pairs.unionByName(whole(asks, F.col("rarest"), "a").join(_dealt(whole(titles, prefix, "b")), [*base, "w"]).where("a_n > b_n").select(*base, "a", "b"))
     longer = lambda d, name: d.select(*base, F.col("t").alias(name), F.explode(heads(F.col("t"))).alias("h"))
     shorter = lambda d, name: d.select(*base, F.col("t").alias(name), own_head(F.col("t")).alias("h"))
-    pairs = pairs.unionByName(longer(asks, "a").join(shorter(titles, "b"), [*base, "h"]).select(*base, "a", "b")).unionByName(shorter(asks, "a").join(longer(titles, "b"), [*base, "h"]).select(*base, "a", "b"))
+    pairs = pairs.unionByName(longer(asks, "a").join(_dealt(shorter(titles, "b")), [*base, "h"]).select(*base, "a", "b")).unionByName(shorter(asks, "a").join(_dealt(longer(titles, "b")), [*base, "h"]).select(*base, "a", "b"))
     wa, wb = F.array_distinct(F.split("a", " ")), F.array_distinct(F.split("b", " "))
     same = F.startswith("a", F.col("b")) | F.startswith("b", F.col("a")) | (overlap(wa, wb) >= least)
-    found = pairs.distinct().where(same).join(titles.select(*base, F.col("t").alias("b"), "first"), [*base, "b"]).groupBy(*base, "a").agg(F.min("first").alias("other"))
-    return rows.where("r").join(found.withColumnRenamed("a", "t"), [*base, "t"]).where("other < k").select(F.col("k").alias(key), "other")
+    found = pairs.distinct().where(same).join(_dealt(titles.select(*base, F.col("t").alias("b"), "first")), [*base, "b"]).groupBy(*base, "a").agg(F.min("first").alias("other"))
+    return rows.where("r").join(_dealt(found.withColumnRenamed("a", "t")), [*base, "t"]).where("other < k").select(F.col("k").alias(key), "other")
 
 
 def merge_listings(stored: DataFrame, listings: DataFrame, now: str) -> DataFrame:

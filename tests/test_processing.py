@@ -119,3 +119,11 @@ def test_gone_jobs_are_quarantined(spark):
     checks = spark.createDataFrame([("u1", "gone"), ("u1", "gone"), ("u2", "unreachable")], "url string, reachability string")
     got = sorted((r["job"], r["open"], r["invalid_url"], r["pending"]) for r in attribution.quarantine_gone(jobs, checks, "url", "job").collect())
     assert got == [(1, False, "u1", False), (2, True, None, True), (3, True, None, True), (4, False, None, False)]
+
+
+def test_identity_joins_send_no_table_through_the_driver(spark):
+    df = spark.createDataFrame([(k, "a", "s", f"red bolt {k % 3}", k % 2 == 0, f"u{k % 2}") for k in range(6)], "k long, company string, season string, title string, repaired boolean, url string")
+    links = identity.role_links(df, "k", "company", "season", "title", "repaired")
+    for out in (links, identity.same_items(df, "k", ["url"], links)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
