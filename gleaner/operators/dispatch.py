@@ -9,6 +9,8 @@ from gleaner.operators.health import due
 
 #: Windows of half an hour over which shadow sources are spread.
 WINDOWS = 6
+#: Rows that one task sorts, about: what a task holds must not grow with the tables.
+TASK_ROWS = 1_000_000
 
 
 def due_sources(sources: DataFrame, checkpoints: DataFrame, health: DataFrame, now: int) -> DataFrame:
@@ -32,9 +34,15 @@ def due_sources(sources: DataFrame, checkpoints: DataFrame, health: DataFrame, n
 
 
 def split_writes(jobs: DataFrame, notifications: DataFrame, key: str, event: str = "event_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(quiet, alerting, orphaned): jobs without a notification, jobs each with its last notification by ``event``, notifications without a job."""
+    """(quiet, alerting, orphaned): jobs without a notification, jobs each with its last notification by ``event``, notifications without a job.
+
+    Rows are counted first, and both tables dealt by key once over so many tasks that each has about ``TASK_ROWS``.
+    """
+    tasks = max(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(jobs.count() + notifications.count()) // TASK_ROWS))
+    jobs, notifications = jobs.repartition(tasks, key), notifications.repartition(tasks, key)
     last = notifications.groupBy(key).agg(F.max_by(F.struct(*(c for c in notifications.columns if c != key)), event).alias("notification"))
-    return jobs.join(last, key, "left_anti"), jobs.join(last, key), notifications.join(jobs.select(key).distinct(), key, "left_anti")
+    merged = lambda df: df.hint("merge")
+    return jobs.join(merged(notifications.select(key)), key, "left_anti"), jobs.join(merged(last), key), notifications.join(merged(jobs.select(key)), key, "left_anti")
 
 
 def checklists(items: DataFrame, completions: DataFrame, period: str = "period", item: str = "item") -> DataFrame:

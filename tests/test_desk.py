@@ -105,3 +105,12 @@ def test_posting_times(spark):
     assert {r[0]: tuple(r)[1:] for r in timing.source_text(refs, "job").collect()} == {
         "a": ("Official employer source · Lever + Ashby", "Also corroborated by a community listing"), "b": ("Official employer source · Lever + Ashby", "Also corroborated by a community listing"), "c": ("Official employer source · Lever", None), "e": ("Community listing", None),
     }
+
+
+def test_split_writes_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(dispatch, "TASK_ROWS", 10, raising=False)
+    jobs = spark.range(600).withColumnRenamed("id", "job")
+    notes = spark.range(400).selectExpr("2 * id job", "id event_id")
+    quiet, alerting, orphaned = dispatch.split_writes(jobs, notes, "job")
+    assert (quiet.count(), alerting.count(), orphaned.count()) == (300, 300, 100)
+    assert all(df.rdd.getNumPartitions() >= 100 for df in (quiet, alerting, orphaned))
