@@ -95,3 +95,21 @@ def test_ages(spark):
     for seconds, age, label in cases:
         got = spark.range(1).select(times.compact_age(F.lit(seconds), at), times.freshness_label(F.lit(seconds), at)).first()
         assert tuple(got) == (age, label)
+
+
+def test_fan_out_gives_the_alerts_and_joins_no_pairs_with_receipts(spark):
+    names = [x.split()[0] for x in filters.FILTER.split(", ")]
+    jobs = spark.createDataFrame([(1, "ml robot intern", ["ai-ml"], "normal"), (2, "ai c intern", ["ai-ml"], "startup"), (3, "cook", [], "normal")], "job int, value string, categories array<string>, employer string")
+    wanted = {"a": {"include_keywords": ["ROB"]}, "b": {"include_keywords": ["ROB"]}, "c": {"include_categories": ["ai-ml"]}, "d": {}, "e": {}, "f": {"include_keywords": ["c"], "exclude_keywords": ["ai"]}, "g": {}, "h": {"include_categories": ["ai-ml"]}}
+    saved = spark.createDataFrame([(u, u != "g", True, tuple(f.get(n) for n in names)) for u, f in wanted.items()], "user string, alerts_enabled boolean, onboarding_complete boolean, " + SCHEMA[SCHEMA.index("filter struct"):])
+    devices = spark.createDataFrame([(u, f"t{u}", True) for u in "abcdefgh"] + [("a", "two", True), ("c", "old", False)], "user string, token string, active boolean")
+    receipts = spark.createDataFrame([(1, "a", "ta", "ok", 1), (1, "c", "tc", "error", 2), (2, "c", "tc", "retryable", 1), (2, "d", "td", None, None), (3, "e", "te", "pending", 1)], "job int, user string, token string, status string, attempts int")
+    e = filters.evaluate_filter(F.col("value"), F.col("categories"), F.col("employer"))
+    sent = filters.fan_out(jobs, "job", "value", "categories", saved, "user", devices, receipts, e)
+    plain = filters.alerts_to_send(jobs, "job", saved, "user", devices, receipts, e, filters.filter_candidates(jobs, "job", "value", "categories", saved, "user"))
+    seen = lambda df: sorted((r["job"], r["user"], r["token"], r["attempts"], str(r["reasons"])) for r in df.collect())
+    assert seen(sent) == seen(plain)
+    assert [x[:4] for x in seen(sent)] == [
+        (1, "a", "two", 1), (1, "b", "tb", 1), (1, "c", "tc", 3), (1, "d", "td", 1), (1, "e", "te", 1), (1, "h", "th", 1),
+        (2, "d", "td", 1), (2, "e", "te", 1), (2, "h", "th", 1), (3, "d", "td", 1), (3, "f", "tf", 1),
+    ]
