@@ -138,18 +138,20 @@ class PairIndexBpe:
         pieces: dict[bytes, int] = {}
         flat: list[int] = []  # numbers of pieces; -1 - id for a special token
         counts = []
+        number = pieces.setdefault
         for chunk in chunks:
-            before = len(flat)
-            if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():  # one piece: a space, if any, and letters
-                flat.append(pieces.setdefault(chunk.encode(), len(pieces)))
+            if chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha():  # one piece: a space, if any, and letters
+                flat.append(number(chunk.encode(), len(pieces)))
+                counts.append(1)
             else:
+                before = len(flat)
                 done = 0
                 for m in self.cut.finditer(chunk) if self.cut and "<" in chunk else ():
                     flat += [pieces.setdefault(x.encode(), len(pieces)) for x in self.pieces.findall(chunk[done : m.start()])]
                     flat.append(-1 - self.special[m[0]])
                     done = m.end()
                 flat += [pieces.setdefault(x.encode(), len(pieces)) for x in self.pieces.findall(chunk[done:] if done else chunk)]
-            counts.append(len(flat) - before)
+                counts.append(len(flat) - before)
         lengths, values = self.encode_pieces(list(pieces))
         at = np.array(flat, np.int64)
         special = -1 - at[at < 0]

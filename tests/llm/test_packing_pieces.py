@@ -1,12 +1,13 @@
 """Pieces of packed documents against the tokenizers library: cut, start, length, checksum and places."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from gleaner.llm import packing
+from gleaner.llm import packing, tokens
 
 DOCS = "doc_id long, text string, piece int, sequence_id string"
 ROWS = [(0, None), (1, ""), (2, "Hello, world! é\n\n x"), (3, "word " * 64), (3, "word " * 64), (None, "no id"), (None, None), (4, "many different words, " * 300), (5, "x" * 4000), (6, "tail")] + [(10 + i, "some text here " * (i % 9)) for i in range(40)]
@@ -34,3 +35,9 @@ def test_pieces_equal_the_library(spark):
             at += length
         assert at <= most
     assert len(places) <= -(-sum(r["length"] for r in got) // most) + 1
+
+
+def test_texts_of_odd_white_space_are_told_by_fixed_strings():
+    pattern = re.compile(r"[^\S \n]|[ \n][ \n]")
+    for text in [*map(chr, range(0x10000)), "", "a b\nc", "a  b", "a \nb", "a\n b", "a\n\nb", "é b", "中 b", "a b"]:
+        assert tokens.odd(text) == bool(pattern.search(text))
