@@ -6,7 +6,8 @@ them could do without are essential: a vector found in none of them stays below
 score so far, as the bounds of the non-essential bands prove. Vectors of essential bands are
 candidates; their other terms are probed in order of bound, and a candidate goes as soon as its
 score so far and the bounds of what is left fall below the threshold. Shards are merged by a
-window over each query's k best of every shard.
+window over each query's k best of every shard. A block of queries and a shard meet by a shuffle,
+in tasks of bounded size: nothing is broadcast or passes through the driver.
 
 Scores are whole numbers: components become ``floor(scale * x)``. Vectors that are null or hold a
 null, NaN or infinity take no part, nor do rows without an id; shorter vectors count as padded with
@@ -21,11 +22,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gleaner.llm.common import documents, materialize
+from gleaner.llm.common import dealt, documents
 
-#: Vectors of a shard, queries of a block, bands of a posting list, terms probed between two tests.
-SHARD, BLOCK, BANDS, STEP = 8192, 1024, 32, 8
-PACKED = "slot long, ids binary, cells binary"
+#: Vectors of a shard and queries of a block, bands of a posting list, terms probed between two tests.
+SHARD, BANDS, STEP = 8192, 32, 8
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -36,23 +36,11 @@ def whole_vectors(df: DataFrame, scale: int, key: str = "vec_id", vector: str =
     return df.where(F.col(key).isNotNull() & x.isNotNull() & finite).select(F.col(key).cast("long").alias("id"), cells.alias("cells"))
 
 
-def _packed(vectors: DataFrame, slots: int) -> DataFrame:
-    """A row for each slot of vectors, with its ids and cells as 64-bit integers."""
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        width = max(map(len, rows["cells"]))
-        cells = np.zeros((len(rows), width), np.int64)
-        for i, x in enumerate(rows["cells"]):
-            cells[i, : len(x)] = x
-        return pd.DataFrame({"slot": [rows["slot"].iloc[0]], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "cells": [cells.tobytes()]})
-
-    return vectors.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots))).groupBy("slot").applyInPandas(pack, PACKED)
-
-
-def _unpacked(ids: bytes, cells: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(cells, np.int64).reshape(len(ids), -1)
+def _rows(cells: pd.Series) -> np.ndarray:
+    out = np.zeros((len(cells), max(map(len, cells))), np.int64)
+    for i, x in enumerate(cells):
+        out[i, : len(x)] = x
+    return out
 
 
 class Shard:
@@ -131,24 +119,23 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k best vectors of every query; both have (id, cells) as :func:`whole_vectors` gives them."""
     queries = queries.groupBy("id").agg(F.min("cells").alias("cells"))
     shards = -(-vectors.count() // SHARD) or 1
-    blocks = -(-queries.count() // BLOCK) or 1
-    left, _ = materialize(_packed(vectors, shards), "top-k-shards")
-    right, _ = materialize(_packed(queries, blocks), "top-k-queries")
-    left = left.select(F.col("slot").alias("shard"), "ids", "cells", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = right.select(F.col("slot").alias("block"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    pairs = left.join(right, ["shard", "block"])
-
-    def search(frames):
-        for frame in frames:
-            for row in frame.itertuples():
-                shard = Shard(*_unpacked(row.ids, row.cells))
-                out = []
-                for query_id, q in zip(*_unpacked(row.q_ids, row.q_cells)):
-                    ids, scores = shard.search(int(query_id), q, k)
-                    out.append(pd.DataFrame({"query_id": np.full(len(ids), query_id), "vec_id": ids, "score": scores}))
-                yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-
-    found = pairs.select("ids", "cells", "q_ids", "q_cells").mapInPandas(search, FOUND)
+    blocks = -(-queries.count() // SHARD) or 1
+    slot = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    left = vectors.select(slot(shards).alias("shard"), every(blocks).alias("block"), "id", "cells")
+    right = queries.select(every(shards).alias("shard"), slot(blocks).alias("block"), "id", "cells")
+
+    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((3, 0), np.int64)]
+        if len(rows) and len(asked):
+            shard = Shard(rows["id"].to_numpy(np.int64), _rows(rows["cells"]))
+            for query_id, q in zip(asked["id"], asked["cells"]):
+                ids, scores = shard.search(int(query_id), np.asarray(q, np.int64), k)
+                out.append(np.stack([np.full(len(ids), query_id, np.int64), ids, scores]))
+        return pd.DataFrame(np.concatenate(out, 1).T, columns=["query_id", "vec_id", "score"])
+
+    pair = ["shard", "block"]
+    found = dealt(left, *pair).groupBy(*pair).cogroup(dealt(right, *pair).groupBy(*pair)).applyInPandas(search, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

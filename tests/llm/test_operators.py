@@ -73,6 +73,23 @@ def test_top_k(spark):
         assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
 
 
+def test_top_k_broadcasts_nothing_and_merges_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 16)
+    rows = [(i, [((i * 13 + j * 5) % 23) / 23 - 0.4 for j in range(4 + i % 3)]) for i in range(150)] + [(0, [0.5] * 4), (3, []), (3, [2.0] * 9)]
+    vectors = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 256)
+    found = topk.top_k(vectors.where("id % 5 = 0"), vectors, 5)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    cells, got = [(r["id"], r["cells"]) for r in vectors.collect()], {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 150, 5))
+    for q, ranked in got.items():
+        asked = min(c for i, c in cells if i == q)
+        best = sorted((-sum(a * b for a, b in zip(asked, c)), i) for i, c in cells if i != q)[:5]
+        assert sorted(ranked) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert topk.top_k(vectors.where("id < 0"), vectors, 5).count() == topk.top_k(vectors, vectors.where("id < 0"), 5).count() == 0
+
+
 def test_warc(spark, tmp_path):
     long = "<p>" + "x" * 2000
     pages = spark.createDataFrame([(1, "http://a", long), (2, None, long), (3, "http://c\r\nX: y", "small"), (4, "http://d", "small"), (5, "http://e", None)], "page_id long, url string, html string")
