@@ -113,3 +113,15 @@ def test_fan_out_gives_the_alerts_and_joins_no_pairs_with_receipts(spark):
         (1, "a", "two", 1), (1, "b", "tb", 1), (1, "c", "tc", 3), (1, "d", "td", 1), (1, "e", "te", 1), (1, "h", "th", 1),
         (2, "d", "td", 1), (2, "e", "te", 1), (2, "h", "th", 1), (3, "d", "td", 1), (3, "f", "tf", 1),
     ]
+
+
+def test_fan_out_broadcasts_no_listings_and_tells_reasons_before_there_are_pairs(spark, sf_dir):
+    from gleaner.plans import registry
+
+    plan = registry.QUERIES["filter_fan_out"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [min((i for i, c in enumerate(x) if c.isalpha()), default=0) for x in plan]
+    under = lambda i: next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+    for i in (i for i, x in enumerate(plan) if "BroadcastExchange" in x):
+        assert not [x for x in plan[i : under(i)] if "part.parquet" in x]
+    pairs = next(i for i, x in enumerate(plan) if "_part#" in x and "Join" in x)
+    assert not [x for x in plan[:pairs] if "array_join" in x]
