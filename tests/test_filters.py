@@ -125,3 +125,8 @@ def test_fan_out_broadcasts_no_listings_and_tells_reasons_before_there_are_pairs
         assert not [x for x in plan[i : under(i)] if "part.parquet" in x]
     pairs = next(i for i, x in enumerate(plan) if "_part#" in x and "Join" in x)
     assert not [x for x in plan[:pairs] if "array_join" in x]
+
+
+def test_fan_out_in_several_rounds_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(filters, "FOLLOWERS", 3)
+    test_fan_out_gives_the_alerts_and_joins_no_pairs_with_receipts(spark)
